@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: A boundary is sure if so many code points of the chunk follow; more than any alternative of the pattern looks ahead.
 AHEAD = 16
@@ -138,6 +140,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
 
 def _long(parts: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
     """Each chunk in a task of its own: boundaries of the overlaps, then stitches, then ids."""
+    # Written once: the numbers of the rows must be the same wherever the chunks are read.
+    parts = written(parts, "long-texts")
     # What a chunk needs of its neighbour is the neighbour's head, as long as the overlap.
     head = parts.select("row", (F.col("at") - 1).alias("at"), F.substring("part", 1, overlap).alias("next_head"))
     with_next = parts.join(head, ["row", "at"], "left")

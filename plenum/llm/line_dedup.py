@@ -220,16 +220,13 @@ class LineIndex:
         # A shard holds a bounded number of keys and one filter row.
         made = changes.select(self._shard(), "key_lo", "up").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(change, schema)
         self._filters = self._write(made, "filters")
-        if not self.filters.where("full").isEmpty():
+        while not self.filters.where("full").isEmpty():
+            # A filter overflowed: all of them again, over twice the shards.
             self.shards *= 2
-            self._rebuild(hot, change, schema)
-
-    def _rebuild(self, hot: DataFrame, change, schema: str) -> None:
-        """A filter overflowed: all of them again, over twice the shards."""
-        self.version += 1
-        empty = self.spark.createDataFrame([], schema)
-        made = hot.withColumn("up", F.lit(True)).select(self._shard(), "key_lo", "up").groupBy("shard").cogroup(empty.groupBy("shard")).applyInPandas(change, schema)
-        self._filters = self._write(made, "filters")
+            self.version += 1
+            empty = self.spark.createDataFrame([], schema)
+            made = hot.withColumn("up", F.lit(True)).select(self._shard(), "key_lo", "up").groupBy("shard").cogroup(empty.groupBy("shard")).applyInPandas(change, schema)
+            self._filters = self._write(made, "filters")
 
     @property
     def filters(self) -> DataFrame:
