@@ -56,6 +56,15 @@ class Codec:
         """The ends of all matches from ``start`` on."""
         return np.fromiter((m.end() for m in self.pattern.finditer(text, start)), np.int64)
 
+    def between(self, text: str, start: int, end: int) -> list[str]:
+        """The matches from ``start`` to the boundary ``end``. The pattern sees what follows ``end``: it may look ahead."""
+        out = []
+        for m in self.pattern.finditer(text, start):
+            if m.start() >= end:
+                break
+            out.append(m[0])
+        return out
+
     def encode(self, pieces: list[str]) -> bytes:
         found = list(map(self.known.get, pieces))
         if None in found:
@@ -102,7 +111,7 @@ def encode_long(c: Codec, chunks: list[tuple[str, bool]], chunk: int) -> list[by
         base = len(text) - (len(part) - chunk)
         place, ok = stitch(c, text, nxt, base, start)
         if ok:
-            out.append(c.encode(c.pattern.findall(text, start, place)))
+            out.append(c.encode(c.between(text, start, place)))
             text, start = nxt, place - base
         else:
             text = text[:base] + nxt
@@ -166,7 +175,7 @@ def _long(parts: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap:
             for part, start, end in zip(*(b.column(n).to_pylist() for n in ("part", "start", "end"))):
                 known = start >= 0 and (end is None or end >= 0)
                 # The first boundary of a chunk is sure only behind its own start, so a stitch holds for both sides.
-                ids.append(c.encode(c.pattern.findall(part, start, len(part) if end is None else end)) if known else None)
+                ids.append(c.encode(c.between(part, start, len(part) if end is None else end)) if known else None)
             unsure = pa.array([p if i is None else None for p, i in zip(b.column("part").to_pylist(), ids)], pa.string())
             yield pa.record_batch([b.column("row"), b.column("doc_id"), b.column("at"), b.column("n"), pa.array(ids, pa.binary()), unsure], ["row", "doc_id", "at", "n", "ids", "part"])
 

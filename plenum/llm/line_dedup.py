@@ -19,7 +19,7 @@ goes to the exact table.
 
 Null or empty text is one empty line. A null doc_id holds no keys and keeps all its lines. Rows with an
 equal doc_id are versions of one document: each of them is cleaned, and together they count once. Other
-columns pass through ``clean`` unchanged, but for names that it returns itself. An empty table gives an
+columns pass through ``clean`` unchanged, but for names that it returns itself and drop_id, drop_hi, drop_lo. An empty table gives an
 empty index.
 """
 

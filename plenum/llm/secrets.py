@@ -184,12 +184,13 @@ def scan(docs: DataFrame, forest, path: str | None = None, cutoff: float = 0.5)
 
 def redact(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with the secrets that were ``found`` in them replaced, all other columns as they are."""
-    own = found.where("is_secret").groupBy(F.col("doc_id").alias("_found_id")).agg(F.collect_set("candidate").alias("_found"))
+    key, keys = (f"_found{i}" + "_" * max(map(len, docs.columns)) for i in (0, 1))  # longer than any column's name
+    own = found.where("is_secret").groupBy(F.col("doc_id").alias(key)).agg(F.collect_set("candidate").alias(keys))
     # Longest first, so that a secret inside another one leaves no rest.
-    own = own.withColumn("_found", F.reverse(F.array_sort(F.transform("_found", lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))))
-    d = docs.join(own, docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id")), "left")
-    clean = F.aggregate("_found", F.col("text"), lambda t, c: F.replace(t, c["c"], F.lit(mark)))
-    return d.withColumn("text", F.when(F.col("_found").isNotNull(), clean).otherwise(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own = own.withColumn(keys, F.reverse(F.array_sort(F.transform(keys, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))))
+    d = docs.join(own, docs["doc_id"].cast("long").eqNullSafe(F.col(key)), "left")
+    clean = F.aggregate(keys, F.col("text"), lambda t, c: F.replace(t, c["c"], F.lit(mark)))
+    return d.withColumn("text", F.when(F.col(keys).isNotNull(), clean).otherwise(F.col("text"))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
