@@ -24,7 +24,8 @@ def once(events: DataFrame, keys: list[str], at: str, wait: str = "1 hour") -> D
 def by_key(events: DataFrame, keys: list[str], order: list[str], start: tuple, step, state: str, out: str, idle_ms: int = 86_400_000) -> DataFrame:
     """Runs ``step(state, row) -> (state, output row or None)`` over each key's events in order.
 
-    A micro-batch's events of one key are sorted; they must not come later than the batch after their successors.
+    A micro-batch's events of one key are sorted; they must not come later than the batch after their successors. With trigger(availableNow=True) set
+    spark.sql.streaming.noDataMicroBatches.enabled to false: the time to live would ask for batches for ever.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
