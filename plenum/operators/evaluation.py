@@ -19,7 +19,7 @@ def word_distance(ref: Column, hyp: Column) -> Column:
     """Edit distance over words: each distinct word of both texts becomes one character. Up to 6,000 different words."""
     words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
     both = F.array_distinct(F.concat(words(ref), words(hyp)))
-    code = lambda c: F.array_join(F.transform(words(c), lambda w: F.decode(F.unhex(F.hex(F.array_position(both, w) + 0xE000)), F.lit("UTF-16BE"))), "")
+    code = lambda c: F.array_join(F.transform(words(c), lambda w: F.decode(F.unhex(F.hex(F.array_position(both, w) + 0xE000)), "UTF-16BE")), "")
     return F.levenshtein(code(ref), code(hyp))
 
 
