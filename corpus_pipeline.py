@@ -23,9 +23,10 @@ def _documents(df: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     labels = table(spark, sf_dir, "labels")
-    # The counts are small rows; the texts are read again instead of being shuffled.
-    limits = written(quality_rules.thresholds(quality_rules.with_counts(docs), labels), "thresholds")
-    return quality_rules.judged(quality_rules.with_counts(docs), limits).where("kept").select(*COLUMNS)
+    # Written with the texts: counting costs far more than writing, and the thresholds read only the counts.
+    counted = written(quality_rules.with_counts(docs.select(*COLUMNS)), "counted")
+    limits = written(quality_rules.thresholds(counted, labels), "thresholds")
+    return quality_rules.judged(counted, limits).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
