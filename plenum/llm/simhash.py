@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SHARD = 4096
+#: Routed fingerprints that a search task should hold on average.
+TASK_ROWS = 1 << 16
 #: Blocks of bits for up to so many fingerprints; the last for any number.
 BLOCKS = ((1 << 23, 1), (1 << 31, 2))
 LEVELS = 8
@@ -165,7 +167,9 @@ def links(points: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
         lambda j: F.struct(F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y"), F.when(j < F.col("block"), 1).otherwise(0).alias("side")),
     )
     tasks = dealt.select("tree", "leaf", "fp", "node", F.explode(pairs).alias("p")).select("tree", "leaf", "p.x", "p.y", "p.side", "fp", "node")
-    found = tasks.groupBy("tree", "leaf", "x", "y").applyInPandas(lambda pdf: _shard(pdf, radius), "a long, b long")
+    # Few bytes but much work: the number of tasks follows the rows, and a number that is given isn't coalesced.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(trees) // TASK_ROWS))
+    found = tasks.repartition(parts, "tree", "leaf", "x", "y").groupBy("tree", "leaf", "x", "y").applyInPandas(lambda pdf: _shard(pdf, radius), "a long, b long")
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
