@@ -25,10 +25,9 @@ columns are not read. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,19 +131,35 @@ def vantage_links(fps: np.ndarray, radius: int, forest: Forest, leaf: int = 512)
         forest.join((rim_in[i], rim_out[j]))
 
 
-def _shard(pdf: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Links of one shard, or of one pair of blocks of a large shard: side 0 alone, or side 0 against side 1."""
-    fps, nodes = pdf["fp"].to_numpy().view(np.uint64), pdf["node"].to_numpy()
-    forest = Forest(len(pdf))
-    first = pdf["side"].to_numpy() == 0
-    if first.all():
+def _shard(side: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> np.ndarray:
+    """Links (two rows of nodes) of one shard, or of one pair of blocks of a large shard: side 0 alone, or side 0 against side 1."""
+    fps, forest = fp.view(np.uint64), Forest(len(fp))
+    if not side.any():
         vantage_links(fps, radius, forest)
     else:
-        a, b = np.flatnonzero(first), np.flatnonzero(~first)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side)
         i, j = near(fps[a], fps[b], radius)
         forest.join((a[i], b[j]))
-    x = np.array(forest.links, np.int64).reshape(-1, 2)
-    return pd.DataFrame({"a": nodes[x[:, 0]], "b": nodes[x[:, 1]]})
+    return node[np.array(forest.links, np.int64).reshape(-1, 2).T]
+
+
+def search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of all shards in sorted rows (tree, leaf, x, y, side, fp, node); only the last shard waits for the next batch."""
+    held = np.zeros((7, 0), np.int64)
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns])], 1)
+        ends = (np.flatnonzero((held[:4, 1:] != held[:4, :-1]).any(0)) + 1).tolist()
+        if batch is None:
+            ends.append(held.shape[1])
+        found, at = [np.zeros((2, 0), np.int64)], 0
+        for end in ends:
+            if end - at > 1:
+                found.append(_shard(*held[4:, at:end], radius))
+            at = end
+        held = held[:, at:]
+        a, b = np.concatenate(found, 1)
+        yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def links(points: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
@@ -156,20 +171,23 @@ def links(points: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     vantage = [r.fp for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(LEVELS).collect()]
     trees = []
     for k, mask in enumerate(masks(radius + agree, agree)):
-        rings = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(_signed(mask)))).cast("string") for v in vantage]
-        trees.append(F.struct(F.lit(k).alias("tree"), F.concat_ws(".", *rings).alias("leaf")))
+        # Seven bits hold a distance of up to 64.
+        rings = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(_signed(mask)))).cast("long"), 7 * i) for i, v in enumerate(vantage)]
+        trees.append(F.struct(F.lit(k).cast("long").alias("tree"), sum(rings, F.lit(0).cast("long")).alias("leaf")))
     routed = points.select("fp", "node", F.explode(F.array(*trees)).alias("t")).select("fp", "node", "t.tree", "t.leaf")
     sizes = routed.groupBy("tree", "leaf").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / F.lit(shard)).cast("int"))
     dealt = routed.join(sizes, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
     # A row goes to the pairs (block, j) as side 0 and to the pairs (i, block) as side 1; the pair (block, block) is the block alone.
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda j: F.struct(F.least(j, F.col("block")).alias("x"), F.greatest(j, F.col("block")).alias("y"), F.when(j < F.col("block"), 1).otherwise(0).alias("side")),
+        lambda j: F.struct(F.least(j, F.col("block")).cast("long").alias("x"), F.greatest(j, F.col("block")).cast("long").alias("y"), F.when(j < F.col("block"), 1).otherwise(0).cast("long").alias("side")),
     )
     tasks = dealt.select("tree", "leaf", "fp", "node", F.explode(pairs).alias("p")).select("tree", "leaf", "p.x", "p.y", "p.side", "fp", "node")
     # Few bytes but much work: the number of tasks follows the rows, and a number that is given isn't coalesced.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * len(trees) // TASK_ROWS))
-    found = tasks.repartition(parts, "tree", "leaf", "x", "y").groupBy("tree", "leaf", "x", "y").applyInPandas(lambda pdf: _shard(pdf, radius), "a long, b long")
+    # Most shards hold a few rows: sorted rows spare each of them a group's set-up.
+    ordered = tasks.repartition(parts, "tree", "leaf", "x", "y").sortWithinPartitions("tree", "leaf", "x", "y")
+    found = ordered.mapInArrow(lambda batches: search(batches, radius), "a long, b long")
     return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
