@@ -82,3 +82,41 @@ def overall(*parts: Column) -> Column:
 
 def document_status(pages: Column, score: Column) -> Column:
     return F.when(pages == 0, "error").when(score < 0.7, "uploaded").otherwise("processed")
+
+
+def _strip(text: Column) -> Column:
+    return F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+
+
+def table_quality(rows: Column) -> Column:
+    """.25 header, .25 filled cells, .20 equal widths, .20 size, .10 text beside numbers; ``rows``: arrays of cells; no rows: 0."""
+    zero, n = F.lit(0.0), F.size(rows)
+    texts = lambda r: F.transform(F.filter(r, lambda c: c.isNotNull()), _strip)
+    full = lambda r: F.filter(texts(r), lambda c: c != "")
+    first = F.get(rows, F.lit(0))
+    filled = F.size(full(first)) / F.greatest(F.size(first), F.lit(1))
+    header = filled * F.when(n < 2, 0.7).when(texts(first) != texts(F.get(rows, F.lit(1))), 1.0).otherwise(0.5)
+    cells, kept = F.flatten(rows), full(F.flatten(rows))
+    present = F.coalesce(F.try_divide(F.size(kept).cast("double"), F.size(cells).cast("double")), zero)
+    even = most_repeated(F.transform(rows, lambda r: F.size(r).cast("string")), 1)
+    size = (F.least(n / 10.0, F.lit(1.0)) + F.least(F.array_max(F.transform(rows, lambda r: F.size(r))) / 4.0, F.lit(1.0))) / 2
+    number = lambda c: F.regexp_replace(c, "[.,]", "").rlike(r"^\p{Nd}+$")
+    content = F.when(F.size(kept) == 0, 0.0).when(F.exists(kept, number) & F.exists(kept, lambda c: ~number(c)), 1.0).otherwise(0.7)
+    return F.when(n == 0, zero).otherwise(header * 0.25 + present * 0.25 + even * 0.20 + size * 0.20 + content * 0.10)
+
+
+def image_quality(text: Column, agreement: Column) -> Column:
+    """.30 agreement of two readings, .15 length, .15 Hangul, .20 lines without noise, .10 few marks, .10 few repeats; blank: 0."""
+    s = stripped(text)
+    lines = lines_of(s)
+    noisy = F.filter(lines, lambda x: x.rlike(f"^[^{HANGUL}a-zA-Z0-9]{{1,3}}$") | x.rlike(r"^[.\-_|/\\]+$"))
+    marks = F.least(share(s, r"[^\p{L}\p{N}\s]") * 3, F.lit(1.0))
+    repeats = F.least(most_repeated(F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 4) * 2, F.lit(1.0))
+    out = agreement * 0.30 + F.least(F.length(s) / 100.0, F.lit(1.0)) * 0.15 + share(s, f"[{HANGUL}]") * 0.15
+    out = out + (1 - F.size(noisy) / F.size(lines)) * 0.20 + (1 - marks) * 0.10 + (1 - repeats) * 0.10
+    return F.when(s == "", F.lit(0.0)).otherwise(out)
+
+
+def mean_quality(score: Column) -> Column:
+    """Aggregate: the mean of a page's tables or images; 1 without any."""
+    return F.round(F.coalesce(F.avg(score), F.lit(1.0)), 3)

@@ -6,7 +6,8 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def vote_lines(a: list[str], b: list[str], same: float = 0.84, part: float = 0.10) -> list[tuple[str, str | None, str | None]]:
@@ -22,6 +23,34 @@ def vote_lines(a: list[str], b: list[str], same: float = 0.84, part: float = 0.1
     return out + [("single", None, x) for x in free.values()]
 
 
+def line_votes(rows: DataFrame, group: str) -> DataFrame:
+    """group, at, verdict, first, second: the votes between the lines of two readings of one page.
+
+    ``rows``: side (0 or 1), pos, text (null: empty). A page's lines meet in one group.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["side", "pos", "text"])
+        sides = [rows.loc[rows["side"] == i, "text"].tolist() for i in (0, 1)]
+        votes = vote_lines(*sides)
+        return pd.DataFrame([(rows[group].iloc[0], i, *v) for i, v in enumerate(votes)], columns=[group, "at", "verdict", "first", "second"])
+
+    kind = dict(rows.dtypes)[group]
+    lines = rows.select(group, "side", "pos", F.coalesce("text", F.lit("")).alias("text"))
+    return lines.groupBy(group).applyInPandas(run, f"{group} {kind}, at int, verdict string, first string, second string")
+
+
+def agreement(first: Column, second: Column) -> Column:
+    """How alike two readings are, 0 to 1: 0 if both are blank, 0.4 if one is. For texts of an image, as the time grows with the product of lengths."""
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = ((x.strip(), y.strip()) for x, y in zip(a, b))
+        return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.4 if x or y else 0.0 for x, y in pairs])
+
+    return ratio(F.coalesce(first, F.lit("")), F.coalesce(second, F.lit("")))
+
+
 def longest_first(rows: DataFrame, group: str, start: str, end: str, least: float = 400) -> DataFrame:
     """group, start, end, item: segments take their time longest first; a later one keeps its largest free piece of ``least`` or more."""
 

@@ -51,6 +51,14 @@ ENTITIES: dict[str, tuple[str, list[str]]] = {
     ),
     "chunks": ("documents", ["doc_id as chunk_id", "lang as collection", "source as workspace", "text", "n_chars"]),
     "vectors": ("embeddings", ["vec_id", "embedding", "label"]),
+    "recordings": ("embeddings", ["label as session", "vec_id as seq", "embedding as samples"]),
+    "ocr_attempts": (
+        "events",
+        [
+            "user_id % 50 as workspace_id", "case event_id % 7 when 0 then 'skip' when 1 then 'empty' when 2 then 'filtered' else 'success' end as outcome",
+            "case when event_id % 7 = 0 then null when event_id % 3 = 0 then 'first' when event_id % 3 = 1 then 'both' else 'cells' end as engine", "round(value / 100, 4) as score",
+        ],
+    ),
     "marks": ("labels", ["doc_id as chunk_id", "quality", "toxic"]),
     "questions": ("benchmark", ["item_id as question_id", "text"]),
     "web": ("pages", ["page_id", "url", "html"]),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plenum.functions import cleaning as C
 from plenum.functions import scalars as V
-from plenum.operators import chunking, evaluation, greedy, layout, search, speakers
+from plenum.functions import scores
+from plenum.operators import chunking, evaluation, greedy, layout, measures, search, speakers
 from plenum.sources import readers
 
 
@@ -128,3 +129,33 @@ def test_dates_and_labels(spark):
     assert one(spark, V.refine(F.col("t"), ["please", "tell me"]), t="please tell me the budget") == "the budget"
     assert one(spark, V.refine(F.col("t"), ["please"]), t="please x") == "please x"
     assert C.normal_form("Ａ-b,  C!") == "ab c"
+
+
+def test_measures(spark):
+    runs = spark.createDataFrame([(1, "skip", None, None), (1, "success", "both", 0.5), (1, "success", "first", 0.1), (1, "empty", "cells", None), (2, "success", None, 0.9)], "k int, outcome string, engine string, score double")
+    a, b = measures.ocr_statistics(runs, "k").orderBy("k").collect()
+    assert (a.attempts, a.skip_ratio, a.success_ratio, a.useful_ratio, a.both_ratio, a.mean_score, a.consistent) == (4, 0.25, 0.5, 0.5, 0.333, 0.3, True)
+    assert not b.consistent and b.both_ratio == 0.0
+    sound = [(1, 0, [1.0, 0.1], [True, False]), (1, 1, [], []), (1, 2, [0.5, None], [False, True]), (2, 0, [0.0, 0.0], [False, False])]
+    a, b = measures.audio_statistics(spark.createDataFrame(sound, "s int, at int, samples array<double>, speech array<boolean>"), "s", "at", 2).orderBy("s").collect()
+    assert (a.speech_rms, a.background_rms, a.snr_db, a.clip_ratio, a.speech_sec, a.silent_sec) == (0.7906, 0.1, 18.0, 0.33333, 1.0, 0.0)
+    assert b.snr_db is None and b.silent_sec == 1.0
+    streams = spark.createDataFrame([(1, 0, [30000, 1, 2]), (1, 1, [30000]), (1, 0, [30000]), (1, None, [None, -5])], "k int, offset_ms int, samples array<int>")
+    assert sorted((r.at, r.value) for r in measures.mixed(streams, "k", 1000).collect()) == [(0, 32767), (1, 29996), (2, 2)]
+
+
+def test_table_and_image_scores(spark):
+    table = lambda rows: spark.createDataFrame([(rows,)], "t array<array<string>>").select(scores.table_quality(F.col("t"))).first()[0]
+    assert table([]) == 0.0
+    assert table([["a", "b"], ["1", None]]) == pytest.approx(0.25 + 0.25 * 0.75 + 0.2 + 0.2 * (0.2 + 0.5) / 2 + 0.1)
+    assert table([["a"], ["a"]]) == pytest.approx(0.125 + 0.25 + 0.2 + 0.2 * (0.2 + 0.25) / 2 + 0.07)
+    image = spark.createDataFrame([("가나 ab\n--", "가나 ab"), (" ", "x"), ("w w w w", None)], "t string, o string")
+    got = [r[0] for r in image.select(scores.image_quality(F.col("t"), greedy.agreement(F.col("t"), F.col("o")))).collect()]
+    assert got[0] == pytest.approx(0.3 * 10 / 13 + 0.15 * 0.08 + 0.15 * 2 / 8 + 0.2 * 0.5 + 0.1 * (1 - 6 / 8) + 0.1, abs=1e-9)
+    assert got[1] == 0.0 and got[2] == pytest.approx(0.3 * 0.4 + 0.15 * 0.07 + 0.2 + 0.1)
+
+
+def test_line_votes(spark):
+    rows = spark.createDataFrame([(1, 0, 0, "hello world"), (1, 0, 1, "zzz"), (1, 1, 0, "hello worle"), (1, 1, 1, None), (2, 1, 0, "only")], "page int, side int, pos int, text string")
+    got = sorted((r.page, r.at, r.verdict, r.first, r.second) for r in greedy.line_votes(rows, "page").collect())
+    assert got == [(1, 0, "agree", "hello world", "hello worle"), (1, 1, "single", "zzz", None), (1, 2, "single", None, ""), (2, 0, "single", None, "only")]
