@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import line_dedup, packing, quality_rules, secrets, simhash
+from plenum.llm import line_dedup, packing, quality_rules, secrets, shingle_sets
 from plenum.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,10 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; documents without an id stay."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id is not null and component_id is not null and doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of documents linked by five-word Jaccard similarity of 0.8 or more the one with the smallest id stays; documents without an id stay."""
+    gone = shingle_sets.near_duplicates(docs).where("doc_id <> keeper").select("doc_id", "t").distinct()
+    return docs.withColumn("t", F.xxhash64("text")).join(gone, ["doc_id", "t"], "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

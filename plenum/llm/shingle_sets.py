@@ -1,0 +1,114 @@
+"""Near-duplicates by exact Jaccard similarity of five-word shingle sets.
+
+Candidates. A text's lower-cased words give the set of its shingles' 64-bit hashes. Of ``BANDS`` times
+``ROWS`` minima under random permutations each ``ROWS`` make a band; texts meet in the buckets of equal
+bands. Two texts of similarity s miss each other with probability (1 - s^ROWS)^BANDS: 2.6e-5 at 0.8. A
+fingerprint of 64 bits needs a radius of about 14 for these pairs, at which no tree prunes.
+
+Links. Every candidate pair is verified on the whole sets before it links, unless the links so far join its
+ends. First each text meets its neighbours in ``ROUNDS`` random orders of its buckets, which joins large
+groups by few pairs; then all pairs of a bucket that are still in different components meet, so none is
+left out. A large bucket of texts that don't link costs its pairs.
+
+Equal sets are one node before any of that. Texts without words are equal; under five words are one shingle.
+Null doc_id: not part of any group. Rows are told apart by doc_id and text.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import written
+from .simhash import components
+
+WIDTH, BANDS, ROWS, ROUNDS = 5, 20, 4, 2
+
+
+def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words))] if words else [], np.uint64)
+    n = len(words) - width + 1
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in map(b" ".join, zip(*(words[i:] for i in range(width))))), np.uint64, n))
+
+
+def bands(own: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> list[int]:
+    import xxhash
+
+    if not len(own):
+        return []
+    mixed = own[None, :] * factors[:, None] + shifts[:, None]
+    mixed ^= mixed >> np.uint64(32)
+    least = mixed.min(1).reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least)]
+
+
+def sketches(docs: DataFrame, seed: int = 42) -> DataFrame:
+    """doc_id, t (a hash of the text), node (a hash of the shingle set), bands of ``docs`` (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        rng = np.random.default_rng(seed)
+        factors = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        shifts = rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+        for b in batches:
+            sets = [shingles(t.as_py()) for t in b.column(2)]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            cut = pa.array([np.array(bands(s, factors, shifts), np.uint64).view(np.int64) for s in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(nodes), cut], ["doc_id", "t", "node", "bands"])
+
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("t"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, t long, node long, bands array<long>")
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, own (the shingle set), of ``nodes`` (node, doc_id, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = pa.array([shingles(t.as_py()).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column(0), own], ["node", "own"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("string").alias("text"))
+    return rows.join(nodes, ["doc_id", "t"]).select("node", "text").mapInArrow(run, "node long, own array<long>").dropDuplicates(["node"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Those ``pairs`` (a, b) whose sets' Jaccard similarity is at least ``similar``."""
+    d = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    d = d.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return d.where(F.col("both") / (F.col("sum") - F.col("both")) >= similar).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, similar: float = 0.8) -> DataFrame:
+    """doc_id, t, keeper (the smallest doc_id of the component) of ``docs`` (doc_id, text)."""
+    rows = written(sketches(docs), "sketches")
+    points = written(rows.groupBy("node").agg(F.min(F.struct("doc_id", "t", "bands")).alias("p")).select("node", "p.*"), "points")
+    met = points.select("node", F.explode("bands").alias("band"))
+    buckets = written(met.join(met.groupBy("band").count().where("count > 1"), "band", "left_semi"), "buckets")
+    sets = written(sets_of(docs, points.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "t")), "sets")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    edges = joined = None
+    for turn in range(ROUNDS + 1):
+        now = buckets.withColumn("c", F.col("node")) if joined is None else buckets.join(joined, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+        if turn < ROUNDS:
+            w = Window.partitionBy("band").orderBy(F.xxhash64(F.lit(turn), "node"), "node")
+            meet = now.select(F.col("node").alias("a"), F.lead("node").over(w).alias("b"), F.col("c").alias("ca"), F.lead("c").over(w).alias("cb")).where("ca <> cb")
+        else:
+            now = written(now.join(now.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high"), "band", "left_semi"), "open")
+            meet = now.select("band", F.col("node").alias("a"), F.col("c").alias("ca")).join(now.select("band", F.col("node").alias("b"), F.col("c").alias("cb")), "band").where("ca < cb")
+        found = verified(meet.select(*pair).distinct(), sets, similar)
+        edges = written(found if edges is None else edges.union(found), "links")
+        joined = components(edges)
+    labelled = points.join(joined, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
+    keepers = labelled.groupBy("c").agg(F.min("doc_id").alias("keeper"))
+    return rows.join(labelled.join(keepers, "c").select("node", "keeper"), "node").select("doc_id", "t", "keeper")

@@ -324,3 +324,34 @@ def test_pipeline(spark, library):
     odd = kept.limit(3).union(rows[0]).union(rows[1])
     for name, stage in pipe.STAGES:
         assert stage(spark, odd, SMALL).count() >= 0 and stage(spark, odd.where("false"), SMALL).count() == 0
+
+
+def test_pipeline_near_duplicates_by_jaccard(spark):
+    import corpus_pipeline as pipe
+
+    rng = random.Random(3)
+    own = {}
+    for i in range(60):
+        words = [str(rng.randrange(10**6)) for _ in range(300)]
+        own[10 * i] = " ".join(words)
+        for j in range(1, 5):  # each place changes up to five shingles: similarities around 0.8, and both sides of it
+            at = set(rng.sample(range(300), rng.randrange(2, 12)))
+            own[10 * i + j] = " ".join("x" if k in at else w for k, w in enumerate(words))
+    own |= {1000 + i: own[0] + f" tail {i}" for i in range(50)} | {2000: own[10]}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in own.items()}
+    up = {i: i for i in own}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in own:
+        for j in own:
+            if i < j and root(i) != root(j) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    rows = [(i, t, "en", "s", len(t)) for i, t in own.items()] + [(None, own[0], "en", "s", 1), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [r.doc_id for r in pipe.near_duplicates(spark, docs, SMALL).collect()]
+    assert out.count(None) == 2
+    assert sorted(i for i in out if i is not None) == sorted(i for i in own if root(i) == i)
