@@ -2,13 +2,19 @@
 
 Base: counts of words, symbols, repeated lines and repeated 3-word windows, and a fixed rule on them.
 
-Method: each rule is a ratio of the counts that is high in bad texts. Labelled documents are the holdout:
-for every stratum (language), rule and cutoff of a fixed grid, k of the n good documents would be
-rejected. A cutoff is certified if the exact binomial test refutes that its false rejection rate is above
-the rule's share of ``limit``: P(Bin(n, limit / rules) <= k) <= ``risk`` / tests, the Bonferroni bound over
-all strata, rules and cutoffs. So with probability 1 - ``risk`` no stratum loses more than ``limit`` of its
-good documents by all rules together. Of the certified cutoffs the one that rejects most bad documents is
-taken, the most lenient among equals; if it rejects none, the rule rejects nothing in that stratum.
+Method: each rule is a ratio of the counts that is high in bad texts. Labelled documents are the holdout,
+dealt to two halves by a hash of doc_id. The first half chooses: for every stratum (language), level of a
+fixed list and rule, of the cutoffs of a fixed grid that reject at most that share of its good documents the
+one that rejects most bad documents, with the fewest good ones and then the strictest among equals. A level's
+cutoffs together are a union of rules. Two unions come first, of cutoffs that reject no good document, the most
+lenient among equals: the best rule alone, and all. Each union contains those before it. The second half certifies the unions in that order:
+k of its n good documents are rejected, and a union holds if the exact binomial test refutes that its false
+rejection rate is above ``limit``: P(Bin(n, limit) <= k) <= ``risk`` / strata. k does not fall from level to
+level, so the tests stop at the first failure and need no correction within a stratum. So with probability
+1 - ``risk`` no stratum loses more than ``limit`` of its good documents by all rules together. Of the certified
+unions the one that rejects most bad documents is taken, that of the lowest level among equals. With four
+strata a certificate takes at least 86 good documents in the second half; a stratum without one rejects nothing
+beyond the base rule.
 
 The counts are computed where the texts are read; only numbers are shuffled, to meet the labels. The
 thresholds are a table of strata times rules, checked to be small before it is broadcast.
@@ -25,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, written
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]+"
@@ -37,6 +43,8 @@ GRID = {
     "long_words": [6.0, 7.0, 8.0, 9.0, 10.0, 11.0, 12.0, 14.0, 16.0, 20.0, 25.0, 30.0],
     "short_words": [-6.0, -5.5, -5.0, -4.5, -4.0, -3.5, -3.0, -2.5, -2.0, -1.75, -1.5, -1.25],
 }
+#: Shares of the first half's good documents that a rule's cutoff may reject, fixed before any label is seen; -2 and -1: none, and lenient cutoffs of the best rule and of all.
+LEVELS = [-2.0, -1.0, 0.0, 0.002, 0.005, 0.01, 0.015, 0.02, 0.03, 0.05]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Rows of thresholds that may be broadcast.
 MOST_THRESHOLDS = 100_000
@@ -115,16 +123,18 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def thresholds(counted: DataFrame, labels: DataFrame, stratum: str = "lang", limit: float = 0.05, risk: float = 0.05) -> DataFrame:
-    """stratum, rule, cutoff, n_good, n_false, n_bad, tail of the cutoffs that are used.
+    """stratum, rule, cutoff, n_good, n_false, n_bad, tail of the cutoffs that are used; the last four are of a stratum's rules together.
 
-    ``counted``: of with_counts(); ``labels`` (doc_id, quality 0 or 1) mark the holdout.
+    ``counted``: of with_counts(); ``labels`` (doc_id, quality 0 or 1) mark the holdout. n_good, n_false and tail are of the
+    half that certifies, n_bad is of both.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("good")).where("doc_id is not null and good in (0, 1)")
     own = own.groupBy("doc_id").agg(F.max("good").alias("good"))
     rows = counted.where("not base_failed").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), *GRID).join(own, "doc_id")
+    rows = written(rows.select("stratum", "good", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)).alias("half"), *GRID), "holdout")
     # For each rule how many cutoffs of the grid a document exceeds: the counts of all cutoffs follow from sums over a small table.
     over = [F.struct(F.lit(r).alias("rule"), sum((F.col(r) > c).cast("int") for c in grid).alias("over")) for r, grid in GRID.items()]
-    tally = rows.select("stratum", "good", F.explode(F.array(*over)).alias("x")).groupBy("stratum", "x.rule", "x.over", "good").count()
+    tally = rows.where("half = 0").select("stratum", "good", F.explode(F.array(*over)).alias("x")).groupBy("stratum", "x.rule", "x.over", "good").count()
     grid = F.create_map(*(x for r, g in GRID.items() for x in (F.lit(r), F.array(*map(F.lit, g)))))
     cut = tally.select("stratum", "rule", "over", "good", "count", F.posexplode(grid[F.col("rule")]).alias("at", "cutoff"))
     rejected = F.when(F.col("over") > F.col("at"), F.col("count")).otherwise(F.lit(0))
@@ -134,12 +144,25 @@ def thresholds(counted: DataFrame, labels: DataFrame, stratum: str = "lang", lim
         F.sum(F.when(good, rejected).otherwise(F.lit(0))).alias("n_false"),
         F.sum(F.when(bad, rejected).otherwise(F.lit(0))).alias("n_bad"),
     )
-    strata = tests.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    tests = tests.crossJoin(F.broadcast(strata)).withColumn("tail", binomial_tail(F.col("n_false"), F.col("n_good"), limit / len(GRID)))
-    alone = sum(map(len, GRID.values()))
-    certified = tests.where((F.col("n_good") > 0) & (F.col("n_bad") > 0) & (F.col("tail") <= risk / (F.col("strata") * alone)))
-    best = certified.groupBy("stratum", "rule").agg(F.max_by(F.struct("cutoff", "n_good", "n_false", "n_bad", "tail"), F.struct("n_bad", "cutoff")).alias("b"))
-    return best.select("stratum", "rule", "b.*")
+    tests = tests.where("n_bad > 0").withColumn("level", F.explode(F.array(*map(F.lit, LEVELS)))).where("n_false <= greatest(level, 0) * n_good")
+    lenient = F.col("level") < 0
+    first = F.struct("n_bad", F.when(lenient, 0).otherwise(-F.col("n_false")), F.when(lenient, F.col("cutoff")).otherwise(-F.col("cutoff")))
+    chosen = tests.groupBy("stratum", "level", "rule").agg(F.max_by(F.struct("cutoff", "n_bad"), first).alias("c")).select("stratum", "level", "rule", "c.*")
+    unions = chosen.groupBy("stratum", "level").agg(F.max_by("rule", F.struct("n_bad", "rule")).alias("best"), *(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_{r}") for r in GRID))
+    unions = written(unions.select("stratum", "level", *(F.when((F.col("level") > -2) | (F.col("best") == r), F.col(f"_{r}")).alias(f"_{r}") for r in GRID)), "unions")
+    small = unions.count() <= MOST_THRESHOLDS
+    fails = F.lit(False)
+    for r in GRID:
+        fails = fails | F.coalesce(F.col(r) > F.col(f"_{r}"), F.lit(False))
+    held = rows.join(F.broadcast(unions) if small else unions, "stratum").withColumn("fails", fails)
+    later = F.col("half") == 1
+    held = held.groupBy("stratum", "level", *(f"_{r}" for r in GRID)).agg(F.count_if(good & later).alias("n_good"), F.count_if(good & later & F.col("fails")).alias("n_false"), F.count_if(bad & F.col("fails")).alias("n_bad"))
+    strata = rows.select("stratum").distinct().agg(F.count("*").alias("strata"))
+    held = held.crossJoin(F.broadcast(strata)).withColumn("tail", binomial_tail(F.col("n_false"), F.col("n_good"), limit))
+    certified = held.where((F.col("n_good") > 0) & (F.col("tail") <= risk / F.col("strata")))
+    best = certified.groupBy("stratum").agg(F.max_by(F.struct("n_good", "n_false", "n_bad", "tail", *(f"_{r}" for r in GRID)), F.struct("n_bad", -F.col("level"))).alias("b")).select("stratum", "b.*")
+    rules = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"_{r}").alias("cutoff")) for r in GRID))).alias("x")
+    return best.select("stratum", "n_good", "n_false", "n_bad", "tail", rules).where("x.cutoff is not null").select("stratum", "x.rule", "x.cutoff", "n_good", "n_false", "n_bad", "tail")
 
 
 def judged(counted: DataFrame, limits: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -156,7 +179,7 @@ def judged(counted: DataFrame, limits: DataFrame, stratum: str = "lang") -> Data
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table, written
+    from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     counted = written(with_counts(docs).drop("text"), "counts")

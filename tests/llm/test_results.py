@@ -355,3 +355,14 @@ def test_pipeline_near_duplicates_by_jaccard(spark):
     out = [r.doc_id for r in pipe.near_duplicates(spark, docs, SMALL).collect()]
     assert out.count(None) == 2
     assert sorted(i for i in out if i is not None) == sorted(i for i in own if root(i) == i)
+
+
+def test_quality_certifies_small_strata(spark):
+    ratios = ["if(id % 8 = 0, 0.2, 0.0) as symbol_share", "0.0 as dup_line_share", "0.0 as repeat_share", "5.0 as long_words", "-5.0 as short_words"]
+    counted = spark.range(1000).selectExpr("id as doc_id", "if(id < 600, 'de', if(id < 980, 'fr', 'es')) as lang", "false as base_failed", *ratios)
+    labels = spark.range(1000).selectExpr("id as doc_id", "cast(id % 8 <> 0 as int) as quality")
+    limits = quality_rules.thresholds(counted, labels).collect()
+    assert {r.stratum for r in limits} == {"de", "fr"} and {r.rule for r in limits} == {"symbol_share"} and {r.n_false for r in limits} == {0}
+    # A rule that rejects a fifth of the good documents with the bad ones is not certified.
+    mixed = counted.withColumn("symbol_share", F.when(F.col("doc_id") % 5 == 0, 0.2).otherwise(F.col("symbol_share")))
+    assert quality_rules.thresholds(mixed, labels).count() == 0
