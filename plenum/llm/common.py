@@ -2,42 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 
+from plenum.shared import shared_folder, written  # noqa: F401
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = " \t\n\x0b\x0c\r"
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="plenum-")
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only a session in one process may go without.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.shared import written
+
 #: Popups from the most to the least urgent; a case that is not listed is dropped.
 PRIORITY = ("3", "2", "document", "0", "recommendation")
 
@@ -58,16 +60,26 @@ def transition(topics: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     return d.withColumn("action", act.when((F.col("status") == "open") & F.col("state").isNull(), "pend").otherwise("skip"))
 
 
-def chains(links: DataFrame, depth: int = 100) -> DataFrame:
-    """id, root, steps: from each newest row back along ``previous``. ``links`` (id, previous)."""
-    spark = links.sparkSession
-    return spark.sql(
-        f"""with recursive walk(id, previous, newest, steps) as (
-            select id, previous, id, 0 from {{links}} where id not in (select previous from {{links}} where previous is not null)
-            union all select l.id, l.previous, w.newest, w.steps + 1 from walk w join {{links}} l on l.id = w.previous where w.steps < {depth})
-        select newest, id, steps from walk""",
-        links=links,
-    )
+def chains(links: DataFrame) -> DataFrame:
+    """newest, id, steps: from each newest row back along ``previous`` to its end. ``links`` (id, previous); an id of any type.
+
+    By pointer doubling: after k rounds a walk has its first 2^k rows, and a jump leads 2^k rows back. Tables between rounds
+    lie in the shared folder. A walk that runs into a circle has no end and raises an error.
+    """
+    rows = written(links.where("id is not null").select("id", "previous"), "chain_links")
+    jump = rows.join(rows.select(F.col("id").alias("previous")).distinct(), "previous", "left_semi").select("id", "previous")
+    older = rows.select(F.col("previous").alias("id")).where("id is not null")
+    walk = rows.join(older, "id", "left_anti").select(F.col("id").alias("newest"), "id", F.lit(0).alias("steps"))
+    walk, most, reach = written(walk, "chain_walk"), rows.count(), 1
+    while True:
+        more = written(walk.join(jump, "id").select("newest", F.col("previous").alias("id"), (F.col("steps") + reach).alias("steps")), "chain_walk")
+        if more.isEmpty():
+            return walk.select("newest", "id", "steps")
+        if reach >= most:
+            raise ValueError("the links of a chain run in a circle")
+        walk = written(walk.unionByName(more), "chain_walk")
+        then = jump.select(F.col("id").alias("previous"), F.col("previous").alias("last"))
+        jump, reach = written(jump.join(then, "previous").select("id", F.col("last").alias("previous")), "chain_jump"), 2 * reach
 
 
 def versions(files: DataFrame, group: list[str], *order: str) -> DataFrame:

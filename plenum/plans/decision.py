@@ -80,8 +80,12 @@ def _(t):
 w as (select id, previous, id as newest, 0 as steps from l where id not in (select previous from l where previous is not null) union all select l.id, l.previous, w.newest, w.steps + 1 from w join l on l.id = w.previous) select newest, id, steps from w""",
 )
 def _(t):
-    i = F.col("meeting_id") * 100 + F.col("segment_index")
-    return D.chains(t("segments").select(i.alias("id"), F.when(F.col("segment_index") > 0, i - 1).alias("previous")))
+    # Links are keyed by both columns; the number that the SQL makes of them is unique only below 100 turns.
+    key = lambda turn: F.struct(F.col("meeting_id").alias("meeting_id"), turn.alias("segment_index"))
+    i = F.col("segment_index")
+    found = D.chains(t("segments").select(key(i).alias("id"), F.when(i > 0, key(i - 1)).alias("previous")))
+    number = lambda c: (F.col(f"{c}.meeting_id") * 100 + F.col(f"{c}.segment_index")).alias(c)
+    return found.select(number("newest"), number("id"), "steps")
 
 
 @query("d10_resolve", "select decision_id, case when status = 'pending' and reasoned then 'resolved' else status end as status from {decisions}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plenum.functions import cleaning as C
 from plenum.functions import scalars as V
 from plenum.functions import scores
-from plenum.operators import chunking, evaluation, greedy, layout, measures, search, speakers
+from plenum.operators import chunking, decisions, evaluation, greedy, layout, measures, search, speakers
 from plenum.sources import readers
 
 
@@ -159,3 +159,17 @@ def test_line_votes(spark):
     rows = spark.createDataFrame([(1, 0, 0, "hello world"), (1, 0, 1, "zzz"), (1, 1, 0, "hello worle"), (1, 1, 1, None), (2, 1, 0, "only")], "page int, side int, pos int, text string")
     got = sorted((r.page, r.at, r.verdict, r.first, r.second) for r in greedy.line_votes(rows, "page").collect())
     assert got == [(1, 0, "agree", "hello world", "hello worle"), (1, 1, "single", "zzz", None), (1, 2, "single", None, ""), (2, 0, "single", None, "only")]
+
+
+def test_long_chains(spark, tmp_path):
+    from plenum.catalog import QUERIES
+
+    turns = [(c, i, "user", "x") for c, n in ((1, 150), (2, 3)) for i in range(n)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = sorted((r.newest, r.id, r.steps) for r in QUERIES["d9_chains"](spark, str(tmp_path)).collect())
+    assert out == sorted([(249, 100 + i, 149 - i) for i in range(150)] + [(202, 200 + i, 2 - i) for i in range(3)])
+    # Two newest rows share older ones; a circle is an error.
+    forked = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 2)], "id int, previous int")
+    assert sorted(map(tuple, decisions.chains(forked).collect())) == [(3, 1, 2), (3, 2, 1), (3, 3, 0), (4, 1, 2), (4, 2, 1), (4, 4, 0)]
+    with pytest.raises(ValueError):
+        decisions.chains(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id int, previous int"))
