@@ -23,6 +23,54 @@ def word_distance(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(code(ref), code(hyp))
 
 
+def edit_distance(ref, hyp) -> int:
+    """Levenshtein distance of two sequences, whole and exact: one column of the table as bits of an integer, memory in proportion to ``ref``."""
+    low, high = 0, min(len(ref), len(hyp))
+    while low < high and ref[low] == hyp[low]:
+        low += 1
+    end = 0
+    while end < high - low and ref[-1 - end] == hyp[-1 - end]:
+        end += 1
+    ref, hyp = ref[low : len(ref) - end], hyp[low : len(hyp) - end]
+    if not ref or not hyp:
+        return len(ref) + len(hyp)
+    places: dict = {}
+    for i, x in enumerate(ref):
+        places.setdefault(x, []).append(i)
+    masks = {}
+    for x, at in places.items():
+        bits = bytearray(len(ref) // 8 + 1)
+        for i in at:
+            bits[i >> 3] |= 1 << (i & 7)
+        masks[x] = int.from_bytes(bits, "little")
+    full, last, cost = (1 << len(ref)) - 1, len(ref) - 1, len(ref)
+    up, down = full, 0
+    for x in hyp:
+        eq = masks.get(x, 0)
+        zero = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (full & ~(zero | up)), up & zero
+        cost += (plus >> last & 1) - (minus >> last & 1)
+        plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
+        up, down = minus | (full & ~(zero | plus)), plus & zero
+    return cost
+
+
+def page_errors(pairs: DataFrame) -> DataFrame:
+    """The group, char_errors, chars, word_errors, words of ``pairs`` (group, ref, hyp): whole texts, null as empty."""
+    group = pairs.schema["group"].dataType.simpleString()
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for g, ref, hyp in zip(rows["group"], rows["ref"], rows["hyp"]):
+                ref, hyp = ref or "", hyp or ""
+                a, b = ref.split(), hyp.split()
+                out.append([g, edit_distance(ref, hyp), len(ref), edit_distance(a, b), len(a)])
+            yield pd.DataFrame(out, columns=["group", "char_errors", "chars", "word_errors", "words"])
+
+    return pairs.select("group", "ref", "hyp").mapInPandas(run, f"`group` {group}, char_errors long, chars long, word_errors long, words long")
+
+
 def corpus_rate(errors: str, total: str) -> Column:
     """A micro average: all errors over all reference units."""
     return F.sum(errors) / F.greatest(F.sum(total), F.lit(1))

@@ -284,6 +284,12 @@ def _(t):
     return d.groupBy("lang").agg(F.round(E.corpus_rate("errors", "total"), 9).alias("rate"))
 
 
+@query("e9_whole_page_rate")
+def _(t):
+    d = E.page_errors(t("chunks").select(F.col("collection").alias("group"), F.col("text").alias("ref"), F.regexp_replace("text", "[#*`]", "").alias("hyp")))
+    return d.groupBy(F.col("group").alias("lang")).agg(E.corpus_rate("char_errors", "chars").alias("cer"), E.corpus_rate("word_errors", "words").alias("wer"))
+
+
 @query("e12_z_scores", "select kind, round((max(value) - avg(value)) / stddev_pop(value), 6) as z from {activity} group by kind")
 def _(t):
     return t("activity").groupBy("kind").agg(F.round((F.max("value") - F.avg("value")) / F.stddev_pop("value"), 6).alias("z"))

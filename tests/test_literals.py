@@ -173,3 +173,23 @@ def test_long_chains(spark, tmp_path):
     assert sorted(map(tuple, decisions.chains(forked).collect())) == [(3, 1, 2), (3, 2, 1), (3, 3, 0), (4, 1, 2), (4, 2, 1), (4, 4, 0)]
     with pytest.raises(ValueError):
         decisions.chains(spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "id int, previous int"))
+
+
+def test_whole_page_rate(spark, tmp_path):
+    import random
+
+    from plenum.catalog import QUERIES
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab#") for _ in range(rng.randrange(70))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        assert evaluation.edit_distance(a, b) == row[-1]
+    rows = [(1, "x" * 40 + " # b*c", "en", "s", 46), (2, "`" * 50 + " y", "de", "s", 52), (3, None, "de", "s", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.lang: (r.cer, r.wer) for r in QUERIES["e9_whole_page_rate"](spark, str(tmp_path)).collect()}
+    assert out == {"en": (2 / 46, 2 / 3), "de": (50 / 52, 1 / 2)}
