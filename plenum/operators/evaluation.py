@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,11 +18,13 @@ def held_out(key: str, share: float) -> Column:
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance over words: each distinct word of both texts becomes one character. Up to 6,000 different words."""
-    words = lambda c: F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
-    both = F.array_distinct(F.concat(words(ref), words(hyp)))
-    code = lambda c: F.array_join(F.transform(words(c), lambda w: F.decode(F.unhex(F.hex(F.array_position(both, w) + 0xE000)), "UTF-16BE")), "")
-    return F.levenshtein(code(ref), code(hyp))
+    """Edit distance over words, with any number of different words; null if a text is null."""
+
+    def run(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+        words = lambda t: [w for w in re.split(r"[ \t\n\x0b\f\r]+", t) if w]
+        return pd.Series([None if r is None or h is None else edit_distance(words(r), words(h)) for r, h in zip(refs, hyps)], dtype="Int64")
+
+    return F.pandas_udf(run, "int")(ref, hyp)
 
 
 def edit_distance(ref, hyp) -> int:

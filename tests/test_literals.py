@@ -193,3 +193,10 @@ def test_whole_page_rate(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     out = {r.lang: (r.cer, r.wer) for r in QUERIES["e9_whole_page_rate"](spark, str(tmp_path)).collect()}
     assert out == {"en": (2 / 46, 2 / 3), "de": (50 / 52, 1 / 2)}
+
+
+def test_word_distance_of_many_words(spark):
+    ref = [f"w{i}" for i in range(12000)]
+    hyp = ref[:100] + ["new"] + ref[100:9000] + ["other"] + ref[9001:11990] + [" \n"]
+    d = spark.createDataFrame([(" ".join(ref), " ".join(hyp)), (None, "a")], "r string, h string")
+    assert [r.d for r in d.select(evaluation.word_distance(F.col("r"), F.col("h")).alias("d")).collect()] == [12, None]
