@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 BROKEN = "□▯�\\x00"
 ALLOWED = r""".,!?:;()\[\]{}%+\-=@#/\\"'…—·"""
 HANGUL = "가-힣"
+#: White space as a class of a pattern and as characters.
+WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def share(text: Column, pattern: str) -> Column:
@@ -17,7 +20,7 @@ def share(text: Column, pattern: str) -> Column:
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
 
 
 def lines_of(text: Column) -> Column:

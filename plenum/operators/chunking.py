@@ -1,16 +1,91 @@
-"""Chunks of documents and transcripts: an ordered fold with resets over the pieces of one document."""
+"""Chunks of documents and transcripts: the pieces of a document are walked in order, one open chunk is kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_LINES = "array<string>"
-_CHUNK = "array<struct<content:string,first:bigint,last:bigint>>"
+from plenum.functions.scores import stripped
+
+
+class _Document:
+    """The open chunk of a document: a title and lines."""
+
+    def __init__(self, most: int, least: int):
+        self.most, self.least = most, least
+        self.lines, self.title, self.page, self.chars = [], "", 1, 0
+
+    def close(self) -> tuple | None:
+        content = "\n".join(x for x in (self.title, "\n".join(self.lines)) if x)
+        return (content, self.page) if content else None
+
+    def add(self, style: str, text: str, page: int) -> tuple | None:
+        head = style in ("title", "heading")
+        full = self.chars + len(text) > self.most and self.chars >= self.least
+        ended = bool(self.lines) if head else full
+        out = self.close() if ended else None
+        self.chars = (0 if ended else self.chars) + (0 if head else len(text))
+        self.lines = ([] if ended or head else self.lines) + ([] if head else [text])
+        self.title, self.page = text if head else self.title, page
+        return out
+
+
+class _Transcript:
+    """The open chunk of a transcript: lines of one speaker."""
+
+    def __init__(self, most: int, least: int):
+        self.most, self.least = most, least
+        self.lines, self.chars, self.who, self.start, self.end = [], 0, None, 0, 0
+
+    def close(self) -> tuple | None:
+        return ("\n".join(self.lines), self.start, self.end) if self.lines else None
+
+    def add(self, who: str, text: str, start: int, end: int) -> tuple | None:
+        line, out = f"[{who}]: {text}", None
+        if self.lines and (who != self.who or (self.chars + len(line) > self.most and self.chars >= self.least)):
+            out, self.lines, self.chars = self.close(), [], 0
+        if not self.lines:
+            self.start = start
+        self.lines.append(line)
+        self.chars, self.who, self.end = self.chars + len(line), who, end
+        return out
+
+
+def _walk(pieces: DataFrame, key: str, columns: list[str], opened: Callable, schema: str) -> DataFrame:
+    """Walks each key's pieces (key, pos, columns) in order; whatever ``opened()`` closes becomes a row, numbered from 0. A key of any length streams through its task."""
+    kind = dict(pieces.dtypes)[key]
+    ordered = pieces.select(key, "pos", *columns).repartition(key).sortWithinPartitions(key, "pos", *columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        names = [key, "chunk", *(c.split()[0] for c in schema.split(", "))]
+        now, chunk, state = object(), 0, None
+        for batch in batches:
+            out = []
+
+            def put(row):
+                nonlocal chunk
+                if row is not None:
+                    out.append((now, chunk, *row))
+                    chunk += 1
+
+            for k, _, *piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if state is None or k != now:
+                    put(state.close() if state else None)
+                    now, chunk, state = k, 0, opened()
+                put(state.add(*piece))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
+        if state and (row := state.close()):
+            yield pa.RecordBatch.from_pylist([dict(zip(names, (now, chunk, *row)))], schema=arrow)
 
+    full = f"{key} {kind}, chunk int, {schema}"
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-def _empty(kind: str) -> Column:
-    return F.array().cast(kind)
+    arrow = to_arrow_schema(pieces.sparkSession.createDataFrame([], full).schema)
+    return ordered.mapInArrow(run, full)
 
 
 def chunk_documents(pieces: DataFrame, key: str, most: int = 1700, least: int = 500) -> DataFrame:
@@ -20,31 +95,8 @@ def chunk_documents(pieces: DataFrame, key: str, most: int = 1700, least: int =
     of titles in a row the last counts. A chunk closes before a piece that would take it over ``most``
     characters, once it has ``least``.
     """
-    clean = pieces.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")).where("text <> '' and coalesce(style, 'body') <> 'caption'")
-    g = clean.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("style", F.lit("body")).alias("style"), "text", F.col("page").cast("bigint").alias("page")))).alias("p"))
-    start = F.struct(_empty(_CHUNK).alias("out"), _empty(_LINES).alias("lines"), F.lit("").alias("title"), F.lit(1).cast("bigint").alias("page"), F.lit(0).alias("chars"))
-
-    def flush(a):
-        body = F.array_join(a["lines"], "\n")
-        content = F.when(a["title"] == "", body).when(body == "", a["title"]).otherwise(F.concat(a["title"], F.lit("\n"), body))
-        one = F.struct(content.alias("content"), a["page"].alias("first"), a["page"].alias("last"))
-        return F.when(content == "", a["out"]).otherwise(F.concat(a["out"], F.array(one)))
-
-    def step(a, x):
-        head = x["style"].isin("title", "heading")
-        full = ~head & (a["chars"] + F.length(x["text"]) > most) & (a["chars"] >= least)
-        close = (head & (F.size(a["lines"]) > 0)) | full
-        lines = F.when(close | head, _empty(_LINES)).otherwise(a["lines"])
-        return F.struct(
-            F.when(close, flush(a)).otherwise(a["out"]).alias("out"),
-            F.when(head, lines).otherwise(F.concat(lines, F.array(x["text"]))).alias("lines"),
-            F.when(head, x["text"]).otherwise(a["title"]).alias("title"),
-            x["page"].alias("page"),
-            (F.when(close, 0).otherwise(a["chars"]) + F.when(head, 0).otherwise(F.length(x["text"]))).alias("chars"),
-        )
-
-    out = g.select(key, F.posexplode(F.aggregate("p", start, step, flush)).alias("chunk", "c"))
-    return out.select(key, "chunk", "c.content", F.col("c.first").alias("page"))
+    clean = pieces.select(key, "pos", F.coalesce("style", F.lit("body")).alias("style"), stripped(F.col("text")).alias("text"), F.col("page").cast("bigint").alias("page"))
+    return _walk(clean.where("text <> '' and style <> 'caption'"), key, ["style", "text", "page"], lambda: _Document(most, least), "content string, page long")
 
 
 def chunk_transcripts(segments: DataFrame, key: str, most: int = 800, least: int = 300) -> DataFrame:
@@ -52,32 +104,9 @@ def chunk_transcripts(segments: DataFrame, key: str, most: int = 800, least: int
 
     A chunk closes when the speaker changes, or before a line that would take it over ``most`` characters once it has ``least``.
     """
-    clean = segments.withColumn("text", F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")).where("text <> ''")
-    line = F.concat(F.lit("["), F.coalesce("speaker", F.lit("SPEAKER_00")), F.lit("]: "), F.col("text"))
-    row = F.struct("pos", line.alias("line"), F.coalesce("speaker", F.lit("SPEAKER_00")).alias("who"), F.col("start_ms").cast("bigint").alias("s"), F.col("end_ms").cast("bigint").alias("e"))
-    g = clean.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("p"))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(_empty(_CHUNK).alias("out"), _empty(_LINES).alias("lines"), F.lit(0).alias("chars"), F.lit(None).cast("string").alias("who"), zero.alias("s"), zero.alias("e"))
-
-    def flush(a):
-        one = F.struct(F.array_join(a["lines"], "\n").alias("content"), a["s"].alias("first"), a["e"].alias("last"))
-        return F.when(F.size(a["lines"]) == 0, a["out"]).otherwise(F.concat(a["out"], F.array(one)))
-
-    def step(a, x):
-        n = F.length(x["line"])
-        close = (F.size(a["lines"]) > 0) & ((a["who"] != x["who"]) | ((a["chars"] + n > most) & (a["chars"] >= least)))
-        fresh = close | (F.size(a["lines"]) == 0)
-        return F.struct(
-            F.when(close, flush(a)).otherwise(a["out"]).alias("out"),
-            F.when(close, F.array(x["line"])).otherwise(F.concat(a["lines"], F.array(x["line"]))).alias("lines"),
-            F.when(close, n).otherwise(a["chars"] + n).alias("chars"),
-            x["who"].alias("who"),
-            F.when(fresh, x["s"]).otherwise(a["s"]).alias("s"),
-            x["e"].alias("e"),
-        )
-
-    out = g.select(key, F.posexplode(F.aggregate("p", start, step, flush)).alias("chunk", "c"))
-    return out.select(key, "chunk", "c.content", F.col("c.first").alias("start_ms"), F.col("c.last").alias("end_ms"))
+    times = [F.col(c).cast("bigint").alias(c) for c in ("start_ms", "end_ms")]
+    clean = segments.select(key, "pos", F.coalesce("speaker", F.lit("SPEAKER_00")).alias("who"), stripped(F.col("text")).alias("text"), *times)
+    return _walk(clean.where("text <> ''"), key, ["who", "text", "start_ms", "end_ms"], lambda: _Transcript(most, least), "content string, start_ms long, end_ms long")
 
 
 def chunk_ids(chunks: DataFrame, key: str) -> DataFrame:

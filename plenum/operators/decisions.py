@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,18 +42,26 @@ def alerts(rows: DataFrame, keys: list[str], reasoned: str, *order: str) -> Data
 def cooled_down(rows: DataFrame, keys: list[str], at: str, tie: str, seconds: int) -> DataFrame:
     """keys, tie, accepted: a row is accepted if ``seconds`` have passed since the last accepted one of its key.
 
-    The pause starts anew at each accepted row, which no window frame can say: a fold over each key's ordered
-    times. A key's times are one array; the streaming twin keeps one time for a key instead.
+    The pause starts anew at each accepted row, which no window frame can say: each key's ordered rows are walked in
+    Arrow batches, and only the last accepted time is kept, so a key of any length streams through its task. A row without
+    a time is not accepted.
     """
-    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(at).cast("timestamp")).alias("t"), F.col(tie).alias("id")))).alias("x"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<boolean>").alias("ok"))
+    kinds = dict(rows.dtypes)
+    d = rows.select(*keys, tie, F.unix_micros(F.col(at).cast("timestamp")).alias("_t"))
+    ordered = d.repartition(*keys).sortWithinPartitions(*keys, "_t", tie)
 
-    def step(a, e):
-        ok = a["last"].isNull() | (e["t"] >= a["last"] + seconds * 1_000_000)
-        return F.struct(F.when(ok, e["t"]).otherwise(a["last"]).alias("last"), F.concat(a["ok"], F.array(ok)).alias("ok"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, 0
+        for batch in batches:
+            ok = []
+            for *key, _, t in zip(*(c.to_pylist() for c in batch.columns)):
+                hit = t is not None and (key != last_key or t >= last + seconds * 1_000_000)
+                last, last_key = t if hit else last if key == last_key else -1 << 62, key
+                ok.append(hit)
+            yield pa.record_batch([*batch.columns[:-1], pa.array(ok, pa.bool_())], [*keys, tie, "accepted"])
 
-    g = g.withColumn("ok", F.aggregate("x", start, step, lambda a: a["ok"]))
-    return g.select(*keys, F.explode(F.arrays_zip(F.transform("x", lambda e: e["id"]).alias("id"), "ok")).alias("z")).select(*keys, F.col("z.id").alias(tie), F.col("z.ok").alias("accepted"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, tie])
+    return ordered.mapInArrow(run, f"{schema}, accepted boolean")
 
 
 def transition(topics: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -82,6 +93,28 @@ def chains(links: DataFrame) -> DataFrame:
         jump, reach = written(jump.join(then, "previous").select("id", F.col("last").alias("previous")), "chain_jump"), 2 * reach
 
 
+def resolved(conflicts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``decisions`` (decision_id, meeting_id, title, text, reason, status, previous) after the ``conflicts`` (conflict_id, decision_id, meeting_id, resolution, text, reason) are resolved.
+
+    A change that is acknowledged supersedes the active decision it is about; a new active one, named after the conflict, takes
+    its title and points back to it. Other conflicts change no decision. Of several changes of one decision that of the smallest conflict counts.
+    """
+    c = conflicts.where("resolution = 'change_acknowledged' and decision_id is not null")
+    c = c.groupBy("decision_id").agg(F.min_by(F.struct("conflict_id", F.col("meeting_id").alias("held"), F.col("text").alias("said"), F.col("reason").alias("why")), "conflict_id").alias("c"))
+    d = decisions.join(c, "decision_id", "left").withColumn("hit", F.col("c").isNotNull() & (F.col("status") == "active"))
+    old = d.withColumn("status", F.when(F.col("hit"), "superseded").otherwise(F.col("status"))).select(*decisions.columns)
+    new = d.where("hit").select(
+        F.concat(F.lit("conflict-"), F.col("c.conflict_id").cast("string")).alias("decision_id"),
+        F.coalesce("c.held", "meeting_id").alias("meeting_id"),
+        "title",
+        F.col("c.said").alias("text"),
+        F.col("c.why").alias("reason"),
+        F.lit("active").alias("status"),
+        F.col("decision_id").alias("previous"),
+    )
+    return old.unionByName(new.select(*decisions.columns))
+
+
 def versions(files: DataFrame, group: list[str], *order: str) -> DataFrame:
     """``files`` with version_no from 1 and is_newest; one file of a group is the newest."""
     w = Window.partitionBy(*group).orderBy(*order)

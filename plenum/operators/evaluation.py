@@ -9,12 +9,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenum.functions.cleaning import normal_form
+
 from .windows import prefix_sums
 
 
 def held_out(key: str, share: float) -> Column:
-    """A split by the key, so that all rows of a key fall on one side."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(1000)) < int(share * 1000)
+    """A split by the key's MD5, so that all rows of a key fall on one side, wherever the split is made."""
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") % 1000 < int(share * 1000)
+
+
+def unseen(rows: DataFrame, used: DataFrame, key: str, n: int) -> DataFrame:
+    """``n`` rows, in the order of their key's MD5, of those whose key is not among the ``used`` ones; null keys don't count."""
+    pool = rows.where(F.col(key).isNotNull()).join(used.select(key), key, "left_anti")
+    return pool.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
 
 
 def word_distance(ref: Column, hyp: Column) -> Column:
@@ -59,17 +67,24 @@ def edit_distance(ref, hyp) -> int:
     return cost
 
 
+def page_text(text: str | None) -> str:
+    """A page without the marks of tables (raised characters, separators, bars) and the dots of contents, with single blanks."""
+    t = re.sub(r"\\\(\^\{+([^{}]*)\}+\\\)", r"\1", text or "")
+    t = re.sub(r"(?m)^\s*\|[\s:|-]+\|\s*$", "", t).replace("|", " ")
+    return " ".join(re.sub(r"[·.]{2,}", " ", t).split())
+
+
 def page_errors(pairs: DataFrame) -> DataFrame:
-    """The group, char_errors, chars, word_errors, words of ``pairs`` (group, ref, hyp): whole texts, null as empty."""
+    """The group, char_errors, chars, word_errors, words of ``pairs`` (group, ref, hyp): whole texts after ``page_text``; an empty reference counts nothing."""
     group = pairs.schema["group"].dataType.simpleString()
 
     def run(batches):
         for rows in batches:
             out = []
             for g, ref, hyp in zip(rows["group"], rows["ref"], rows["hyp"]):
-                ref, hyp = ref or "", hyp or ""
+                ref, hyp = page_text(ref), page_text(hyp)
                 a, b = ref.split(), hyp.split()
-                out.append([g, edit_distance(ref, hyp), len(ref), edit_distance(a, b), len(a)])
+                out.append([g, edit_distance(ref, hyp), len(ref), edit_distance(a, b), len(a)] if ref else [g, 0, 0, 0, 0])
             yield pd.DataFrame(out, columns=["group", "char_errors", "chars", "word_errors", "words"])
 
     return pairs.select("group", "ref", "hyp").mapInPandas(run, f"`group` {group}, char_errors long, chars long, word_errors long, words long")
@@ -105,63 +120,122 @@ def min_cost(points: DataFrame, prior: float = 0.01) -> DataFrame:
 
 
 def align(ref: list[str], hyp: list[str]) -> list[tuple[str, int, int]]:
-    """Edit operations (equal, substitute, delete, insert) with the words' places, by dynamic programming."""
+    """Edit operations (equal, substitute, delete, insert) with the words' places.
+
+    Of equally short ways the one that, from the end on, pairs words before it deletes and deletes before it inserts.
+    Memory grows with the product of the lengths: a byte for each pair of words.
+    """
     n, m = len(ref), len(hyp)
-    cost = np.zeros((n + 1, m + 1), int)
-    cost[:, 0], cost[0, :] = np.arange(n + 1), np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+    words = {w: k for k, w in enumerate(dict.fromkeys(hyp))}
+    b, steps = np.array([words[w] for w in hyp], int), np.arange(m + 1)
+    # moves[i, j]: how the best way reaches (i, j).
+    moves, row = np.full((n + 1, m + 1), 2, np.uint8), steps.copy()
+    for i, word in enumerate(ref, 1):
+        pair = np.append(row[0] + n + m + 2, row[:-1] + (b != words.get(word, -1)))
+        best = np.minimum(pair, row + 1)
+        best = np.minimum.accumulate(best - steps) + steps
+        moves[i] = np.where(best == pair, 0, np.where(best == row + 1, 1, 2))
+        row = best
     out, i, j = [], n, m
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
-            out.append(("equal" if ref[i - 1] == hyp[j - 1] else "substitute", i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
-            out.append(("delete", i - 1, j))
-            i -= 1
-        else:
-            out.append(("insert", i, j - 1))
-            j -= 1
+        move = moves[i, j]
+        i, j = i - (move != 2), j - (move != 1)
+        out.append(("delete" if move == 1 else "insert" if move == 2 else "equal" if ref[i] == hyp[j] else "substitute", int(i), int(j)))
     return out[::-1]
 
 
-def biased_errors(pairs: DataFrame, terms: list[str]) -> DataFrame:
-    """id, term_errors, term_words, other_errors, other_words of ``pairs`` (id, ref, hyp): errors on terms and on the rest.
-
-    An inserted word counts to the terms if it is one.
-    """
-    wanted = frozenset(terms)
+def aligned(pairs: DataFrame) -> DataFrame:
+    """id, at, op, ref_word, hyp_word of ``pairs`` (id, ref, hyp): the edit operations between both texts' normal forms."""
 
     def run(batches):
         for rows in batches:
             out = []
             for r in rows.itertuples():
-                ref, hyp = (r.ref or "").split(), (r.hyp or "").split()
-                count = [0, sum(w in wanted for w in ref), 0, 0]
-                count[3] = len(ref) - count[1]
-                for op, i, j in align(ref, hyp):
-                    if op != "equal":
-                        count[0 if (hyp[j] if op == "insert" else ref[i]) in wanted else 2] += 1
-                out.append([r.id, *count])
-            yield pd.DataFrame(out, columns=["id", "term_errors", "term_words", "other_errors", "other_words"])
-
-    return pairs.select("id", "ref", "hyp").mapInPandas(run, "id long, term_errors long, term_words long, other_errors long, other_words long")
-
-
-def bootstrap(rows: DataFrame, errors: str, total: str, draws: int = 200, seed: int = 0) -> DataFrame:
-    """low, high: a 95 % interval of the micro average. Each row counts a Poisson number of times in each draw, so rows stay where they are."""
-    u = F.rand(seed)
-    times, mass, reach = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    for k in range(1, 9):
-        times = times + (F.col("u") > reach).cast("int")
-        mass /= k
-        reach += mass
-    d = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("u", u).withColumn("times", times)
-    d = d.groupBy("draw").agg((F.sum(F.col(errors) * F.col("times")) / F.greatest(F.sum(F.col(total) * F.col("times")), F.lit(1))).alias("rate"))
+                ref, hyp = normal_form(r.ref).split(), normal_form(r.hyp).split()
+                for at, (op, i, j) in enumerate(align(ref, hyp)):
+                    out.append((r.id, at, op, None if op == "insert" else ref[i], None if op == "delete" else hyp[j]))
+            yield pd.DataFrame(out, columns=["id", "at", "op", "ref_word", "hyp_word"])
+
+    return pairs.select("id", "ref", "hyp").mapInPandas(run, "id long, at int, op string, ref_word string, hyp_word string")
+
+
+def biased_errors(operations: DataFrame, terms: list[str]) -> DataFrame:
+    """id, term_errors, term_words, other_errors, other_words, invented of ``aligned`` operations.
+
+    A word belongs to the terms if it holds one, as particles are attached to it. An inserted word counts by itself;
+    inserted terms are ``invented``.
+    """
+    wanted = [t for t in (normal_form(x).replace(" ", "") for x in terms) if t]
+    ins, wrong = F.col("op") == "insert", F.col("op") != "equal"
+    word = F.when(ins, F.col("hyp_word")).otherwise(F.col("ref_word"))
+    term = F.exists(F.array(*map(F.lit, wanted)), lambda t: F.contains(word, t)) if wanted else F.lit(False)
+    d = operations.withColumn("_term", term)
+    term = F.col("_term")
+    return d.groupBy("id").agg(
+        F.count_if(term & wrong).alias("term_errors"),
+        F.count_if(term & ~ins).alias("term_words"),
+        F.count_if(~term & wrong).alias("other_errors"),
+        F.count_if(~term & ~ins).alias("other_words"),
+        F.count_if(term & ins).alias("invented"),
+    )
+
+
+def term_recall(ref: Column, hyp: Column, terms: list[str]) -> Column:
+    """struct<expected, found>: how often the terms occur in ``ref``, and how many of these in ``hyp`` too; blanks don't count. Texts in normal form."""
+    a, b = (F.replace(F.coalesce(x, F.lit("")), F.lit(" "), F.lit("")) for x in (ref, hyp))
+    own = [occurrences(a, F.lit(t)) for t in (normal_form(x).replace(" ", "") for x in terms)]
+    both = [F.least(occurrences(a, F.lit(t)), occurrences(b, F.lit(t))) for t in (normal_form(x).replace(" ", "") for x in terms)]
+    zero = F.lit(0).cast("long")
+    return F.struct(sum(own, zero).alias("expected"), sum(both, zero).alias("found"))
+
+
+def z_scores(rows: DataFrame, key: str, score: str) -> DataFrame:
+    """key, top, margin, z: the best score, its lead over the next, and its distance from the others' mean in their deviations; z is 0 for fewer than two others."""
+    from pyspark.sql import Window
+
+    d = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score))))
+    rest = lambda f: f(F.when(F.col("_n") > 1, F.col(score)))
+    g = d.groupBy(key).agg(F.max(score).alias("top"), rest(F.max).alias("_next"), rest(F.avg).alias("_mean"), rest(F.stddev_pop).alias("_dev"), rest(F.count).alias("_k"))
+    z = F.when(F.col("_k") >= 2, (F.col("top") - F.col("_mean")) / (F.col("_dev") + 1e-6)).otherwise(F.lit(0.0))
+    return g.select(key, "top", F.coalesce(F.col("top") - F.col("_next"), F.lit(0.0)).alias("margin"), z.alias("z"))
+
+
+def resampled(rows: DataFrame, key: str, sums: list[str], draws: int = 10_000) -> DataFrame:
+    """draw and the ``sums`` of integer columns in each of ``draws`` resamples.
+
+    Each row counts a Poisson number of times in a draw, by a generator of its key: the result depends neither on the
+    partitioning nor on the order. Tasks add their rows up; a row for each draw leaves them.
+    """
+
+    def run(batches):
+        total = np.zeros((len(sums), draws), np.int64)
+        for batch in batches:
+            for seed, *values in zip(batch["_k"], *(batch[s] for s in sums)):
+                times = np.random.default_rng(seed & (1 << 64) - 1).poisson(1.0, draws)
+                total += times * np.array(values, np.int64)[:, None]
+        yield pd.DataFrame({"draw": np.arange(draws), **dict(zip(sums, total))})
+
+    d = rows.select(F.xxhash64(key).alias("_k"), *(F.coalesce(F.col(s).cast("long"), F.lit(0)).alias(s) for s in sums))
+    part = d.mapInPandas(run, ", ".join(["draw long", *(f"{s} long" for s in sums)]))
+    return part.groupBy("draw").agg(*(F.sum(s).alias(s) for s in sums))
+
+
+def bootstrap(rows: DataFrame, key: str, errors: str, total: str, draws: int = 10_000) -> DataFrame:
+    """low, high: a 95 % interval of the micro average of ``rows``."""
+    d = resampled(rows, key, [errors, total], draws).select((F.col(errors) / F.greatest(F.col(total), F.lit(1))).alias("rate"))
     return d.agg(F.percentile("rate", 0.025).alias("low"), F.percentile("rate", 0.975).alias("high"))
 
 
+def paired_bootstrap(rows: DataFrame, key: str, a: tuple[str, str], b: tuple[str, str], draws: int = 10_000) -> DataFrame:
+    """point, low, high, p: the difference of two systems' rates (errors, total) over the same rows, both resampled alike; p is two-sided."""
+    rate = lambda x: F.col(x[0]) / F.greatest(F.col(x[1]), F.lit(1))
+    d = resampled(rows, key, list(dict.fromkeys([*a, *b])), draws).select((rate(a) - rate(b)).alias("d"))
+    ends = d.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg((F.col("d") <= 0).cast("double")).alias("_l"), F.avg((F.col("d") >= 0).cast("double")).alias("_h"))
+    point = rows.agg((corpus_rate(*a) - corpus_rate(*b)).alias("point"))
+    # One row each.
+    return point.crossJoin(ends).select("point", "low", "high", F.least(F.lit(1.0), 2 * F.least("_l", "_h")).alias("p"))
+
+
 def speaker_trials(rows: DataFrame, session: str, speaker: str, item: str, partners: int = 2) -> DataFrame:
     """label, a, b: each item meets the ``partners`` next ones of its session in an order by hash; label 1 for one speaker."""
     from pyspark.sql import Window

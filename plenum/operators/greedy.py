@@ -2,42 +2,82 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plenum.functions.scores import gate
 
-def vote_lines(a: list[str], b: list[str], same: float = 0.84, part: float = 0.10) -> list[tuple[str, str | None, str | None]]:
-    """Each line of ``a`` takes the most similar unused line of ``b``: agree, partial or single; what is left of ``b`` follows."""
+from .evaluation import edit_distance
+
+
+#: Two lines agree, are partly alike; the confidence of a part and of a line of one reading; the gate of the whole text.
+SAME, PART, PART_CONFIDENCE, ALONE_CONFIDENCE = 0.84, 0.10, 0.55, 0.62
+GATE = {"least_chars": 4, "most_special": 0.40, "most_words": 0.60, "most_lines": 0.50, "least_confidence": 0.40}
+
+
+def without_marks(text: str) -> str:
+    """A reading without tags, LaTeX commands and braces, with single blanks."""
+    return " ".join(re.sub(r"[{}]", "", re.sub(r"\\[a-zA-Z]+\{[^}]*\}|\\[a-zA-Z]+", "", re.sub(r"<[^>]+>", "", text))).split())
+
+
+def junk_line(text: str) -> bool:
+    """No letter or digit, one character, a letter with a mark or two, or pieces of up to two small letters in five characters."""
+    s = text.strip()
+    letters, small = sum(c.isalpha() for c in s), re.findall(r"[a-z]+", s)
+    return (
+        len(s) <= 1
+        or not any(c.isalpha() or c.isdigit() for c in s)
+        or (len(s) <= 3 and letters <= 1 and s[0].isascii())
+        or (len(s) <= 5 and bool(small) and max(map(len, small)) <= 2 and not re.search("[가-힣]", s))
+    )
+
+
+def vote_lines(a: list[str], b: list[str]) -> list[tuple[str, str, float, str | None, str | None]]:
+    """(verdict, chosen text, confidence, line of a, line of b): each line of ``a`` takes the most similar unused line of ``b``; what is left of ``b`` follows.
+
+    Lines that agree give the longer one, partly alike ones the longer one without marks of ``b``, ``a`` if they are as long.
+    """
     free, out = dict(enumerate(b)), []
     for line in a:
         scored = [(SequenceMatcher(None, line, other).ratio(), -i) for i, other in free.items()]
         score, at = max(scored, default=(0.0, 0))
-        if score >= part:
-            out.append(("agree" if score >= same else "partial", line, free.pop(-at)))
+        other = free.pop(-at) if scored and score >= PART else None
+        if other is None:
+            out.append(("single", line, ALONE_CONFIDENCE, line, None))
+        elif score >= SAME:
+            out.append(("agree", other if len(other) >= len(line) else line, round((1 + score) / 2, 3), line, other))
         else:
-            out.append(("single", line, None))
-    return out + [("single", None, x) for x in free.values()]
+            clean = without_marks(other)
+            out.append(("partial", clean if len(clean) >= len(line) else line, PART_CONFIDENCE, line, other))
+    return out + [("single", x, ALONE_CONFIDENCE, None, x) for x in free.values()]
 
 
 def line_votes(rows: DataFrame, group: str) -> DataFrame:
-    """group, at, verdict, first, second: the votes between the lines of two readings of one page.
+    """group, at, verdict, text, confidence, first, second: the votes between the lines of two readings of one page.
 
-    ``rows``: side (0 or 1), pos, text (null: empty). A page's lines meet in one group.
+    ``rows``: side (0 or 1), pos, text (null: empty). Junk lines go, unless no other is left. A page's lines meet in one group.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["side", "pos", "text"])
-        sides = [rows.loc[rows["side"] == i, "text"].tolist() for i in (0, 1)]
-        votes = vote_lines(*sides)
-        return pd.DataFrame([(rows[group].iloc[0], i, *v) for i, v in enumerate(votes)], columns=[group, "at", "verdict", "first", "second"])
+        votes = vote_lines(*(rows.loc[rows["side"] == i, "text"].tolist() for i in (0, 1)))
+        votes = [v for v in votes if not junk_line(v[1])] or votes
+        return pd.DataFrame([(rows[group].iloc[0], i, *v) for i, v in enumerate(votes)], columns=[group, "at", "verdict", "text", "confidence", "first", "second"])
 
     kind = dict(rows.dtypes)[group]
     lines = rows.select(group, "side", "pos", F.coalesce("text", F.lit("")).alias("text"))
-    return lines.groupBy(group).applyInPandas(run, f"{group} {kind}, at int, verdict string, first string, second string")
+    return lines.groupBy(group).applyInPandas(run, f"{group} {kind}, at int, verdict string, text string, confidence double, first string, second string")
+
+
+def voted_pages(votes: DataFrame, group: str) -> DataFrame:
+    """group, text, confidence, reason: a page's chosen lines, their mean confidence, and ok or what speaks against the page."""
+    g = votes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"), F.round(F.avg("confidence"), 3).alias("confidence"))
+    g = g.select(group, F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), "confidence")
+    return g.withColumn("reason", gate("text", confidence=F.col("confidence"), **GATE))
 
 
 def agreement(first: Column, second: Column) -> Column:
@@ -78,36 +118,51 @@ def echoed(text: str, context: str, least: int = 20, share: float = 0.5) -> bool
     return n >= least and n >= share * len(text)
 
 
-def align_monotone(cost: np.ndarray, most: int = 4) -> list[tuple[int, int]]:
-    """For each line (row) the run [from, to) of segments that it takes, at most ``most``, in order; ``cost``: lines x segments x run length."""
-    lines, segments = cost.shape[:2]
-    best = np.full((lines + 1, segments + 1), np.inf)
-    best[0, 0], back = 0.0, {}
-    for i in range(1, lines + 1):
-        for j in range(segments + 1):
-            for k in range(min(most, j) + 1):
-                value = best[i - 1, j - k] + (cost[i - 1, j - k, k] if j - k < segments else cost[i - 1, segments - 1, 0] if k == 0 else np.inf)
-                if value < best[i, j]:
-                    best[i, j], back[i, j] = value, k
-    out, j = [], segments
-    for i in range(lines, 0, -1):
-        k = back.get((i, j), 0)
-        out.append((j - k, j))
-        j -= k
+def line_runs(lines: list[str], pieces: list[str], most: int = 4) -> list[tuple[int, int]]:
+    """For each line the run [from, to) of pieces that it takes, up to ``most``, in order, with the least character errors over letters and digits.
+
+    Pieces behind the cheapest end stay out: noise may follow the last line. Of equal ways the longer run of the later line counts.
+    """
+    plain = lambda t: re.sub(r"[^가-힣a-zA-Z0-9]", "", t)
+    n, best, ways = len(pieces), {0: 0}, []
+    for line in map(plain, lines):
+        reached: dict[int, tuple[int, int]] = {}
+        for end in range(n + 1):
+            starts = [j for j in range(max(0, end - most), end + 1) if j in best]
+            found = [(best[j] + edit_distance(line, plain(" ".join(pieces[j:end]))), j) for j in starts]
+            if found:
+                reached[end] = min(found)
+        ways.append(reached)
+        best = {end: cost for end, (cost, _) in reached.items()}
+    at, out = min(best, key=lambda j: (best[j], j)), []
+    for reached in reversed(ways):
+        start = reached[at][1]
+        out.append((start, at))
+        at = start
     return out[::-1]
 
 
-def markdown_table(text: str) -> list[list[str]]:
-    """The first table of a text: rows of two cells or more between bars, without the separator; none under two rows."""
-    rows: list[list[str]] = []
-    for line in text.split("\n"):
-        s = line.strip()
-        if "|" not in s:
-            if len(rows) >= 2:
-                return rows
-            rows = []
-            continue
-        cells = [c.strip() for c in s.strip("|").split("|")]
-        if len(cells) >= 2 and not all(c and set(c) <= set("-: ") for c in cells):
-            rows.append(cells)
-    return rows if len(rows) >= 2 else []
+def script_alignment(lines: DataFrame, pieces: DataFrame, group: str) -> DataFrame:
+    """group, line, piece: which ``pieces`` (group, pos, text) each of the script's ``lines`` (group, pos, text) takes. A script is one group."""
+
+    def run(lines: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        lines, pieces = lines.sort_values("pos"), pieces.sort_values("pos")
+        if not len(lines):
+            return pd.DataFrame({group: [], "line": [], "piece": []})
+        runs = line_runs(lines["text"].tolist(), pieces["text"].tolist())
+        out = [(lines[group].iloc[0], line, pieces["pos"].iloc[k]) for line, (a, b) in zip(lines["pos"], runs) for k in range(a, b)]
+        return pd.DataFrame(out, columns=[group, "line", "piece"])
+
+    kind = dict(lines.dtypes)
+    own = lambda d: d.select(group, "pos", F.coalesce("text", F.lit("")).alias("text")).groupBy(group)
+    return own(lines).cogroup(own(pieces)).applyInPandas(run, f"{group} {kind[group]}, line {kind['pos']}, piece {dict(pieces.dtypes)['pos']}")
+
+
+def echo(text: Column, context: Column) -> Column:
+    """``echoed`` of each text with its context, in Arrow batches."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series, contexts: pd.Series) -> pd.Series:
+        return pd.Series([echoed(a or "", b or "") for a, b in zip(texts, contexts)])
+
+    return run(text, context)

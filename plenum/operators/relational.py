@@ -113,3 +113,34 @@ def relabel(rows: DataFrame, column: str, names: list[tuple[str, str]]) -> DataF
     for old, new in names:
         out = F.when(out == old, F.lit(new)).otherwise(out)
     return rows.withColumn(column, out)
+
+
+def chat_exchange(sessions: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sessions (session_id, title, updated_at) and new messages (session_id, role, content, created_at) after the exchanges ``asked`` (session_id, question, answer, at).
+
+    The answer comes a microsecond after its question. An empty title becomes the first 40 characters of the session's first question.
+    """
+    at = F.col("at").cast("timestamp")
+    message = lambda role, text, late: F.struct(F.lit(role).alias("role"), F.col(text).alias("content"), F.timestamp_micros(F.unix_micros(at) + late).alias("created_at"))
+    rows = asked.select("session_id", F.explode(F.array(message("user", "question", 0), message("assistant", "answer", 1))).alias("m")).select("session_id", "m.*")
+    first = asked.groupBy("session_id").agg(F.min_by("question", F.struct("at", "question")).alias("_q"), F.max("at").alias("_at"))
+    s = sessions.join(first, "session_id", "left")
+    title = F.when(F.coalesce("title", F.lit("")) == "", F.substring(F.btrim("_q"), 1, 40)).otherwise(F.col("title"))
+    s = s.select("session_id", F.when(F.col("_q").isNull(), F.col("title")).otherwise(title).alias("title"), F.coalesce("_at", "updated_at").alias("updated_at"))
+    return s, rows
+
+
+def neighbours(edges: DataFrame, node) -> DataFrame:
+    """other, strength of the ``edges`` (a, b, strength) of a node, strongest first."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))
+    near = edges.where((F.col("a") == node) | (F.col("b") == node)).select(ends.alias("e"), "strength")
+    return near.where(F.col("e.node") == node).select("e.other", "strength").orderBy(F.desc("strength"), "other")
+
+
+def bundle(rows: DataFrame, parts: dict[str, tuple[DataFrame, list[str], list[str]]], key: str) -> DataFrame:
+    """``rows`` with an array of structs for each part: (its rows, the order, the fields). A key's parts are one row, as they make one document."""
+    for name, (part, order, fields) in parts.items():
+        item = F.struct(F.struct(*(F.col(c) for c in order)).alias("o") if order else F.lit(0).alias("o"), F.struct(*fields).alias("x"))
+        own = part.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias(name)).select(key, F.transform(name, lambda e: e["x"]).alias(name))
+        rows = rows.join(own, key, "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return rows

@@ -2,28 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .search import against, cosine
+from .search import _matrix, passes, unit_products
 
 
 def closed_set(rows: DataFrame, profiles: DataFrame, key: str, least: float = 0.35, margin: float = 0.05, alone: float = 0.4) -> DataFrame:
-    """``rows`` (key, v) with the best of ``profiles`` (name, q), or null: its score must reach ``least`` and lead by ``margin``; a single profile must reach ``alone``."""
-    s = against(profiles, rows).withColumn("score", cosine(F.col("v"), F.col("q"))).drop("v", "q")
-    w = Window.partitionBy(key).orderBy(F.desc("score"), "name")
-    s = s.withColumns({"n": F.row_number().over(w), "next": F.lead("score").over(w)}).where("n = 1")
+    """``rows`` (key, v) with the best of ``profiles`` (name, q), or null: its score must reach ``least`` and lead by ``margin``; a single profile must reach ``alone``.
+
+    ``profiles`` are those of a meeting's people; more of them than ``search.QUERY_BYTES`` are met in several passes. Rows that
+    meet no profile, as their vector is null or zero or has another dimension, give no row.
+    """
+    kind, names = dict(rows.dtypes)[key], dict(profiles.dtypes)["name"]
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], f"name {names}").schema).field("name").type
+    found = None
+    for part in passes(profiles, "name", "q"):
+        shared = rows.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for d, (names, q) in shared.value.items():
+                    at, m = _matrix(b.column(1), d)
+                    score = np.nan_to_num(unit_products(m, q), nan=-np.inf)
+                    # By score, then by name, the best two.
+                    rank = np.argsort([str(n) for n in names], kind="stable") if isinstance(names[0], str) else np.argsort(names, kind="stable")
+                    order = rank[np.argsort(-score[:, rank], axis=1, kind="stable")][:, :2]
+                    best = np.take_along_axis(score, order, 1)
+                    ok = best[:, 0] > -np.inf
+                    second = [None if len(x) < 2 or x[1] == -np.inf else float(x[1]) for x in best[ok]]
+                    yield pa.record_batch(
+                        [b.column(0).take(pa.array(at[ok])), pa.array([names[i] for i in order[ok, 0]], arrow), pa.array(best[ok, 0]), pa.array(second, pa.float64())], [key, "name", "score", "next"]
+                    )
+
+        one = rows.select(key, "v").mapInArrow(run, f"{key} {kind}, name {names}, score double, next double")
+        found = one if found is None else found.unionByName(one)
+    # Over several passes the best two of all, by key.
+    ends = F.array_sort(F.flatten(F.collect_list(F.array(F.struct((-F.col("score")).alias("s"), "name"), F.when(F.col("next").isNotNull(), F.struct((-F.col("next")).alias("s"), F.lit(None).cast(names).alias("name")))))))
+    s = found.groupBy(key).agg(F.filter(ends, lambda x: x.isNotNull()).alias("e"))
+    s = s.select(key, F.col("e")[0]["name"].alias("name"), (-F.col("e")[0]["s"]).alias("score"), (-F.get("e", F.lit(1))["s"]).alias("next"))
     sure = F.when(F.col("next").isNull(), F.col("score") >= alone).otherwise((F.col("score") >= least) & (F.col("score") - F.col("next") >= margin))
     return s.select(key, F.when(sure, F.col("name")).alias("name"), "score")
 
 
 class OpenSet:
-    """Moving profiles of one session: a voice joins the nearest profile at ``least`` or more, which then moves towards it; else it opens a new one, up to ``cap``."""
+    """Moving profiles of one session: a voice joins the nearest profile at ``least`` or more, which then moves towards it; else it opens a new one.
+
+    With ``cap`` profiles no more are opened: the voice gets the nearest one's name, which doesn't move.
+    """
 
-    def __init__(self, profiles: list[np.ndarray] | None = None, least: float = 0.5, keep: float = 0.9, cap: int = 8):
-        self.profiles, self.least, self.keep, self.cap = profiles or [], least, keep, cap
+    def __init__(self, profiles: list[np.ndarray] | None = None, least: float = 0.5, keep: float = 0.9, cap: int | None = 8, prefix: str = "S"):
+        self.profiles, self.least, self.keep, self.cap, self.prefix = profiles or [], least, keep, cap, prefix
 
     def name(self, v: np.ndarray) -> str | None:
         v = np.asarray(v, float)
@@ -34,26 +69,29 @@ class OpenSet:
         best = int(np.argmax(scores)) if scores else -1
         if best >= 0 and scores[best] >= self.least:
             self.profiles[best] = self.keep * self.profiles[best] + (1 - self.keep) * v
-        elif len(self.profiles) < self.cap:
+        elif self.cap is None or len(self.profiles) < self.cap:
             self.profiles.append(v)
             best = len(self.profiles) - 1
-        else:
-            return None
-        return f"S{best + 1}"
+        return f"{self.prefix}{best + 1}"
 
 
-def open_set(rows: DataFrame, session: str, order: str) -> DataFrame:
+def open_set(rows: DataFrame, session: str, order: str, **how) -> DataFrame:
     """session, order, name of ``rows`` (session, order, v): each session's voices in order, one task a session."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
-        state = OpenSet()
+        state = OpenSet(**how)
         return pd.DataFrame({session: rows[session], order: rows[order], "name": [state.name(v) for v in rows["v"]]})
 
     kind = dict(rows.dtypes)
     return rows.select(session, order, "v").groupBy(session).applyInPandas(run, f"{session} {kind[session]}, {order} {kind[order]}, name string")
 
 
+def unassigned(rows: DataFrame, session: str, order: str, least: float = 0.75) -> DataFrame:
+    """Names for the voices that no profile matched: a pool of its own, with a higher bar and no cap, as one person under two names does less harm than two under one."""
+    return open_set(rows, session, order, least=least, cap=None, prefix="SPEAKER_미상")
+
+
 def agglomerate(rows: DataFrame, group: str, item: str, floor: float = 0.55, most: int = 8) -> DataFrame:
     """group, item, cluster: the two most similar clusters join while their similarity reaches ``floor`` or there are more than ``most``. A group is one meeting's few profiles."""
 

@@ -30,11 +30,61 @@ def before(column: str, keys: list[str], order: list[str]) -> Column:
 
 
 def merge_gaps(rows: DataFrame, group: str, label: str, start: str, end: str, gap: float) -> DataFrame:
-    """Joins neighbours of one label that are at most ``gap`` apart: group, label, start, end, parts."""
+    """Joins neighbours (by start) of one label that begin at most ``gap`` after the latest end so far: group, label, start, end, parts."""
     order = [start, end]
-    breaks = (F.col(label) != before(label, [group], order)) | (F.col(start) - before(end, [group], order) > gap)
-    runs = islands(rows, [group], order, breaks)
-    return runs.groupBy(group, "run", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("run")
+    same = islands(rows, [group], order, F.col(label) != before(label, [group], order), "_island")
+    # Inside the rows of one label an earlier part ends before any gap, so the latest end of all of them will do.
+    w = Window.partitionBy(group, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    runs = islands(same.withColumn("_top", F.max(end).over(w)), [group, "_island"], order, F.col(start) - F.col("_top") > gap)
+    return runs.groupBy(group, "_island", "run", label).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("run", "_island")
+
+
+def turns(spans: DataFrame, group: str, label: str, start: str, end: str, length: str, least: float = 1500) -> DataFrame:
+    """group, turn, start, end, label: the turns of a chunk (``length``) whose voiced ``spans`` have a label.
+
+    A null label, of a span too short to tell, is that of the span before, else of the one after. A turn lasts from its
+    first span to the next turn's, the first from 0, the last to ``length``. One shorter than ``least`` goes to the
+    turn before it; the first one, if short, to the next, whose label it takes.
+    """
+    w = Window.partitionBy(group).orderBy(start, end)
+    near = F.coalesce(F.last(label, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(label, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    d = spans.withColumn("_l", near)
+    d = islands(d, [group], [start, end], ~F.col("_l").eqNullSafe(F.lag("_l").over(w)), "_run").groupBy(group, "_run").agg(F.first("_l").alias("_l"), F.min(start).alias("_s"), F.max(length).alias("_len"))
+    w = Window.partitionBy(group).orderBy("_run")
+    d = d.withColumn("_n", F.row_number().over(w)).withColumn("_s", F.when(F.col("_n") == 1, 0).otherwise(F.col("_s")))
+    d = d.withColumn("_e", F.coalesce(F.lead("_s").over(w), F.col("_len"))).withColumn("_short", F.col("_e") - F.col("_s") < least)
+    after_short_first = (F.col("_n") == 2) & F.lag("_short").over(w)
+    head = (F.col("_n") == 1) | (~F.col("_short") & ~after_short_first)
+    d = d.withColumn("turn", F.sum(head.cast("int")).over(w)).withColumn("_rank", F.when(after_short_first, 0).otherwise(F.col("_n")))
+    return d.groupBy(group, "turn").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.min_by("_l", "_rank").alias(label))
+
+
+def sentences(segments: DataFrame, keys: list[str], text: str, start: str, end: str, least: int = 6) -> DataFrame:
+    """keys, part, start, end, text, estimated: segments cut after a sentence's mark and blanks.
+
+    A part under ``least`` characters joins the one before it, the first one the next. A segment's time is dealt by the
+    parts' characters, to two places; ``estimated`` marks segments that were cut.
+    """
+    pieces = F.filter(F.transform(F.split(F.trim(F.col(text)), r"(?<=[.!?])\s+"), F.trim), lambda p: p != "")
+    start_array = F.array().cast("array<string>")
+
+    def join(a, p):
+        last = F.element_at(a, -1)
+        short = (F.size(a) > 0) & (F.length(p) < least)
+        return F.when(short, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat_ws(" ", last, p)))).otherwise(F.concat(a, F.array(p)))
+
+    d = segments.withColumn("_p", F.aggregate(pieces, start_array, join))
+    first = (F.size("_p") > 1) & (F.length(F.get("_p", F.lit(0))) < least)
+    d = d.withColumn("_p", F.when(first, F.concat(F.array(F.concat_ws(" ", F.get("_p", F.lit(0)), F.get("_p", F.lit(1)))), F.slice("_p", F.lit(3), F.size("_p")))).otherwise(F.col("_p")))
+    d = d.withColumn("_p", F.when(F.size("_p") < 2, F.array(F.trim(F.col(text)))).otherwise(F.col("_p")))
+    total = F.aggregate("_p", F.lit(0), lambda a, p: a + F.length(p))
+    d = d.withColumns({"_total": total, "estimated": F.size("_p") > 1}).select("*", F.posexplode("_p").alias("part", "_t"))
+    w = Window.partitionBy(*keys).orderBy("part")
+    upto = F.sum(F.length("_t")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    at = lambda n: F.round(F.col(start) + (F.col(end) - F.col(start)) * n / F.col("_total"), 2)
+    cut_start = F.when(~F.col("estimated"), F.col(start)).otherwise(at(upto - F.length("_t")))
+    cut_end = F.when(~F.col("estimated"), F.col(end)).when(F.lead("part").over(w).isNull(), F.round(F.col(end), 2)).otherwise(at(upto))
+    return d.select(*keys, "part", cut_start.alias(start), cut_end.alias(end), F.col("_t").alias(text), "estimated")
 
 
 def label_runs(rows: DataFrame, group: str, label: str, start: str, end: str) -> DataFrame:

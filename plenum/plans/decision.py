@@ -88,9 +88,24 @@ def _(t):
     return found.select(number("newest"), number("id"), "steps")
 
 
-@query("d10_resolve", "select decision_id, case when status = 'pending' and reasoned then 'resolved' else status end as status from {decisions}")
+@query(
+    "d10_resolve",
+    """with c as (select decision_id, min(event_id) as conflict_id from (select event_id, session_id, event_id % 4 as k, 'x' as x from {judgements}) j join (select decision_id, row_number() over (order by decision_id) as r from {decisions}) d on d.r = j.event_id % 2000 where k in (1, 2) group by decision_id),
+h as (select d.*, c.conflict_id from {decisions} d left join c using (decision_id))
+select decision_id, meeting_id, 'topic ' || topic_id as title, case when status = 'active' and conflict_id is not null then 'superseded' else status end as status, null as text, null as previous from h
+union all select 'conflict-' || conflict_id, coalesce(case when conflict_id % 3 > 0 then conflict_id % 150 end, meeting_id), 'topic ' || topic_id, 'active', 'said ' || conflict_id, decision_id from h where status = 'active' and conflict_id is not null""",
+)
 def _(t):
-    return t("decisions").select("decision_id", F.when((F.col("status") == "pending") & F.col("reasoned"), "resolved").otherwise(F.col("status")).alias("status"))
+    from plenum.operators.windows import numbered
+
+    null = F.lit(None).cast("string")
+    d = t("decisions").select("decision_id", "meeting_id", F.concat(F.lit("topic "), F.col("topic_id").cast("string")).alias("title"), null.alias("text"), null.alias("reason"), "status", null.alias("previous"))
+    # The places of all decisions by id tie each conflict to one; a test input, numbered in one task.
+    places = numbered(d.select("decision_id").withColumn("all", F.lit(0)), ["all"], F.col("decision_id"), name="r")
+    e = F.col("event_id")
+    conflicts = t("judgements").select(e.alias("conflict_id"), (e % 2000).alias("r"), F.when(e % 3 > 0, e % 150).alias("meeting_id"), F.when((e % 4).isin(1, 2), "change_acknowledged").otherwise("keep_reference").alias("resolution"), F.concat(F.lit("said "), e.cast("string")).alias("text"), null.alias("reason"))
+    conflicts = conflicts.join(places.select("decision_id", "r"), "r", "left")
+    return D.resolved(conflicts, d).select("decision_id", "meeting_id", "title", "status", "text", "previous")
 
 
 @query("d11_versions", "select file_id, row_number() over w as version_no, row_number() over (partition by folder, filename order by file_id desc) = 1 as is_newest from {files} window w as (partition by folder, filename order by file_id)")

@@ -64,17 +64,57 @@ def _(t):
     return d.select("event_id", F.when(F.col("prev") == F.col("next"), F.col("prev")).otherwise(F.col("kind")).alias("kind"))
 
 
+#: Every seventh event lasts a day, so spans nest.
+LONG = f"(select *, at + case when event_id % 7 = 0 then 86400000000 else 1000000 end as until from {EVENTS})"
+
+
 @query(
     "w8_gap_merge",
-    f"""with b as (select *, case when kind = lag(kind) over w and at - lag(until) over w <= 3600000000 then 0 else 1 end as brk from (select *, at + 1000000 as until from {EVENTS}) window w as (partition by session order by at, until)),
-r as (select *, sum(brk) over (partition by session order by at, until rows unbounded preceding) as run from b)
-select session, kind, min(at) as at, max(until) as until, count(*) as parts from r group by session, run, kind""",
+    f"""with recursive n as (select *, row_number() over (partition by session order by at, until, event_id) as i from {LONG}),
+w as (select session, i, kind, at as s, until as e, 1 as run from n where i = 1
+ union all select n.session, n.i, n.kind, x.hit_s, case when x.hit then greatest(w.e, n.until) else n.until end, w.run + (not x.hit)::int
+ from w join n on n.session = w.session and n.i = w.i + 1, lateral (select n.kind = w.kind and n.at - w.e <= 3600000000 as hit, case when n.kind = w.kind and n.at - w.e <= 3600000000 then w.s else n.at end as hit_s) x)
+select session, any_value(kind) as kind, min(s) as "at", max(e) as until, count(*) as parts from w group by session, run""",
 )
 def _(t):
-    d = _events(t).withColumn("until", F.col("at") + 1_000_000)
+    d = _events(t).withColumn("until", F.col("at") + F.when(F.col("event_id") % 7 == 0, 86_400_000_000).otherwise(1_000_000))
     return W.merge_gaps(d, "session", "kind", "at", "until", 3_600_000_000)
 
 
+@query("w15_sentences")
+def _(t):
+    d = _segments(t).select("meeting_id", "segment_index", "text", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"))
+    return W.sentences(d.where("text is not null"), ["meeting_id", "segment_index"], "text", "start", "end")
+
+
+@query(
+    "x2_turns",
+    """with s as (select meeting_id, turn, start, "end", coalesce(last_value(label ignore nulls) over (partition by meeting_id order by start, "end" rows unbounded preceding), first_value(label ignore nulls) over (partition by meeting_id order by start, "end" rows between current row and unbounded following)) as label
+  from (select conv_id as meeting_id, turn, turn * 5000 as start, turn * 5000 + 500 + coalesce(length(text), 0) * 20 as "end", case when turn % 4 <> 2 then case turn // 3 % 2 when 0 then 'a' else 'b' end end as label from conversations)),
+b as (select *, row_number() over (partition by meeting_id order by start, "end") as n, label is distinct from lag(label) over (partition by meeting_id order by start, "end") as cut, max("end") over (partition by meeting_id) as total from s),
+r as (select meeting_id, row_number() over (partition by meeting_id order by n) as k, case when n = 1 then 0 else start end as s, label, total from b where cut or n = 1),
+t as (select *, coalesce(lead(s) over (partition by meeting_id order by k), total) as e from r),
+f as (select *, e - s < 6000 as short, first_value(e - s < 6000) over (partition by meeting_id order by k) as first_short from t),
+h as (select *, sum((k = 1 or (not short and not (k = 2 and first_short)))::int) over (partition by meeting_id order by k rows unbounded preceding) as turn from f)
+select meeting_id, turn::bigint as turn, min(s)::bigint as start, max(e)::bigint as "end", arg_min(label, case when k = 2 and first_short then 0 else k end) as speaker from h group by meeting_id, turn""",
+)
+def _(t):
+    i = F.col("segment_index")
+    label = F.when(i % 4 != 2, F.when(F.floor(i / 3) % 2 == 0, "a").otherwise("b"))
+    from pyspark.sql import Window
+
+    d = _segments(t).withColumns({"speaker": label, "total": F.max("end").over(Window.partitionBy("meeting_id"))})
+    return W.turns(d, "meeting_id", "speaker", "start", "end", "total", least=6000)
+
+
+@query("w13_longest_first")
+def _(t):
+    from plenum.operators.greedy import longest_first
+
+    d = _events(t).select("session", (F.col("at") / 1_000_000).alias("start"), ((F.col("at") / 1_000_000) + F.col("event_id") % 13 * 3600).alias("end"), F.col("event_id").alias("item"))
+    return longest_first(d, "session", "start", "end")
+
+
 @query(
     "w9_label_runs",
     f"""with c as (select *, case when lag(kind) over w is null or lag(kind) over w <> kind then 1 else 0 end as brk from {EVENTS} window w as (partition by session order by at)),
@@ -208,3 +248,103 @@ def _(t):
     d = W.islands(_events(t), ["session"], order, F.col("kind") != W.before("kind", ["session"], order), "run").where("kind = 'error'")
     g = d.groupBy("session", "run").agg(F.min("at").alias("at"), (F.max("at") - F.min("at")).alias("length")).where("length >= 1800000000")
     return g.select("session", "at", "length", (F.col("length") >= 7_200_000_000).alias("warn"))
+
+
+#: Boxes and texts on pages, from numbers of the files; in the dialect that Spark and DuckDB share.
+BOX = "file_id % 40 as page, cast(file_id % 7 * 10 as double) as {x}x0, cast(file_id % 11 * 10 as double) as {x}y0, cast(file_id % 7 * 10 + size % 5 * 8 + 5 as double) as {x}x1, cast(file_id % 11 * 10 + size % 9 * 6 + 5 as double) as {x}y1"
+AREA = "greatest(least(ax1, bx1) - greatest(ax0, bx0), 0) * greatest(least(ay1, by1) - greatest(ay0, by0), 0) / ((ax1 - ax0) * (ay1 - ay0))"
+
+
+def _boxes(t, prefix: str, where: str, *more: str):
+    return t("files").where(where).selectExpr(*BOX.replace("{x}", prefix).split(", "), *more)
+
+
+FIGURES = "(select file_id as figure, " + BOX.replace("{x}", "a") + " from {files} where file_id % 3 = 0)"
+
+
+@query("g1_over_tables", f"select distinct f.page, f.figure from {FIGURES} f join (select {BOX.replace('{x}', 'b')} from {{files}} where file_id % 3 = 1 and size % 2 = 0) t on f.page = t.page where {AREA} >= 0.5")
+def _(t):
+    from plenum.operators.layout import over_tables
+
+    null = "cast(null as string)"
+    cells = f"case when size % 2 = 0 then array(array('a', 'b'), array('c', {null})) when size % 4 = 1 then array(array('a', 'b'), array(' ', {null})) else array(array('a'), array('b')) end as cells"
+    return over_tables(_boxes(t, "a", "file_id % 3 = 0", "file_id as figure"), _boxes(t, "b", "file_id % 3 = 1", cells))
+
+
+@query(
+    "g2_over_text",
+    f"""with h as (select f.page, f.figure, unnest(range(greatest(0, floor((greatest(by0, ay0) - ay0) / ((ay1 - ay0) / 40))::int), least(40, floor((least(by1, ay1) - ay0) / ((ay1 - ay0) / 40))::int + 1))) as band
+ from {FIGURES} f join (select filename as text, {BOX.replace('{x}', 'b')} from {{files}} where file_id % 3 = 2) t on f.page = t.page where bx1 > ax0 and bx0 < ax1 and least(by1, ay1) > greatest(by0, ay0))
+select page, figure from h group by page, figure having count(distinct band) >= 24""",
+)
+def _(t):
+    from plenum.operators.layout import over_text
+
+    return over_text(_boxes(t, "a", "file_id % 3 = 0", "file_id as figure"), _boxes(t, "b", "file_id % 3 = 2", "filename as text"))
+
+
+@query("g3_contained", f"select distinct f.page, f.figure from {FIGURES} f join (select file_id as other, {BOX.replace('{x}', 'b')} from {{files}}) o on f.page = o.page and f.figure <> o.other where {AREA} >= 0.9")
+def _(t):
+    from plenum.operators.layout import contained
+
+    return contained(_boxes(t, "a", "file_id % 3 = 0", "file_id as figure"), _boxes(t, "b", "true", "file_id as other"))
+
+
+@query(
+    "g4_trimmed",
+    f"""with p as (select f.figure, o.other, f.ax0, f.ay0, f.ax1, f.ay1, o.bx0, o.by0, o.bx1, o.by1, least(ax1, bx1) - greatest(ax0, bx0) as w, least(ay1, by1) - greatest(ay0, by0) as h
+ from {FIGURES} f join (select file_id as other, {BOX.replace('{x}', 'b')} from {{files}} where file_id % 3 = 1) o on f.page = o.page),
+k as (select *, case when w <= 0 or h <= 0 then 0 when w >= (ax1 - ax0) * 0.8 and by1 >= ay1 - 1 then 1 when w >= (ax1 - ax0) * 0.8 and by0 <= ay0 + 1 then 2 when h >= (ay1 - ay0) * 0.8 and bx1 >= ax1 - 1 then 3 when h >= (ay1 - ay0) * 0.8 and bx0 <= ax0 + 1 then 4 else 0 end as k from p)
+select figure, other, case when k = 4 then greatest(ax0, bx1) else ax0 end as x0, case when k = 2 then greatest(ay0, by1) else ay0 end as y0, case when k = 3 then least(ax1, bx0) else ax1 end as x1, case when k = 1 then least(ay1, by0) else ay1 end as y1 from k""",
+)
+def _(t):
+    from plenum.operators.layout import trimmed
+
+    box = lambda p: F.struct(*(F.col(f"{p}{c}").alias(c) for c in ("x0", "y0", "x1", "y1")))
+    d = _boxes(t, "a", "file_id % 3 = 0", "file_id as figure").join(_boxes(t, "b", "file_id % 3 = 1", "file_id as other"), "page")
+    return d.select("figure", "other", trimmed(box("a"), box("b")).alias("t")).select("figure", "other", "t.*")
+
+
+@query("g6_reading_order")
+def _(t):
+    from plenum.operators.layout import reading_order
+
+    return reading_order(_boxes(t, "", "true", "file_id as pos"))
+
+
+@query("g9_joined_spans", "select meeting_id, string_agg(case when segment_index > 0 and segment_index % 3 > 0 then ' ' else '' end || speaker, '' order by segment_index) as text from {segments} group by meeting_id")
+def _(t):
+    from plenum.operators.layout import joined_spans
+
+    i = F.col("segment_index")
+    spans = t("segments").select(F.col("meeting_id").alias("line"), i.alias("pos"), F.col("speaker").alias("text"), (i * 10.0 + F.when(i % 3 > 0, 1).otherwise(-1)).alias("x0"), ((i + 1) * 10.0).alias("x1"))
+    return joined_spans(spans, "line").select(F.col("line").alias("meeting_id"), "text")
+
+
+@query(
+    "j17_captions",
+    """with f as (select file_id as figure, file_id % 40 as page, file_id % 7 * 10.0 as x0, file_id % 11 * 10.0 + 30 as y0, file_id % 7 * 10.0 + 20 as x1 from {files} where file_id % 3 = 0),
+x as (select file_id % 40 as page, filename || file_id as text, case when size % 4 = 0 then 'heading' else 'body' end as style, file_id % 5 * 15.0 as tx0, file_id % 5 * 15.0 + size as tx1, file_id % 13 * 8.0 as bottom from {files} where file_id % 3 = 1)
+select page, figure, text as caption from (select f.page, figure, text, row_number() over (partition by f.page, figure order by y0 - bottom, text) as n from f join x on f.page = x.page
+ where y0 - bottom >= 0 and y0 - bottom <= case when style = 'heading' then 100 else 40 end and tx0 < x1 and x0 < tx1 and length(text) <= 80) where n = 1""",
+)
+def _(t):
+    from plenum.operators.layout import nearest_caption
+
+    i = F.col("file_id")
+    f = t("files").where("file_id % 3 = 0").select((i % 40).alias("page"), i.alias("figure"), (i % 7 * 10.0).alias("x0"), (i % 11 * 10.0 + 30).alias("y0"), (i % 7 * 10.0 + 20).alias("x1"))
+    x = t("files").where("file_id % 3 = 1").select((i % 40).alias("page"), F.concat("filename", i.cast("string")).alias("text"), F.when(F.col("size") % 4 == 0, "heading").otherwise("body").alias("style"), (i % 5 * 15.0).alias("tx0"), (i % 5 * 15.0 + F.col("size")).alias("tx1"), (i % 13 * 8.0).alias("bottom"))
+    return nearest_caption(f, x)
+
+
+@query(
+    "j18_style_override",
+    f"""with r as (select f.page, f.figure as line, o.region_rank, o.style, {AREA} as ratio from {FIGURES} f left join (select size % 4 as region_rank, 'r' || size % 4 as style, {BOX.replace('{x}', 'b')} from {{files}} where file_id % 3 = 1) o on f.page = o.page),
+b as (select page, line, coalesce(ratio, 0) as ratio, region_rank, style, row_number() over (partition by page, line order by coalesce(ratio, 0) desc, region_rank desc nulls last) as n from r)
+select page, line, case when ratio >= 0.5 and region_rank >= 2 then style end as style from b where n = 1""",
+)
+def _(t):
+    from plenum.operators.layout import style_override
+
+    lines = _boxes(t, "a", "file_id % 3 = 0", "file_id as line", "2 as rank")
+    return style_override(lines, _boxes(t, "b", "file_id % 3 = 1", "size % 4 as region_rank", "concat('r', cast(size % 4 as string)) as style"))

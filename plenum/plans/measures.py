@@ -85,7 +85,44 @@ def _(t):
     return d.select("meeting_id", score.alias("s")).groupBy("meeting_id").agg(scores.mean_quality(F.col("s")).alias("score"))
 
 
+def _readings(t):
+    """Two readings of each meeting: a turn's first 60 characters, and the same with other signs; every fifth line is missing in the second."""
+    d = _turns(t).select("meeting_id", F.col("segment_index").alias("pos"), F.coalesce(F.substring("text", 1, 60), F.lit("")).alias("text"))
+    other = d.where("pos % 5 <> 4").withColumn("text", F.when(F.col("pos") % 2 == 0, F.translate("text", "e", "c")).otherwise(F.reverse("text")))
+    return d.withColumn("side", F.lit(0)).unionByName(other.withColumn("side", F.lit(1)))
+
+
 @query("j19_line_votes")
 def _(t):
-    rows = _turns(t).select("meeting_id", (F.col("speaker") == "assistant").cast("int").alias("side"), F.col("segment_index").alias("pos"), "text").where("side is not null")
-    return greedy.line_votes(rows, "meeting_id").groupBy("verdict").agg(F.count("*").alias("n"))
+    return greedy.line_votes(_readings(t), "meeting_id")
+
+
+@query("j19_voted_pages")
+def _(t):
+    return greedy.voted_pages(greedy.line_votes(_readings(t), "meeting_id"), "meeting_id")
+
+
+@query("e8_script_alignment")
+def _(t):
+    lines = _turns(t).select("meeting_id", F.col("segment_index").alias("pos"), F.substring("text", 1, 40).alias("text"))
+    heard = lines.select("meeting_id", F.explode(F.array(F.struct((F.col("pos") * 2).alias("pos"), F.substring("text", 1, 20).alias("text")), F.struct((F.col("pos") * 2 + 1).alias("pos"), F.translate(F.substring("text", 21, 20), "aeo", "oae").alias("text")))).alias("x"))
+    return greedy.script_alignment(lines, heard.select("meeting_id", "x.*"), "meeting_id")
+
+
+@query("t15_echo", "select meeting_id, segment_index, length(text) >= 20 as echo from {segments} where text is not null")
+def _(t):
+    d = _turns(t).where("text is not null")
+    # A context that holds the whole text is echoed by it, whatever stands around.
+    return d.select("meeting_id", "segment_index", greedy.echo(F.col("text"), F.concat(F.lit("before "), "text", F.lit(" after"))).alias("echo"))
+
+
+@query("io7_page_tables", "select file_id, '| ' || filename || ' | x |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || size || ' |  |' as markdown from {files} where file_id % 3 > 0 and size * 10 >= 100 and size * 9 <= 450")
+def _(t):
+    from plenum.sources.readers import page_tables
+
+    null = F.lit(None).cast("string")
+    full = F.array(F.array(F.col("filename"), F.lit("x")), F.array(F.col("size").cast("string"), null))
+    cells = F.when(F.col("file_id") % 3 > 0, full).otherwise(F.array(F.array(F.lit("a"), null), F.array(null, F.lit(" "))))
+    d = t("files").select("file_id", cells.alias("cells"), (F.col("size") * 9).alias("top"), (F.col("size") * 10).alias("bottom"), F.when(F.col("size") > 0, 500).alias("page_height"))
+    # The margin is a tenth: from 50 to 450 of 500; a bottom under 50 or a top over 450 is out.
+    return page_tables(d.withColumn("bottom", F.col("bottom") - 50)).select("file_id", "markdown")

@@ -90,7 +90,7 @@ class Tables:
 def _expand(sql: str) -> str:
     """Puts an entity's columns where SQL says {entity}; quotes a column name that DuckDB reserves."""
     sql = re.sub(r'(?<!")\bat\b(?!")', '"at"', sql)
-    return re.sub(r"\{(\w+)\}", lambda m: f"(select {', '.join(ENTITIES[m[1]][1])} from {ENTITIES[m[1]][0]})", sql)
+    return re.sub(rf"\{{({'|'.join(ENTITIES)})\}}", lambda m: f"(select {', '.join(ENTITIES[m[1]][1])} from {ENTITIES[m[1]][0]})", sql)
 
 
 def query(name: str, sql: str | None = None):

@@ -418,29 +418,17 @@ def _(t):
     return lines.groupBy("chunk_id", "line").agg(F.min("pos").alias("pos"))
 
 
-@query(
-    "u4_repeated_rows",
-    "select chunk_id, line, pos from (select *, row_number() over (partition by chunk_id, line order by pos) as rn, count(*) over (partition by chunk_id, line) as n from (" + LINES + ")) where n < 3 or rn = 1",
-)
-def _(t):
-    from plenum.operators.windows import drop_repeats
-
-    lines = t("chunks").select("chunk_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return drop_repeats(lines, ["chunk_id", "line"], "pos", 3).select("chunk_id", "line", "pos")
-
-
 @query("u5_ordered_distinct", "select meeting_id, string_agg(speaker, ',' order by first) as speakers from (select meeting_id, speaker, min(segment_index) as first from {segments} group by all) group by meeting_id")
 def _(t):
     by = t("segments").groupBy("meeting_id").agg(F.array_sort(F.collect_list(F.struct("segment_index", "speaker"))).alias("s"))
     return by.select("meeting_id", F.array_join(F.array_distinct(F.transform("s", lambda x: x["speaker"])), ",").alias("speakers"))
 
 
-@query("u8_session_split", "select sum((n > 1)::int)::bigint as on_both_sides from (select meeting_id, count(distinct meeting_id % 10 < 2) as n from {segments} group by meeting_id)")
+@query("u8_session_split", "select meeting_id, segment_index, ('0x' || substr(md5(meeting_id::varchar), 1, 8))::bigint % 1000 < 200 as test from {segments}")
 def _(t):
     from plenum.operators.evaluation import held_out
 
-    s = t("segments").withColumn("test", held_out("meeting_id", 0.2))
-    return s.groupBy("meeting_id").agg(F.count_distinct("test").alias("n")).agg(F.sum((F.col("n") > 1).cast("long")).alias("on_both_sides"))
+    return t("segments").select("meeting_id", "segment_index", held_out("meeting_id", 0.2).alias("test"))
 
 
 @query("m1_upsert", "select meeting_id, case when n.id is not null then n.title else m.title end as title, m.category from {meetings} m full join (select meeting_id as id, case when meeting_id % 2 = 0 then concat('new ', title) end as title from {meetings} where meeting_id < 50) n on m.meeting_id = n.id")
@@ -513,9 +501,26 @@ def _(t):
     return t("decisions").select("decision_id", F.when(F.col("status") == "active", F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00"))).otherwise(had).alias("completed_at"))
 
 
-@query("m12_chat_exchange", "select meeting_id, segment_index, coalesce(nullif('', ''), substring(text, 1, 40)) as title from {segments} where segment_index = 0")
+def _exchanges(t):
+    s = t("segments").where("segment_index < 2").select(F.col("meeting_id").alias("session_id"), F.coalesce("text", F.lit("")).alias("question"), F.col("speaker").alias("answer"), F.timestamp_seconds(F.col("meeting_id") * 1000 + F.col("segment_index")).alias("at"))
+    had = t("segments").select(F.col("meeting_id").alias("session_id")).distinct().select("session_id", F.when(F.col("session_id") % 2 == 0, "old title").alias("title"), F.lit(None).cast("timestamp").alias("updated_at"))
+    return R.chat_exchange(had, s)
+
+
+@query("m12_chat_messages", "select meeting_id as session_id, unnest(['user', 'assistant']) as role, unnest([coalesce(text, ''), speaker]) as content, unnest([0, 1]) + (meeting_id * 1000 + segment_index) * 1000000 as at_us from {segments} where segment_index < 2")
+def _(t):
+    return _exchanges(t)[1].select("session_id", "role", "content", F.unix_micros("created_at").alias("at_us"))
+
+
+@query("m12_chat_titles", "select meeting_id as session_id, case when meeting_id % 2 = 0 then 'old title' else arg_min(substring(trim(coalesce(text, ''), ' ' || chr(10) || chr(9)), 1, 40), segment_index) end as title from {segments} where segment_index < 2 group by meeting_id")
 def _(t):
-    return t("segments").where("segment_index = 0").select("meeting_id", "segment_index", F.substring("text", 1, 40).alias("title"))
+    return _exchanges(t)[0].select("session_id", "title")
+
+
+@query("w20_neighbours", "select case when topic_id = 7 then author_id + 1000000 else topic_id end as other, max(score) as strength from (select topic_id, author_id, score from {decisions} where topic_id = 7) group by 1 order by strength desc, other")
+def _(t):
+    edges = t("decisions").groupBy(F.col("topic_id").alias("a"), (F.col("author_id") + 1_000_000).alias("b")).agg(F.max("score").alias("strength"))
+    return R.neighbours(edges, 7)
 
 
 @query("m13_retry", "select file_id, case when status = 'failed' then size + 1 else size end as tries from {files}")
@@ -531,7 +536,7 @@ def _(t):
 def _lists() -> None:
     """List reads: a filter and an order each."""
     reads = {
-        "n1_segments": ("segments", "meeting_id < 20", ["meeting_id", "start_ms", "segment_index"], []),
+        "n1_segments": ("segments", "true", ["meeting_id", "start_ms", "segment_index"], []),
         "n2_decisions": ("decisions", "status = 'active' and author_id = 3", ["decided_at desc", "decision_id"], []),
         "n3_tasks": ("decisions", "status <> 'superseded' and author_id = 4", ["decision_id"], ["weight"]),
         "n4_contradictions": ("judgements", "same_topic and not same_as_existing", ["event_id"], ["session_id"]),
@@ -554,15 +559,24 @@ _lists()
 
 @query(
     "n12_minutes_bundle",
-    """select m.meeting_id, m.title, coalesce(s.n, 0) as segments, coalesce(a.n, 0) as attendees, coalesce(d.open, 0) as open_decisions from {meetings} m
-left join (select meeting_id, count(*) as n from {segments} group by 1) s using (meeting_id) left join (select meeting_id, count(distinct user_id) as n from {attendees} group by 1) a using (meeting_id)
-left join (select meeting_id, count(*) filter (status = 'pending') as open from {decisions} group by 1) d using (meeting_id) where m.status = 'completed'""",
+    """with s as (select meeting_id, string_agg(segment_index || '|' || coalesce(speaker, '') || '|' || coalesce(text, ''), chr(10) order by start_ms, segment_index) as segments from {segments} group by 1),
+a as (select meeting_id, string_agg(user_id || '|' || name, ',' order by user_id) as attendees from (select distinct meeting_id, user_id from {attendees}) join {users} using (user_id) group by 1),
+d as (select meeting_id, string_agg(decision_id || '|' || status, ',' order by decided_at, decision_id) as decisions, string_agg(case when status = 'pending' then decision_id end, ',' order by decision_id) as tasks from {decisions} group by 1)
+select m.meeting_id, m.title, m.started_at, k.quality as summary, segments, attendees, decisions, tasks from {meetings} m left join {marks} k on k.chunk_id = m.meeting_id left join s using (meeting_id) left join a using (meeting_id) left join d using (meeting_id) where m.status = 'completed'""",
 )
 def _(t):
-    s = t("segments").groupBy("meeting_id").agg(F.count("*").alias("segments"))
-    a = t("attendees").groupBy("meeting_id").agg(F.count_distinct("user_id").alias("attendees"))
-    d = t("decisions").groupBy("meeting_id").agg(F.count_if(F.col("status") == "pending").alias("open_decisions"))
-    out = t("meetings").where("status = 'completed'").select("meeting_id", "title")
-    for x in (s, a, d):
-        out = out.join(x, "meeting_id", "left")
-    return out.fillna(0, ["segments", "attendees", "open_decisions"])
+    m = t("meetings").where("status = 'completed'").select("meeting_id", "title", "started_at")
+    people = t("attendees").select("meeting_id", "user_id").distinct().join(t("users").select("user_id", "name"), "user_id")
+    summary = t("marks").select(F.col("chunk_id").alias("meeting_id"), F.col("quality").alias("summary"))
+    b = R.bundle(m, {
+        "summary": (summary, [], ["summary"]),
+        "segments": (t("segments"), ["start_ms", "segment_index"], ["segment_index", "speaker", "text"]),
+        "attendees": (people, ["user_id"], ["user_id", "name"]),
+        "decisions": (t("decisions"), ["decided_at", "decision_id"], ["decision_id", "status"]),
+        "tasks": (t("decisions").where("status = 'pending'"), ["decision_id"], ["decision_id"]),
+    }, "meeting_id")
+    text = lambda part, fields, glue: F.when(F.size(part) > 0, F.array_join(F.transform(part, lambda x: F.concat_ws("|", *(F.coalesce(x[f].cast("string"), F.lit("")) for f in fields))), glue))
+    return b.select(
+        "meeting_id", "title", "started_at", F.get("summary", F.lit(0))["summary"].alias("summary"), text("segments", ["segment_index", "speaker", "text"], "\n").alias("segments"),
+        text("attendees", ["user_id", "name"], ",").alias("attendees"), text("decisions", ["decision_id", "status"], ",").alias("decisions"), text("tasks", ["decision_id"], ",").alias("tasks"),
+    )

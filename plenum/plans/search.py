@@ -44,13 +44,14 @@ def _(t):
     # A document without a vector can't be a candidate, but its words count.
     q = _queries(t)
     d = t("chunks").select(F.col("chunk_id").alias("id"), F.col("collection").alias("lang"), "text")
-    near = S.top(S.dense(q.select("query_id", "q"), _vectors(t)), ["query_id", "lang"], "dense", "id", 5).drop("rank")
+    near = S.nearest(q.select("query_id", "q"), _vectors(t), 5, "lang")
     return S.fused(near, S.bm25(t("questions").select(F.col("question_id").alias("query_id"), "text"), d, "lang"), "lang", 5)
 
 
 @query("s1_dense_top", f"with {PAIRS} select query_id, id, round(dense, 9) as dense, rank::int as rank from (select *, row_number() over (partition by query_id order by dense desc, id) as rank from pairs) where rank <= 10")
 def _(t):
-    return S.top(S.dense(_queries(t).select("query_id", "q"), _vectors(t)), ["query_id"], "dense", "id", 10).select("query_id", "id", F.round("dense", 9).alias("dense"), "rank")
+    near = S.nearest(_queries(t).select("query_id", "q"), _vectors(t).drop("lang"), 10)
+    return S.top(near, ["query_id"], "dense", "id", 10).select("query_id", "id", F.round("dense", 9).alias("dense"), "rank")
 
 
 @query("s2_bm25", f"with {BM25} select query_id, lang, id, round(keyword, 9) as keyword from (select *, row_number() over (partition by query_id, lang order by round(keyword, 9) desc, id) as r from bm) where r <= 10")
@@ -181,15 +182,25 @@ def _(t):
     return S.mean_pool(t("vectors"), "label", "embedding").select("label", F.posexplode("embedding").alias("at", "x")).withColumn("x", F.round("x", 9))
 
 
+GROUPS = "select label * 20 + vec_id % 20 as doc, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by all"
+
+
 @query(
     "a10_similar_files",
-    f"""with m as ({MEANS}), n as (select label, sqrt(sum(x * x)) as n from m group by label)
-select a.label as a, b.label as b, round(sum(a.x * b.x) / (any_value(p.n) * any_value(q.n)), 9) as score from m a join m b on a.i = b.i and a.label < b.label join n p on p.label = a.label join n q on q.label = b.label
-group by all having sum(a.x * b.x) / (any_value(p.n) * any_value(q.n)) >= 0.05""",
+    f"""with m as (select doc, list(x order by i) as v from ({GROUPS}) group by doc), n as (select a.doc as a, b.doc as b, {DOT.replace('{a}', 'a.v').replace('{b}', 'b.v')} / (sqrt({DOT.replace('{a}', 'a.v').replace('{b}', 'a.v')}) * sqrt({DOT.replace('{a}', 'b.v').replace('{b}', 'b.v')})) as score from m a join m b on a.doc < b.doc),
+o as (select a.doc as a, b.doc as b, -1.0 as score from m a join m b on b.doc = a.doc + 1)
+select a, b, round(score, 6) as score from n where score >= 0.2 union all select a, b, score from o where not exists (select 1 from n where n.a = o.a and n.b = o.b and n.score >= 0.2)""",
 )
 def _(t):
-    pooled = S.mean_pool(t("vectors"), "label", "embedding").select(F.col("label").cast("bigint").alias("id"), F.col("embedding").alias("v"))
-    return S.similar_pairs(pooled, 0.05).withColumn("score", F.round("score", 9))
+    from plenum.operators.relational import replace_pairs
+
+    docs = t("vectors").select((F.col("label") * 20 + F.col("vec_id") % 20).alias("id"), "embedding")
+    pooled = S.mean_pool(docs, "id", "embedding").select("id", F.col("embedding").alias("v"))
+    # Random vectors reach no 0.6; the pairs of neighbouring numbers were there before.
+    new = S.similar_pairs(pooled, 0.2).withColumn("score", F.round("score", 6))
+    ids = pooled.select("id")
+    old = ids.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).join(ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", F.lit(-1.0).alias("score"))
+    return replace_pairs(old, new, "a", "b").select("a", "b", "score")
 
 
 @query(
@@ -203,3 +214,32 @@ def _(t):
 
     profiles = S.mean_pool(t("vectors"), "label", "embedding").select(F.col("label").alias("name"), F.col("embedding").alias("q"))
     return closed_set(t("vectors").select("vec_id", F.col("embedding").alias("v")), profiles, "vec_id").select("vec_id", "name")
+
+
+@query("p2_open_set")
+def _(t):
+    from plenum.operators.speakers import open_set
+
+    return open_set(t("vectors").select(F.col("label").alias("session"), F.col("vec_id").alias("seq"), F.col("embedding").alias("v")), "session", "seq")
+
+
+@query("p3_unassigned")
+def _(t):
+    from plenum.operators.speakers import unassigned
+
+    return unassigned(t("vectors").select(F.col("label").alias("session"), F.col("vec_id").alias("seq"), F.col("embedding").alias("v")), "session", "seq")
+
+
+@query("p4_agglomerate")
+def _(t):
+    from plenum.operators.speakers import agglomerate
+
+    pooled = S.mean_pool(t("vectors").select((F.col("label") * 12 + F.col("vec_id") % 12).alias("id"), "embedding"), "id", "embedding")
+    return agglomerate(pooled.select(F.floor(F.col("id") / 12).alias("session"), (F.col("id") % 12).alias("item"), F.col("embedding").alias("v")), "session", "item")
+
+
+@query("io16_first_present", "select event_id, coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.none'), kind) as k from {activity}")
+def _(t):
+    from plenum.sources.readers import first_present
+
+    return t("activity").select("event_id", F.coalesce(first_present("props", "$.tags", "$.k", "$.none"), "kind").alias("k"))

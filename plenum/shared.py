@@ -9,6 +9,9 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 @lru_cache(maxsize=1)
 def _local_folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="plenum-")
@@ -25,7 +28,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = _local_folder()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes what this process has put into the shared folder, and says how many paths; to be called when no result that reads them is needed any more."""
+    gone = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

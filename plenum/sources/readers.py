@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.functions import tables as T
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines (audio, text)."""
@@ -45,11 +48,28 @@ def page_kind(pages: DataFrame, key: str, chars: str, least: int = 50, share: fl
     return pages.groupBy(key).agg(text.alias("t")).select(key, F.when(1 - F.col("t") >= share, "scanned").when(F.col("t") >= share, "digital").otherwise("mixed").alias("kind"))
 
 
-def usable_tables(tables: DataFrame, cells: str, fill: float = 0.6) -> DataFrame:
-    """Tables (array<array<string>>) with two filled cells or more and at least ``fill`` of their cells filled."""
-    flat = F.flatten(cells)
-    full = F.size(F.filter(flat, lambda c: F.coalesce(F.trim(c), F.lit("")) != ""))
-    return tables.where((full >= 2) & (full / F.greatest(F.size(flat), F.lit(1)) >= fill))
+def page_tables(tables: DataFrame, cells: str = "cells") -> DataFrame:
+    """``tables`` (page_height, top, bottom, cells) that are filled and no headers or footers, with their ``markdown``."""
+    ok = T.usable(F.col(cells), F.col("top"), F.col("bottom"), F.col("page_height"))
+    return tables.where(F.coalesce(ok, F.lit(False))).withColumn("markdown", T.to_markdown(F.col(cells)))
+
+
+def collection(spark: SparkSession, path: str, name: str, dimensions: int) -> DataFrame:
+    """The vectors of one collection below ``path``; a collection that isn't there yet is made, empty. Similarity is the cosine."""
+    schema = "id string, document_id string, workspace_id long, v array<float>, text string, metadata string"
+    where = f"{path.rstrip('/')}/collection={name}/dimensions={dimensions}"
+    try:
+        return spark.read.schema(schema).parquet(where)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    spark.createDataFrame([], schema).write.mode("append").parquet(where)
+    return spark.read.schema(schema).parquet(where)
+
+
+def transcript(spark: SparkSession, path: str, meeting: int) -> DataFrame:
+    """One meeting's appended segments in the order of their start; ``streaming.rules.append`` writes them."""
+    return spark.read.parquet(path).where(F.col("meeting_id") == meeting).orderBy("start_ms", "segment_index")
 
 
 def write_chunks(chunks: DataFrame, path: str, collection: str = "collection") -> None:
@@ -59,3 +79,13 @@ def write_chunks(chunks: DataFrame, path: str, collection: str = "collection") -
 
 def write_text(docs: DataFrame, path: str, column: str) -> None:
     docs.select(F.col(column).cast("string").alias("value")).write.text(path)
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """JSON lines; null fields are written, so that every line has all keys."""
+    rows.write.option("ignoreNullFields", False).json(path)
+
+
+def append_rows(rows: DataFrame, path: str, *partition: str) -> None:
+    """Appends notifications, messages or other records."""
+    rows.write.mode("append").partitionBy(*partition).parquet(path)

@@ -80,7 +80,7 @@ def unknown_speakers(events: DataFrame, key: str, unknown: str, at: str, tie: st
         hit = not told and n >= least and u >= ratio * n
         return (n, u, told or hit), ((n,) if hit else None)
 
-    return by_key(events.select(key, at, tie, unknown), [key], [at, tie], (0, 0, False), step, "n long, unknown long, told boolean", f"{key} {kind[key]}, at_count long")
+    return by_key(events.select(*dict.fromkeys([key, at, tie, unknown])), [key], [*dict.fromkeys([at, tie])], (0, 0, False), step, "n long, unknown long, told boolean", f"{key} {kind[key]}, at_count long")
 
 
 def silence_gaps(frames: DataFrame, key: str, silent: str, seq: str, ms: str, warn: int = 2000, record: int = 500) -> DataFrame:
@@ -97,22 +97,30 @@ def silence_gaps(frames: DataFrame, key: str, silent: str, seq: str, ms: str, wa
     return by_key(frames.select(key, seq, silent, ms), [key], [seq], (0, False), step, "run long, warned boolean", f"{key} {kind[key]}, length long, warned boolean")
 
 
-def utterances(frames: DataFrame, key: str, voiced: str, seq: str, ms: str, least: int = 2000, most: int = 28000, quiet: int = 500) -> DataFrame:
-    """key, start_ms, end_ms: an utterance ends after ``quiet`` of silence once it has ``least``, or at ``most``."""
+def utterances(frames: DataFrame, key: str, voiced: str, seq: str, ms: str, least: int = 2000, most: int = 28000, quiet: int = 500, look_back: int = 3000, pause: int = 100) -> DataFrame:
+    """key, start_ms, end_ms: an utterance ends after ``quiet`` of silence once it has ``least``, or at ``most``.
+
+    At ``most`` it ends where the last pause of ``pause`` or longer began, if that lies in the last ``look_back``; what follows opens the next one.
+    """
     kind = dict(frames.dtypes)
 
     def step(state, row):
-        now, start, silence = state
+        now, start, silence, gap = state
         d, v = int(getattr(row, ms)), bool(getattr(row, voiced))
         now += d
         if start < 0:
-            return (now, now - d if v else -1, 0), None
+            return (now, now - d if v else -1, 0, -1), None
+        if v and silence >= pause:
+            gap = now - d - silence
         silence = 0 if v else silence + d
-        if now - start >= most or (silence >= quiet and now - start >= least):
-            return (now, -1, 0), (start, now)
-        return (now, start, silence), None
+        if now - start >= most:
+            soft = gap > max(start, now - look_back)
+            return (now, gap if soft else -1, silence if soft else 0, -1), (start, gap if soft else now)
+        if silence >= quiet and now - start >= least:
+            return (now, -1, 0, -1), (start, now)
+        return (now, start, silence, gap), None
 
-    return by_key(frames.select(key, seq, voiced, ms), [key], [seq], (0, -1, 0), step, "now long, start long, silence long", f"{key} {kind[key]}, start_ms long, end_ms long")
+    return by_key(frames.select(key, seq, voiced, ms), [key], [seq], (0, -1, 0, -1), step, "now long, start long, silence long, gap long", f"{key} {kind[key]}, start_ms long, end_ms long")
 
 
 def quality_warnings(chunks: DataFrame, key: str, seq: str, speech: str, clip: str, snr: str, volume: str) -> DataFrame:
@@ -132,7 +140,7 @@ def quality_warnings(chunks: DataFrame, key: str, seq: str, speech: str, clip: s
 
 
 def open_set(voices: DataFrame, key: str, seq: str, cap: int = 8) -> DataFrame:
-    """key, seq, name: moving profiles of each session; the batch twin is ``operators.speakers.open_set``."""
+    """key, seq, name: moving profiles of each session, up to ``cap``; the batch twin is ``operators.speakers.open_set``."""
     import numpy as np
 
     kind = dict(voices.dtypes)
@@ -164,3 +172,15 @@ def agreed_words(drafts: DataFrame, key: str, seq: str, text: str) -> DataFrame:
         return (" ".join(words),), (getattr(row, seq), " ".join(words[:n]))
 
     return by_key(drafts.select(key, seq, text), [key], [seq], ("",), step, "words string", f"{key} {kind[key]}, {seq} {kind[seq]}, agreed string")
+
+
+def append(rows: DataFrame, path: str, checkpoint: str, partition: list[str] | None = None, seconds: int | None = None):
+    """Appends a stream to Parquet files, exactly once; with ``seconds`` a batch so often, else all there is and then an end. Returns the running query."""
+    w = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    w = w.partitionBy(*partition) if partition else w
+    return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()
+
+
+def every(rows: DataFrame, seconds: int, handle, checkpoint: str):
+    """Calls ``handle(batch, number)`` every ``seconds``; a batch may come again after a failure, with its number. Returns the running query."""
+    return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()

@@ -56,6 +56,66 @@ def test_utterances(stream):
     assert stream(rows, "k int, seq int, v boolean, ms int", lambda d: rules.utterances(d, "k", "v", "seq", "ms")) == [(1, 500, 3500)]
 
 
+def test_soft_cut(stream):
+    # A pause of 200 ms at 26 s, in the last three seconds before 28 s: the cut is there; the rest ends by its own silence.
+    rows = [(1, i, i not in (260, 261) and i < 330, 100) for i in range(340)]
+    assert stream(rows, "k int, seq int, v boolean, ms int", lambda d: rules.utterances(d, "k", "v", "seq", "ms")) == [(1, 0, 26000), (1, 26000, 33500)]
+
+
+def test_hard_cut(stream):
+    rows = [(1, i, i not in (100, 101), 100) for i in range(300)]
+    assert stream(rows, "k int, seq int, v boolean, ms int", lambda d: rules.utterances(d, "k", "v", "seq", "ms")) == [(1, 0, 28000)]
+
+
+def test_once(spark, stream):
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:05"), (2, "2024-01-01 00:00:06"), (2, "2024-01-01 00:00:07")]
+    assert [r[0] for r in stream(rows, "k int, ts string", lambda d: rules.once(timed(d), ["k"], "ts").select("k"))] == [1, 2]
+
+
+def test_unknown_speakers(stream):
+    rows = [(1, i, u) for i, u in enumerate([False, True, False, True, True, True])] + [(2, 0, True), (2, 1, True)]
+    assert stream(rows, "k int, seq int, u boolean", lambda d: rules.unknown_speakers(d, "k", "u", "seq", "seq")) == [(1, 5)]
+
+
+def test_quality_warnings(stream):
+    rows = [(1, 0, True, 0.0, 30.0, 0.5), (1, 1, False, 0.5, 30.0, 0.5), (1, 2, False, 0.5, 5.0, 0.5), (1, 3, True, 0.0, 5.0, 0.001), (1, 4, True, 0.0, None, 0.5), (1, 5, False, 0.0, 5.0, 0.5), (1, 6, True, 0.5, 30.0, 0.5)]
+    got = stream(rows, "k int, seq int, sp boolean, clip double, snr double, vol double", lambda d: rules.quality_warnings(d, "k", "seq", "sp", "clip", "snr", "vol"))
+    assert got == [(1, 1, "no_speech"), (1, 2, "clipping"), (1, 3, "low_snr"), (1, 5, "low_snr"), (1, 6, "clipping")]
+
+
+def test_open_set(spark, stream):
+    from plenum.operators import speakers
+
+    rows = [(1, i, v) for i, v in enumerate([[1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [-1.0, 0.0], [0.8, 0.2]])]
+    schema = "k int, seq int, v array<double>"
+    want = sorted(map(tuple, speakers.open_set(spark.createDataFrame(rows, schema), "k", "seq", cap=2).collect()))
+    assert stream(rows, schema, lambda d: rules.open_set(d, "k", "seq", cap=2)) == want
+
+
+def test_sessions(spark, stream):
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:20"), (1, "2024-01-01 00:05:00"), (1, "2024-01-01 01:00:00")]
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    got = stream(rows, "k int, ts string", lambda d: rules.sessions(timed(d), "k", "ts").select("k", "n"), parts=4)
+    assert got[:2] == [(1, 1), (1, 2)] or got == [(1, 1), (1, 2)]
+
+
+def test_sinks(spark, tmp_path):
+    from plenum.sources import readers
+
+    rows = [(1, 1, 900, "b"), (1, 0, 100, "a"), (2, 0, 0, "c")]
+    spark.createDataFrame(rows, "meeting_id long, segment_index long, start_ms long, text string").write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("meeting_id long, segment_index long, start_ms long, text string").parquet(str(tmp_path / "in"))
+    for _ in range(2):  # a second run finds nothing new
+        q = rules.append(live, str(tmp_path / "out"), str(tmp_path / "c1"), ["meeting_id"])
+        assert q.awaitTermination(60)
+    assert [r.text for r in readers.transcript(spark, str(tmp_path / "out"), 1).collect()] == ["a", "b"]
+    seen = []
+    q = rules.every(live, 1, lambda batch, n: seen.append((n, batch.count())), str(tmp_path / "c2"))
+    q.processAllAvailable()
+    q.stop()
+    assert seen == [(0, 3)]
+
+
 def test_words(stream):
     rows = [(1, 0, "we will meet"), (1, 1, "we will meat today"), (1, 2, "we will meat today at noon")]
     assert stream(rows, "k int, seq int, t string", lambda d: rules.agreed_words(d, "k", "seq", "t")) == [(1, 0, ""), (1, 1, "we will"), (1, 2, "we will meat today")]
