@@ -1,4 +1,4 @@
 """All queries of the library and the SQL that gives the same rows."""
 
-from .plans import decision, interval, measures, relational, search, text  # noqa: F401  each registers its queries
+from .plans import decision, interval, live, measures, relational, search, sources, text  # noqa: F401  each registers its queries
 from .plans.registry import ORACLES, QUERIES  # noqa: F401

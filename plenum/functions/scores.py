@@ -19,6 +19,11 @@ def share(text: Column, pattern: str) -> Column:
     return F.coalesce(F.try_divide((F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("double"), F.length(text).cast("double")), F.lit(0.0))
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of ``value``, which is computed once however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def stripped(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))
 
@@ -28,7 +33,7 @@ def lines_of(text: Column) -> Column:
 
 
 def most_repeated(items: Column, least: int) -> Column:
-    """The share of the most frequent item; 0 for fewer than ``least`` items. One sort, so long lists are fine."""
+    """The share of the most frequent item; 0 for fewer than ``least`` items. One sort if there are repeats, so long lists are fine."""
 
     def longest(s: Column) -> Column:
         start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.lit(0).alias("top"))
@@ -39,18 +44,24 @@ def most_repeated(items: Column, least: int) -> Column:
 
         return F.aggregate(F.array_sort(s), start, step, lambda a: a["top"])
 
-    return F.when(F.size(items) >= least, longest(items) / F.size(items)).otherwise(F.lit(0.0))
+    def share(x: Column) -> Column:
+        n = F.size(x)
+        return F.when(n < least, 0.0).when(F.size(F.array_distinct(x)) == n, 1 / n).otherwise(longest(x) / n)
+
+    return let(items, share)
 
 
 def ocr_quality(text: Column) -> Column:
     """.45 of letters and digits, .35 of lines with any, .20 against a line that repeats; blank is 0."""
-    s = stripped(text)
-    solid = F.regexp_replace(s, r"[ \n\t]", "")
-    letters = F.least(share(solid, f"[A-Za-z0-9{HANGUL}]") / 0.40, F.lit(1.0))
-    lines = lines_of(s)
-    valid = F.size(F.filter(lines, lambda x: x.rlike(f"[A-Za-z0-9{HANGUL}]"))) / F.size(lines)
-    steady = F.greatest(1 - most_repeated(lines, 3) * 2, F.lit(0.0))
-    return F.when(solid == "", F.lit(0.0)).otherwise(F.round(letters * 0.45 + valid * 0.35 + steady * 0.20, 3))
+
+    def score(x: Column) -> Column:
+        letters = F.least(share(x["solid"], f"[A-Za-z0-9{HANGUL}]+") / 0.40, F.lit(1.0))
+        valid = F.size(F.filter(x["lines"], lambda line: line.rlike(f"[A-Za-z0-9{HANGUL}]"))) / F.size(x["lines"])
+        steady = F.greatest(1 - most_repeated(x["lines"], 3) * 2, F.lit(0.0))
+        return F.when(x["solid"] == "", F.lit(0.0)).otherwise(F.round(letters * 0.45 + valid * 0.35 + steady * 0.20, 3))
+
+    parts = let(stripped(text), lambda s: F.struct(F.regexp_replace(s, r"[ \n\t]+", "").alias("solid"), lines_of(s).alias("lines")))
+    return let(parts, score)
 
 
 def block_quality(text: Column) -> Column:

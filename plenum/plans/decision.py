@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plenum.operators import decisions as D
 from plenum.operators import relational as R
+from plenum.operators import updates as U
 
 from .registry import query
 
@@ -115,18 +116,17 @@ def _(t):
 
 @query("d12_compare_and_set", "select meeting_id, case when status = 'recording' then 'processing' else status end as status, status = 'recording' as changed from {meetings}")
 def _(t):
-    hit = F.col("status") == "recording"
-    return t("meetings").select("meeting_id", F.when(hit, "processing").otherwise(F.col("status")).alias("status"), hit.alias("changed"))
+    return U.compare_and_set(t("meetings"), "status", "recording", "processing").select("meeting_id", "status", "changed")
 
 
 @query("d13_duration", "select meeting_id, greatest(0, duration_ms - paused_ms) as net_ms from {meetings}")
 def _(t):
-    return t("meetings").select("meeting_id", F.greatest(F.lit(0).cast("bigint"), F.col("duration_ms") - F.col("paused_ms")).alias("net_ms"))
+    return t("meetings").select("meeting_id", U.net_duration(F.col("duration_ms"), F.col("paused_ms")).alias("net_ms"))
 
 
 @query("d14_confidence", "select event_id, round(coalesce(round(exp(-confidence), 4), case when reasoned then 1.0 else 0.5 end), 4) as confidence from {judgements}")
 def _(t):
-    return t("judgements").select("event_id", F.coalesce(F.round(F.exp(-F.col("confidence")), 4), F.when(F.col("reasoned"), 1.0).otherwise(0.5)).alias("confidence"))
+    return t("judgements").select("event_id", U.confidence(-F.col("confidence"), F.col("reasoned")).alias("confidence"))
 
 
 @query("d15_relabel", "select meeting_id, segment_index, coalesce(case speaker when 'user' then 'S1' end, speaker) as speaker from {segments}")

@@ -82,6 +82,10 @@ class Tables:
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
+    def columns(self, entity: str) -> tuple[str, list[str]]:
+        """An entity's table and expressions."""
+        return ENTITIES[entity]
+
     def __call__(self, entity: str) -> DataFrame:
         table, columns = ENTITIES[entity]
         return self.raw(table).selectExpr(*columns)

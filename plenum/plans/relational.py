@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plenum.operators import relational as R
+from plenum.operators import updates as U
 
 from .registry import query
 
@@ -481,7 +482,7 @@ def _(t):
 @query("m8_revoke", "select event_id, case when session_id = 8 and kind <> 'error' then 'revoked' when kind = 'error' then 'expired' end as state from {activity}")
 def _(t):
     old = F.when(F.col("kind") == "error", "expired")
-    return t("activity").select("event_id", F.coalesce(old, F.when(F.col("session_id") == 8, "revoked")).alias("state"))
+    return t("activity").select("event_id", U.revoked(old, F.col("session_id") == 8).alias("state"))
 
 
 @query("m9_revive", "select user_id, workspace_id, case when user_id % 3 = 0 then false else removed end as removed from {members}")
@@ -492,13 +493,13 @@ def _(t):
 
 @query("m10_reopen", "select decision_id, case when status = 'superseded' then 'pending' else status end as status from {decisions}")
 def _(t):
-    return t("decisions").select("decision_id", F.when(F.col("status") == "superseded", "pending").otherwise(F.col("status")).alias("status"))
+    return t("decisions").select("decision_id", U.reopened(F.col("status"), "superseded", "pending").alias("status"))
 
 
 @query("m11_task_done", "select decision_id, case when status = 'active' then timestamp '1998-01-01' when line = 2 then decided_at end as completed_at from {decisions}")
 def _(t):
     had = F.when(F.col("line") == 2, F.col("decided_at"))
-    return t("decisions").select("decision_id", F.when(F.col("status") == "active", F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00"))).otherwise(had).alias("completed_at"))
+    return t("decisions").select("decision_id", U.completed_at(F.col("status") == "active", had, F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00"))).alias("completed_at"))
 
 
 def _exchanges(t):
@@ -525,12 +526,12 @@ def _(t):
 
 @query("m13_retry", "select file_id, case when status = 'failed' then size + 1 else size end as tries from {files}")
 def _(t):
-    return t("files").select("file_id", F.when(F.col("status") == "failed", F.col("size") + 1).otherwise(F.col("size")).alias("tries"))
+    return t("files").select("file_id", U.retried(F.col("size"), F.col("status") == "failed").alias("tries"))
 
 
 @query("m14_detach", "select file_id, case when folder <> 'Brand#2' then folder end as folder from {files}")
 def _(t):
-    return t("files").select("file_id", F.when(F.col("folder") != "Brand#2", F.col("folder")).alias("folder"))
+    return t("files").select("file_id", U.detached(F.col("folder"), ["Brand#2"]).alias("folder"))
 
 
 def _lists() -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plenum.functions import scalars
 from plenum.operators import search as S
+from plenum.operators import updates as U
 from plenum.operators.relational import first_per
 
 from .registry import query
@@ -103,17 +104,17 @@ def _(t):
 
 @query("s6_rerank_fallback", f"select id, coalesce(case when id % 3 = 0 then score / 2 end, score) as final from ({SCORED})")
 def _(t):
-    return _scored(t).withColumn("rerank", F.when(F.col("id") % 3 == 0, F.col("score") / 2)).select("id", F.coalesce("rerank", "score").alias("final"))
+    return _scored(t).withColumn("rerank", F.when(F.col("id") % 3 == 0, F.col("score") / 2)).select("id", U.attached_score(F.col("score"), F.col("rerank")).alias("final"))
 
 
 @query("s7_collection_bonus", f"select id, round(score + case when source = 'view' then key * 0.0005 else 0 end, 9) as final from ({SCORED})")
 def _(t):
-    return _scored(t).select("id", F.round(F.col("score") + F.when(F.col("source") == "view", F.col("key") * 0.0005).otherwise(0.0), 9).alias("final"))
+    return _scored(t).select("id", F.round(U.with_bonus(F.col("score"), F.col("key") * 0.0005, F.col("source") == "view"), 9).alias("final"))
 
 
 @query("s8_low_confidence", f"select key, max(score) < 0.4 as low from ({SCORED}) group by key")
 def _(t):
-    return _scored(t).groupBy("key").agg((F.max("score") < 0.4).alias("low"))
+    return _scored(t).groupBy("key").agg(U.low_confidence("score").alias("low"))
 
 
 @query(

@@ -534,3 +534,16 @@ def test_word_distance_of_many_words(spark):
     hyp = ref[:100] + ["new"] + ref[100:9000] + ["other"] + ref[9001:11990] + [" \n"]
     d = spark.createDataFrame([(" ".join(ref), " ".join(hyp)), (None, "a")], "r string, h string")
     assert [r.d for r in d.select(evaluation.word_distance(F.col("r"), F.col("h")).alias("d")).collect()] == [12, None]
+
+
+def test_clear(spark):
+    from plenum import shared
+
+    shared.clear(spark)
+    d = shared.written(spark.range(5), "test")
+    other = shared.written(spark.range(3), "test")
+    assert d.count() == 5 and other.count() == 3
+    assert shared.clear(spark) == 2 and shared.clear(spark) == 0
+    assert shared.written(spark.range(4), "test").count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(*d.inputFiles()).count()
