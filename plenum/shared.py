@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-
 _made: list[str] = []
 
 
@@ -42,6 +43,18 @@ def clear(spark: SparkSession) -> int:
     return gone
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is put into the shared folder inside is deleted at the end; results must be written before, to a path made outside."""
+    outer = _made[:]
+    _made.clear()
+    try:
+        yield
+    finally:
+        clear(spark)
+        _made.extend(outer)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes ``df`` to the shared folder and reads it back."""
     spark = df.sparkSession

@@ -544,6 +544,10 @@ def test_clear(spark):
     other = shared.written(spark.range(3), "test")
     assert d.count() == 5 and other.count() == 3
     assert shared.clear(spark) == 2 and shared.clear(spark) == 0
-    assert shared.written(spark.range(4), "test").count() == 4
+    kept = shared.written(spark.range(4), "test")
+    with shared.scratch(spark):
+        gone = shared.written(spark.range(6), "test")
+        assert gone.count() == 6
+    assert kept.count() == 4 and shared.clear(spark) == 1
     with pytest.raises(Exception):
         spark.read.parquet(*d.inputFiles()).count()
