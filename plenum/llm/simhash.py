@@ -11,11 +11,14 @@ every level in the tree of the choice on which they agree, at distance 0, so the
 ring. A leaf is a shard; in it a vantage-point tree over all 64 bits splits at the median distance, and a
 branch is compared with the other only over the margin of r bits at the boundary.
 
-Scale. Copies meet in one group of a map-side aggregation before any tree. A shard over ``SHARD``
-fingerprints is cut into blocks, and each pair of blocks is a task's own query against all rows of the
-other block, so no group grows without bound. m grows with the number of fingerprints, so that shards
-stay small. A shard gives a spanning forest of its links, never all its pairs, and the components come
-from alternating star steps on tables in the shared folder.
+Scale. Copies meet in one group of a map-side aggregation before any tree. m grows with the number of
+fingerprints, so that shards stay small. A shard over ``SHARD`` fingerprints is split on, round by round, by
+the distance to a vantage point of its own over all 64 bits: a fingerprint up to the split's radius plus r goes
+to the inner shard, one beyond the radius to the outer one, so those at the boundary are in both and no link is
+lost. A shard that such a split doesn't shrink is cut into blocks, and each pair of blocks is a task's own query,
+by one tree over both, so no group grows without bound. A shard gives a spanning forest of its links, never all its
+pairs, and the components come from alternating star steps on tables in the shared folder. Fingerprints of very
+many documents, at most 100,000 of them, are sent to the documents; the others are joined.
 
 Null or empty text: no words, fingerprint zero. Null doc_id: gets a fingerprint, its component is that of
 the other documents with its fingerprint. Rows with an equal doc_id count as one document each. Other
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 from itertools import chain, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +57,9 @@ def fingerprint(words: list[bytes], width: int, seed: int) -> int:
     n = len(words) - width + 1
     h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), np.uint64, n)
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
+    # Steps of 255 hashes keep the sums within a byte.
+    for at in range(0, n, 255):
+        ones += np.unpackbits(h[at : at + 255].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint8)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -112,34 +117,39 @@ class Forest:
                 self.links.append((x, y))
 
 
-def vantage_links(fps: np.ndarray, radius: int, forest: Forest, leaf: int = 512) -> None:
-    """Joins all pairs of ``fps`` within ``radius``: a vantage-point tree whose branches meet at the boundary only."""
+def vantage_links(fps: np.ndarray, radius: int, forest: Forest, side: np.ndarray | None = None, leaf: int = 512) -> int:
+    """Joins all pairs of ``fps`` within ``radius``, or those between both sides: a vantage-point tree whose branches meet at the boundary only. Returns how many pairs were compared."""
+    compared = 0
+
+    def meet(a: np.ndarray, b: np.ndarray, same: bool) -> None:
+        nonlocal compared
+        groups = [(a, b)] if side is None else [(a[~side[a]], b[side[b]]), *([] if same else [(a[side[a]], b[~side[b]])])]
+        for x, y in groups:
+            compared += len(x) * len(y)
+            i, j = near(fps[x], fps[y], radius)
+            keep = i < j if same and side is None else slice(None)
+            forest.join((x[i[keep]], y[j[keep]]))
+
     todo = [np.arange(len(fps))]
     while todo:
         at = todo.pop()
-        own = fps[at]
-        d = np.bitwise_count(own ^ own[0]).astype(np.int64) if len(at) > leaf else None
+        if side is not None and (side[at].all() or not side[at].any()):
+            continue
+        d = np.bitwise_count(fps[at] ^ fps[at[0]]).astype(np.int64) if len(at) > leaf else None
         if d is None or d.min() == d.max():
-            i, j = near(own, own, radius)
-            forest.join((at[i[i < j]], at[j[i < j]]))
+            meet(at, at, True)
             continue
         middle = min(int(np.median(d)), int(d.max()) - 1)
-        inner, outer = at[d <= middle], at[d > middle]
-        todo += [inner, outer]
-        rim_in, rim_out = at[(d <= middle) & (d > middle - radius)], at[(d > middle) & (d <= middle + radius)]
-        i, j = near(fps[rim_in], fps[rim_out], radius)
-        forest.join((rim_in[i], rim_out[j]))
+        todo += [at[d <= middle], at[d > middle]]
+        # The triangle bound: a pair across the split lies within the radius of it on both sides.
+        meet(at[(d <= middle) & (d > middle - radius)], at[(d > middle) & (d <= middle + radius)], False)
+    return compared
 
 
 def _shard(side: np.ndarray, fp: np.ndarray, node: np.ndarray, radius: int) -> np.ndarray:
     """Links (two rows of nodes) of one shard, or of one pair of blocks of a large shard: side 0 alone, or side 0 against side 1."""
-    fps, forest = fp.view(np.uint64), Forest(len(fp))
-    if not side.any():
-        vantage_links(fps, radius, forest)
-    else:
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side)
-        i, j = near(fps[a], fps[b], radius)
-        forest.join((a[i], b[j]))
+    forest = Forest(len(fp))
+    vantage_links(fp.view(np.uint64), radius, forest, side.astype(bool) if side.any() else None)
     return node[np.array(forest.links, np.int64).reshape(-1, 2).T]
 
 
@@ -162,6 +172,42 @@ def search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
         yield pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
 
+def _best_split(hist: pd.DataFrame, radius: int) -> tuple[int, int]:
+    """The radius of a split whose larger side, with its margin, is smallest, and that side's size; ``hist`` (d, n) of one shard."""
+    n = np.zeros(65 + radius, np.int64)
+    n[hist["d"].to_numpy()] = hist["n"].to_numpy()
+    upto = np.cumsum(n)
+    larger = [max(upto[min(m + radius, 64)], upto[-1] - upto[m]) for m in range(64)]
+    return int(np.argmin(larger)), int(min(larger))
+
+
+def _split(rows: DataFrame, radius: int, shard: int) -> DataFrame:
+    """tree, leaf, fp, node, blocks of all ``rows`` (tree, leaf, fp, node) in shards of two or more; those of large shards are split by vantage points while that shrinks them."""
+    done = None
+    for _ in range(64):
+        sizes = written(rows.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("v")).where("n > 1"), "shard_sizes")
+        small = rows.join(sizes.where(F.col("n") <= shard).select("tree", "leaf"), ["tree", "leaf"]).withColumn("blocks", F.lit(1))
+        done = small if done is None else done.unionByName(small)
+        large = sizes.where(F.col("n") > shard)
+        if large.isEmpty():
+            return done
+        far = rows.join(large, ["tree", "leaf"]).withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))).cast("int"))
+        far = written(far, "distances")
+
+        def plan(key: tuple, hist: pd.DataFrame) -> pd.DataFrame:
+            m, left = _best_split(hist, radius)
+            return pd.DataFrame({"tree": [key[0]], "leaf": [key[1]], "m": [m], "shrinks": [bool(left <= 0.8 * hist["n"].sum())]})
+
+        # At most 65 rows for a shard.
+        cuts = far.groupBy("tree", "leaf", "d").agg(F.count("*").alias("n")).groupBy("tree", "leaf").applyInPandas(plan, "tree long, leaf long, m int, shrinks boolean")
+        planned = far.join(written(cuts, "splits"), ["tree", "leaf"])
+        done = done.unionByName(planned.where("not shrinks").select("tree", "leaf", "fp", "node", F.ceil(F.col("n") / F.lit(shard)).cast("int").alias("blocks")))
+        sides = F.array(F.when(F.col("d") <= F.col("m") + radius, 0), F.when(F.col("d") > F.col("m"), 1))
+        rows = planned.where("shrinks").withColumn("side", F.explode(F.filter(sides, lambda x: x.isNotNull())))
+        rows = written(rows.select("tree", F.xxhash64("leaf", "v", "side").alias("leaf"), "fp", "node"), "routed")
+    raise RuntimeError("a shard did not end after 64 splits")  # each split leaves four fifths at most
+
+
 def links(points: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
     """A spanning set (a, b) of the links between ``points`` (fp, node; fingerprints distinct)."""
     spark = points.sparkSession
@@ -175,8 +221,8 @@ def links(points: DataFrame, radius: int = 3, shard: int = SHARD) -> DataFrame:
         rings = [F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(_signed(mask)))).cast("long"), 7 * i) for i, v in enumerate(vantage)]
         trees.append(F.struct(F.lit(k).cast("long").alias("tree"), sum(rings, F.lit(0).cast("long")).alias("leaf")))
     routed = points.select("fp", "node", F.explode(F.array(*trees)).alias("t")).select("fp", "node", "t.tree", "t.leaf")
-    sizes = routed.groupBy("tree", "leaf").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / F.lit(shard)).cast("int"))
-    dealt = routed.join(sizes, ["tree", "leaf"]).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
+    dealt = _split(written(routed, "routed"), radius, shard)
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
     # A row goes to the pairs (block, j) as side 0 and to the pairs (i, block) as side 1; the pair (block, block) is the block alone.
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -226,11 +272,17 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
     """doc_id, fp, component_id of ``docs`` (doc_id, text)."""
     prints = written(fingerprints(docs, width, seed), "fingerprints")
-    points = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    grouped = components(links(points.where("node is not null"), radius))
+    points = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n_docs")), "points")
+    grouped = components(links(points.where("node is not null").select("fp", "node"), radius))
     # A fingerprint without links is a component of its own.
-    labelled = points.join(grouped, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
+    labelled = written(points.join(grouped, "node", "left").select("fp", "n_docs", F.coalesce("component", "node").alias("component_id")), "components")
+    # Fingerprints with over a 100,000th of all documents, so at most 100,000 rows of 24 bytes, are sent to the documents; the rest meet in a shuffle.
+    most = max(1024, labelled.agg(F.sum("n_docs")).first()[0] or 0) // 100_000
+    hot = F.col("n_docs") > max(1024, most)
+    large = F.broadcast(labelled.where(hot).drop("n_docs"))
+    one = prints.join(large, "fp")
+    rest = prints.join(large.select("fp"), "fp", "left_anti").join(labelled.where(~hot).drop("n_docs"), "fp")
+    return one.unionByName(rest).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
