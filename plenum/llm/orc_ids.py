@@ -25,8 +25,8 @@ from .tokens import encoder
 SCHEMA = "doc_id long, part int, part_start long, n_tokens long, ids array<int>"
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, files: int | None = None) -> None:
-    """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order; ``files``: how many, the session's shuffle partitions by default."""
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, files: int | None = None, stripe: int = 16 << 20) -> None:
+    """Writes the ids of ``docs`` (doc_id, text) in ascending doc_id order; ``files``: how many, the session's shuffle partitions by default; ``stripe``: bytes of a stripe before compression."""
     spark = docs.sparkSession
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -72,7 +72,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, files
                 "orc.bloom.filter.fpp": "0.01",
                 "orc.create.index": "true",
                 "orc.row.index.stride": "1000",
-                "orc.stripe.size": str(16 << 20),
+                "orc.stripe.size": str(stripe),
+                # Documents may be long: the writer looks at a stripe's size after so many of them.
+                "orc.rows.between.memory.checks": "500",
             }
         )
         .orc(path)

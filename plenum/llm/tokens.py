@@ -2,8 +2,9 @@
 
 A byte-level BPE tokenizer always starts a new pre-token at a space that precedes a character other
 than white space, so a text may be cut there and each chunk encoded alone. Most chunks are frequent
-words; each worker keeps the ids of those that it has met. Texts of Latin letters are cut into pre-tokens by
-the pattern of byte-level BPE and each goes to the library's model once.
+words; each worker keeps the ids of those that it has met, up to a number of bytes. Texts of Latin letters are cut
+into pre-tokens by the pattern of byte-level BPE and each goes to the library's model once. A text that holds one of the
+tokenizer's added tokens, such as ``<|endoftext|>``, goes to the library whole, which gives that token's id for it.
 """
 
 from __future__ import annotations
@@ -12,19 +13,20 @@ import json
 import os
 import re
 from array import array
+from itertools import islice
 
 import numpy as np
-import regex
 
-#: Entries of a worker's memory of chunks, and of pre-tokens; about 200 bytes each.
-MEMORY = 1_000_000
+#: Bytes of a worker's memory of chunks, and of that of pre-tokens.
+MEMORY = 160 << 20
 _CUT = re.compile(r"(?= \S)")
 #: A space after which no chunk starts.
 _ODD = re.compile(r" (?=\s|$)")
 #: Characters whose classes are the same in every version of Unicode and every pattern engine.
 _PLAIN = re.compile(r"[\n -~\xa1-\xac\xae-\u024f]*")
-#: Fixed value: the pattern by which byte-level BPE cuts texts.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: Fixed value: the pattern by which byte-level BPE cuts texts, with its classes written out for the plain characters.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
 
 
 def _byte_letters() -> list[str]:
@@ -34,15 +36,30 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+class Memory(dict):
+    """Ids by text, of about ``most`` bytes; ``trim`` forgets the older half when there are more."""
+
+    #: A key and a value of a few characters with their places in the table.
+    ENTRY = 230
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.entries = max(1, most // self.ENTRY)
+
+    def trim(self) -> None:
+        if len(self) > self.entries:
+            for key in list(islice(self, len(self) // 2)):
+                del self[key]
+
+
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian bytes of ``dtype``."""
+    """``encode(text)`` gives the ids as little-endian bytes of ``dtype``: those of the library's ``encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -56,9 +73,8 @@ class Encoder:
         )
         self.model = self.library.model
         self.letters = {i: c for i, c in enumerate(_byte_letters())}
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.memory = memory
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.known, self.pieces = Memory(memory), Memory(memory)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,12 +98,10 @@ class Encoder:
         """A key with a space in front stands for its chunk without, any other key for its chunk with one."""
         found = list(map(self.known.get, keys))
         if None in found:
-            if len(self.known) > self.memory:
-                self.known.clear()
-                found = [None] * len(keys)
             new = list({k: None for k, f in zip(keys, found) if f is None})
             self.known.update(zip(new, self._chunks([k[1:] if k[:1] == " " else " " + k for k in new])))
             found = list(map(self.known.__getitem__, keys))
+            self.known.trim()
         return found
 
     def _plain(self, text: str) -> bytes:
@@ -96,21 +110,21 @@ class Encoder:
             return b"".join(map(self.pieces.__getitem__, pieces))
         except KeyError:
             pass
-        if len(self.pieces) > self.memory:
-            self.pieces.clear()
         code, tokenize, letters, known = self.dtype.char, self.model.tokenize, self.letters, self.pieces
         for p in pieces:
             if p not in known:
                 known[p] = array(code, [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]).tobytes()
-        return b"".join(map(known.__getitem__, pieces))
+        out = b"".join(map(known.__getitem__, pieces))
+        known.trim()
+        return out
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.by_chunk and _PLAIN.fullmatch(text):
-            return self._plain(text)
-        if not self.by_chunk:
+        if not self.by_chunk or any(map(text.__contains__, self.added)):
             return self._whole([text])[0]
+        if _PLAIN.fullmatch(text):
+            return self._plain(text)
         if _ODD.search(text):
             chunks = [c for c in _CUT.split(text) if c]
             return b"".join(b"".join(self._known([c[1:]])) if c[0] == " " and c.count(" ") == 1 else self._whole([c])[0] for c in chunks)
