@@ -14,8 +14,11 @@ filter, unlike a Bloom filter, forgets single keys. To clean documents, their li
 the filters where the texts are read; what a filter doesn't know costs no shuffle. The rest meets the
 exact table, so a filter's false hits never drop a line.
 
-Filters are broadcast while all of them together stay under ``FILTER_BYTES``; beyond that, every line
-goes to the exact table.
+Filters are broadcast while all of them together stay under ``FILTER_BYTES``; beyond that, the lines' keys are
+dealt to the filters' shards, each task loads one filter at a time and lets only the keys pass that it knows. A shard
+of very many lines goes to several tasks, with a copy of its filter each.
+
+A document that is inserted again replaces what the index held of it.
 
 Null or empty text is one empty line. A null doc_id holds no keys and keeps all its lines. Rows with an
 equal doc_id are versions of one document: each of them is cleaned, and together they count once. Other
@@ -33,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, shared_folder
+from .common import SPACE, shared_folder, written
 
 FILTER_BYTES = 64 << 20
+#: Lines that a task probes with one shard's filter, on average.
+PROBES = 1 << 22
 #: Keys of a shard that its filter is sized for.
 SHARD_KEYS = 1 << 18
 SLOTS = 4
@@ -138,8 +143,8 @@ def postings(docs: DataFrame, min_chars: int = 40, known=None) -> DataFrame:
 class LineIndex:
     """The tables of an index below ``path``; each change writes new tables and leaves the old ones whole."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 40, min_docs: int = 5):
-        self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
+    def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 40, min_docs: int = 5, filter_bytes: int = FILTER_BYTES):
+        self.spark, self.min_chars, self.min_docs, self.filter_bytes = spark, min_chars, min_docs, filter_bytes
         self.path = path or shared_folder(spark, "lines")
         self.version = 0
         self.shards = 1
@@ -166,7 +171,11 @@ class LineIndex:
         return F.pmod("key_hi", F.lit(self.shards)).cast("int").alias("shard")
 
     def insert(self, docs: DataFrame) -> None:
-        """Adds the lines of documents. Documents of the index must be deleted before they come again."""
+        """Adds the lines of documents, in place of those that the index holds of them."""
+        if self.version:
+            again = self.postings.select("doc_id").join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi").distinct()
+            if not again.isEmpty():
+                self.delete(written(again, "again"))
         self.version += 1
         posts = postings(docs, self.min_chars)
         # A document may come in several rows: its keys count once. Rows of one document that lie together were joined above.
@@ -235,7 +244,7 @@ class LineIndex:
     def _known(self):
         """A test of keys by all filters, None if they are too large to be sent to every task."""
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
-        if size > FILTER_BYTES:
+        if size > self.filter_bytes:
             return None
         blobs = self.spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.collect()})
         shards = self.shards
@@ -253,9 +262,38 @@ class LineIndex:
 
         return known
 
+    def _probed(self, posts: DataFrame) -> DataFrame:
+        """Those ``posts`` whose keys the filters know: each shard's filter comes first, then its keys stream past."""
+        salts = max(1, posts.count() // (PROBES * self.shards))
+        deal = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+        none = F.lit(None).cast("long")
+        tables = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("place"), "filter", *(none.alias(c) for c in ("doc_id", *KEY)))
+        keys = posts.select(self._shard(), deal.alias("salt"), F.lit(1).alias("place"), F.lit(None).cast("binary").alias("filter"), "doc_id", *KEY)
+        dealt = tables.unionByName(keys).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "place")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, known = None, None
+            for b in batches:
+                at, place = b.column(0).to_numpy(), b.column(2).to_numpy()
+                ids, hi, lo = (b.column(i).fill_null(0).to_numpy() for i in (4, 5, 6))
+                keep = np.zeros(b.num_rows, bool)
+                cuts = np.flatnonzero((np.diff(at) != 0) | (np.diff(place) != 0)) + 1
+                for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                    if start == end:
+                        continue
+                    if place[start] == 0:
+                        shard, known = at[start], CuckooFilter.load(b.column(3)[start].as_py())
+                    elif at[start] == shard:
+                        keep[start:end] = known.holds(lo[start:end])
+                yield pa.record_batch([pa.array(ids[keep]), pa.array(hi[keep]), pa.array(lo[keep])], ["doc_id", *KEY])
+
+        return dealt.mapInArrow(run, "doc_id long, key_hi long, key_lo long")
+
     def clean(self, docs: DataFrame) -> DataFrame:
         """``docs`` with its text cleaned, and n_lines (before) and n_dropped."""
-        hits = postings(docs, self.min_chars, self._known())
+        known = self._known()
+        hits = postings(docs, self.min_chars, known)
+        hits = self._probed(hits) if known is None else hits
         hot = self.references.where(F.col("n_docs") >= self.min_docs)
         drop = hits.join(hot, KEY).where(F.col("doc_id") != F.col("keeper"))
         drop = drop.groupBy(F.col("doc_id").alias("drop_id")).agg(F.collect_set(F.struct(*KEY)).alias("drop_keys"))
