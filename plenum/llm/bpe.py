@@ -122,20 +122,30 @@ def _digest(c: Codec, ids: bytes) -> tuple[int, str, str]:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(c.decode(ids)).hexdigest()
 
 
-def chunks(docs: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """row, doc_id, at, n, part: each text's overlapping chunks, numbered from 0."""
+def _rows(docs: DataFrame) -> DataFrame:
+    """row (its number), doc_id, text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    d = d.withColumn("n", F.greatest(F.lit(1), F.ceil((F.length("text") - overlap) / F.lit(chunk)).cast("int")))
-    d = d.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n", "text")
-    return d.select("row", "doc_id", "n", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("at")).select(
-        "row", "doc_id", "n", "at", F.when(F.col("n") == 1, F.col("text")).otherwise(F.substring("text", F.col("at") * chunk + 1, F.when(F.col("at") == F.col("n") - 1, 2 * (chunk + overlap)).otherwise(F.lit(chunk + overlap)))).alias("part")
-    )
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), text.alias("text"))
+
+
+def chunks(rows: DataFrame, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """row, doc_id, n, at, part: the overlapping chunks of the texts that are longer than one, cut in one pass and numbered from 0."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, doc_id, text in zip(*(c.to_pylist() for c in b.columns)):
+                n = -(-(len(text) - overlap) // chunk)
+                # A text's chunks go on one by one: no batch holds a whole long text again.
+                for at in range(n):
+                    part = text[at * chunk : (at + 1) * chunk + overlap] if at < n - 1 else text[at * chunk :]
+                    yield pa.record_batch([pa.array([row]), pa.array([doc_id], pa.int64()), pa.array([n], pa.int32()), pa.array([at], pa.int32()), pa.array([part])], ["row", "doc_id", "n", "at", "part"])
+
+    return rows.where(F.length("text") > chunk + overlap).mapInArrow(cut, "row long, doc_id long, n int, at int, part string")
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id and ids (unsigned little-endian 32-bit integers) of ``docs`` (doc_id, text)."""
-    cut = chunks(docs, chunk, overlap)
+    rows = _rows(docs)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(ranks_path, pattern)
@@ -143,8 +153,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
             ids = [c.encode(c.matches(t.as_py())) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    one = cut.where("n = 1").select("doc_id", "part").mapInArrow(short, "doc_id long, ids binary")
-    return one.unionByName(_long(cut.where("n > 1"), ranks_path, pattern, chunk, overlap))
+    one = rows.where(F.length("text") <= chunk + overlap).select("doc_id", "text").mapInArrow(short, "doc_id long, ids binary")
+    return one.unionByName(_long(chunks(rows, chunk, overlap), ranks_path, pattern, chunk, overlap))
 
 
 def _long(parts: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:

@@ -9,7 +9,7 @@ the read tasks, over every whole text.
 
 Words are runs of bytes other than ASCII white space; features are over UTF-8 bytes after A-Z are
 lower-cased. Null or empty texts have no features: their score is that of the classes' shares. Null ids are kept and
-are never in the sample. Rows with equal ids are scored each; of several labels of a document the
+are never in the sample. Of repeated labelled ids every row may be in the sample. Rows with equal ids are scored each; of several labels of a document the
 largest counts. Without labels all scores are 0.5. Other columns are not read. An empty table gives no rows.
 """
 
@@ -110,12 +110,14 @@ def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 16, size: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, **how) -> Model:
-    """Trains on ``sample`` rows at most of ``docs`` (doc_id, text) with ``labels`` (doc_id, label 0 or 1)."""
+    """Trains on ``sample`` rows at most of ``docs`` (doc_id, text) with ``labels`` (doc_id, label 0 or 1): those whose ids, then texts, have the smallest hashes."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
+    # At most ``sample`` ids, so they are broadcast.
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # The sample has at most ``sample`` rows, so it is broadcast.
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id").toPandas().sort_values(["doc_id", "text"], na_position="first")
-    return train([(t or "").encode() if isinstance(t, str) else b"" for t in rows["text"]], rows["label"].tolist(), **how)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id")
+    # Repeated ids may give more rows, so the bound holds for these; each task keeps its first rows only.
+    first = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(sample).toPandas().sort_values(["doc_id", "text"], na_position="first")
+    return train([(t or "").encode() if isinstance(t, str) else b"" for t in first["text"]], first["label"].tolist(), **how)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
