@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import line_dedup, packing, quality_rules, secrets, shingle_sets
+from plenum.llm import line_dedup, packing, quality_rules, secrets, simhash_texts
 from plenum.llm.common import table, written
+from plenum.shared import scratch, shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,14 +39,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word Jaccard similarity of 0.8 or more the one with the smallest id stays; documents without an id stay."""
-    gone = shingle_sets.near_duplicates(docs).where("doc_id <> keeper").select("doc_id", "t").distinct()
+    gone = simhash_texts.near_duplicates(docs).where("doc_id <> keeper").select("doc_id", "t").distinct()
     return docs.withColumn("t", F.xxhash64("text")).join(gone, ["doc_id", "t"], "left_anti").select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the texts; every document stays."""
-    forest = secrets.train(secrets.labelled_findings(spark))
-    return _documents(secrets.redact(docs, secrets.scan(docs, forest, "source")))
+    found = secrets.scan(docs, secrets.labelled_findings(spark), "source")
+    return _documents(secrets.redact(docs, found))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,5 +64,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = shared_folder(spark, name)
+        # A stage's own tables go once its rows are written.
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
