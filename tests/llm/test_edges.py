@@ -30,6 +30,14 @@ def test_line_dedup(spark, docs):
     out = index.clean(docs).collect()
     assert len(out) == len(ROWS) and sum(r.n_dropped for r in out) == 0
     assert {r.text for r in out if r.doc_id in (2, 3)} == {""}
+    line = "a line that is shared by six documents and long enough"
+    rows = [(i, f"own {i}\n{line}\n{line}") for i in range(6)] + [(3, f"own 3\n{line}\n{line}"), (3, f"{line} but longer"), (None, line), (None, line), (9, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("drop_id", F.lit(1)).withColumn("key_lo", F.lit("x"))
+    index = line_dedup.LineIndex(spark)
+    index.insert(d)
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in index.clean(d).collect()), key=str)
+    want = [(i, f"own {i}", 3, 2) for i in range(5)] + [(5, rows[5][1], 3, 0), (3, "own 3", 3, 2), (3, f"{line} but longer", 1, 0), (None, line, 1, 0), (None, line, 1, 0), (9, "", 1, 0)]
+    assert got == sorted(want, key=str)
     none = line_dedup.LineIndex(spark)
     none.insert(empty(docs))
     assert none.clean(empty(docs)).count() == 0
@@ -62,12 +70,12 @@ def test_orc(spark, docs):
 
 
 def test_secrets(docs, spark):
-    forest = secrets.train(secrets.labelled_findings(spark, 800), trees=5, depth=5)
-    assert secrets.scan(docs, forest, "source").count() == 0
-    assert secrets.scan(empty(docs), forest).count() == 0
-    assert secrets.redact(docs, secrets.scan(docs, forest)).count() == len(ROWS)
+    findings, small = secrets.labelled_findings(spark, 800), {"trees": 5, "depth": 5}
+    assert secrets.scan(docs, findings, "source", **small).count() == 0
+    assert secrets.scan(empty(docs), findings, **small).count() == 0
+    assert secrets.redact(docs, secrets.scan(docs, findings, **small)).count() == len(ROWS)
     with pytest.raises(ValueError):
-        secrets.train(secrets.labelled_findings(spark, 50).where("is_secret = 1"))
+        secrets.scan(docs, findings.where("is_secret = 1"))
 
 
 def test_simhash(docs):

@@ -40,7 +40,6 @@ def odd(spark):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -73,6 +72,86 @@ def test_orc_round_trip(spark, odd, library, tmp_path):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)" in one._jdf.queryExecution().toString()
 
 
+def test_packing_query(spark, texts, library):
+    out = {}
+    for r in QUERIES["op2_packing"](spark, SMALL).collect():
+        out.setdefault(r.doc_id, []).append(r)
+    assert set(out) == set(texts) and len({r.sequence_id for p in out.values() for r in p}) == sum(map(len, out.values()))
+    for i, text in texts.items():
+        ids, at = [*library(text), 1], 0
+        for r in sorted(out[i], key=lambda r: r.start):
+            assert (r.start, r.offset, r.doc_tokens) == (at, 0, len(ids)) and r.length & (r.length - 1) == 0 and r.length <= 2048
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_packing_buckets(spark, odd, tmp_path):
+    pieces = packing.pack(spark.createDataFrame(odd, "doc_id long, text string"), JSON, window=64)
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert {(r.bucket, r.length) for r in back.select("bucket", "length").distinct().collect()} == {(b, 1 << b) for b in range(7)}
+    assert back.count() == pieces.count()
+    one = back.where("bucket = 3")
+    assert one.count() == pieces.where("length = 8").count() and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().toString()
+
+
+def test_orc_query(spark, texts, library):
+    start, out = 0, {r.doc_id: r for r in QUERIES["op4_orc_ids"](spark, SMALL).collect()}
+    for i in sorted(texts):
+        ids = [*library(texts[i]), 2]
+        assert (out[i].start, out[i].n_tokens, out[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert len(out) == len(texts)
+
+
+def scanned(df):
+    """Rows that the file scan of a query gives on."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if hasattr(plan, "finalPhysicalPlan") and "AdaptiveSparkPlan" in plan.nodeName() else plan
+    return plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+
+
+def test_orc_prunes_by_metadata(spark):
+    """Even ids in stripes of row groups of 1,000: one id reads one group, an odd id inside the range is ruled out by the Bloom filters alone."""
+    import pyarrow.orc
+
+    path = shared_folder(spark, "orc-pruned")
+    docs = spark.range(0, 24_000, 2).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.xxhash64("id", i).cast("string")), " ").alias("text"))
+    orc_ids.write_ids(docs, path, JSON, files=1, stripe=1 << 18)
+    rows = spark.read.schema(orc_ids.SCHEMA).orc(path)
+    file = pyarrow.orc.ORCFile(next(f for f in rows.inputFiles()).removeprefix("file://"))
+    assert file.nrows == 12_000 and file.row_index_stride == 1000 and file.nstripes > 1
+    assert scanned(rows.select("doc_id", "n_tokens")) == 12_000
+    assert 0 < scanned(rows.where("doc_id = 8000").select("doc_id", "n_tokens")) <= 2000
+    absent = [scanned(rows.where(f"doc_id = {i}").select("doc_id", "n_tokens")) for i in (4001, 9001, 12345, 20011, 21)]
+    assert sorted(absent)[2] == 0 and sum(absent) <= 2000
+
+
+def test_added_tokens_and_cold_memory(library):
+    """An added token inside a text is one id, as the library has it; a memory of a few bytes changes no id."""
+    from plenum.llm.tokens import Encoder
+
+    rng = random.Random(9)
+    enc, cold = Encoder(JSON), Encoder(JSON, memory=1)
+    assert len(library("a <|endoftext|> b")) == 4
+    for text in ["a <|endoftext|> b", "<|endoftext|>", "é<|endoftext|>中", *("".join(rng.choice(ALPHABET) for _ in range(200)) for _ in range(50)), "plain words, again and again. " * 40]:
+        for e in (enc, cold):
+            assert np.frombuffer(e.encode(text), e.dtype).tolist() == library(text)
+    assert len(cold.known) <= 400 and len(cold.pieces) <= 400
+
+
+def test_bpe_query(spark, texts):
+    ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out = {r.doc_id: r for r in QUERIES["op10_bpe"](spark, SMALL).collect()}
+    assert set(out) == set(texts)
+    for i, text in texts.items():
+        ids = np.array(lib.encode_ordinary(text), "<u4")
+        assert (out[i].n_tokens, out[i].ids_sha256, out[i].decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_bpe_matches_the_library(spark, odd):
     ranks = {__import__("base64").b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -103,18 +182,52 @@ def test_one_bit_recall(spark):
 
 
 def test_one_bit_prunes():
-    """The bounds must spare most candidates the exact product, or the codes are of no use."""
-    import pandas as pd
-
+    """The bounds hold for nearly all candidates and spare most of them the exact product, or the codes are of no use."""
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((3000, 64))
-    turn = one_bit.rotation(64, 0)
-    bits, norm, own = one_bit.codes(x, turn)
-    est, rounding = one_bit.estimates(bits, x[0], turn)
-    est, wide = est * norm / own, norm * np.sqrt((1 - own**2) / own**2) * 2.3 / np.sqrt(63) * np.linalg.norm(x[0]) + norm / own * rounding
-    assert np.mean(np.abs(x @ x[0] - est) <= wide) > 0.95
-    assert np.mean(est + wide >= np.partition(est - wide, -20)[-20]) < 0.9
-    assert len(one_bit.search_block(pd.DataFrame({"id": [0], "v": [x[0]]}), pd.DataFrame({"id": range(3000), "v": list(x)}), 20, 2.3, 0)) == 20
+    x = rng.standard_normal((10_000, 64))
+    block = one_bit.Block(np.arange(len(x)), x, 3.0, 0)
+    reranked, lost = [], 0
+    for qid in range(40):
+        est = one_bit.estimates(block.bits, x[qid], block.turn) * block.scale
+        exact = x @ x[qid]
+        assert np.mean(np.abs(exact - est) <= block.spread * np.linalg.norm(x[qid])) > 0.95
+        near, score, n = block.search(qid, x[qid], 20)
+        exact[qid] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -exact))[:20]
+        lost += len(set(want) - set(near))
+        reranked.append(n)
+        assert np.array_equal(score, np.sort(score)[::-1])
+    assert np.mean(reranked) < 0.5 * len(x) and lost <= 0.005 * 40 * 20
+    # Every code's estimate is that of its signs.
+    signs = np.unpackbits(block.bits[:5], axis=1, bitorder="little")[:, :64] * 2.0 - 1
+    assert np.allclose(one_bit.estimates(block.bits[:5], x[3], block.turn), signs @ (block.turn @ x[3]) / 8)
+
+
+def test_one_bit_on_the_table(spark):
+    """Recall over all queries of the table, by brute force, with ties and a small block that makes many tasks."""
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select vec_id, embedding from '{sf}/embeddings.parquet' where embedding is not null order by vec_id").fetchall()
+    x, ids = np.array([v for _, v in rows], float), np.array([i for i, _ in rows])
+    found = {}
+    for r in QUERIES["op3_one_bit_search"](spark, sf).collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    hits = n = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = one_bit._inner(x, x[q])
+        s[q] = -np.inf
+        best = np.lexsort((ids, -s))[:20]
+        own = found[ids[q]]
+        assert sorted(own) == list(range(1, 21)) and all(own[k][1] == s[np.searchsorted(ids, own[k][0])] for k in own)
+        hits += len({i for i, _ in own.values()} & set(ids[best].tolist()))
+        n += 20
+    assert hits >= 0.99 * n
+    d = x[:300].copy()
+    d[150:] = d[:150]  # every score comes twice
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(d)], "id long, v array<double>")
+    for r in one_bit.nearest(v.where("id = 0"), v, k=10, error=50.0).collect():
+        s = one_bit._inner(d, d[0])
+        s[0] = -np.inf
+        assert r.vec_id == np.lexsort((np.arange(300), -s))[r["rank"] - 1]
 
 
 def brute_fingerprint(text, width=3):
@@ -170,6 +283,26 @@ def test_simhash_links(spark, shard):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_simhash_shards_overlap(spark):
+    """A dense shard is split by vantage points: shards stay small, fingerprints at a boundary lie in both, and no link is lost."""
+    rng = random.Random(8)
+    flips = lambda: (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+    fps = sorted({simhash._signed(((1 << rng.randrange(1, 64)) - 1) ^ flips()) for _ in range(1500)})
+    rows = spark.createDataFrame([(0, 0, x, i) for i, x in enumerate(fps)], "tree long, leaf long, fp long, node long")
+    parts = {}
+    for r in simhash._split(rows, 3, 200).collect():
+        parts.setdefault((r.leaf, r.blocks), set()).add(r.node)
+    places = [i for own in parts.values() for i in own]
+    assert len(parts) > 4 and len(places) > len(set(places)) and max(len(own) for (_, blocks), own in parts.items() if blocks == 1) <= 200
+    meet = {}
+    for own in parts.values():
+        for i in own:
+            meet.setdefault(i, set()).update(own)
+    a = np.array(fps, np.int64).view(np.uint64)
+    i, j = simhash.near(a, a, 3)
+    assert len(i) > len(a) and all(y in meet.get(x, {x}) for x, y in zip(i.tolist(), j.tolist()))
+
+
 def test_vantage_tree_is_exact():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 62, 60, dtype=np.uint64)
@@ -202,6 +335,27 @@ def test_line_index_is_reversible(spark):
     assert known(hot[:, 0], hot[:, 1]).all() and known(cold[:, 0], cold[:, 1]).mean() < 0.1
 
 
+def test_line_index_beyond_the_broadcast(spark):
+    """Filters too large to be sent give the same texts, through the shards."""
+    rows = [(i, "\n".join(f"common line {j} that is long enough to be counted" if j % 3 else f"own {i} {j} " + "z" * 40 for j in range(9))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = []
+    for most in (1 << 26, 0):
+        index = line_dedup.LineIndex(spark, filter_bytes=most)
+        index.insert(docs)
+        index.shards, index.version = index.shards, index.version
+        out.append(sorted(map(tuple, index.clean(docs).select("doc_id", "text", "n_dropped").collect())))
+    assert out[0] == out[1] and sum(r[2] for r in out[0]) == 6 * 29
+    posts = line_dedup.postings(docs)
+    left = index._probed(posts)
+    hot = index.references.where("n_docs >= 5").count()
+    assert hot == 6 and hot * 30 <= left.count() < hot * 30 + 0.1 * posts.count()
+    # The same documents again replace themselves.
+    refs = sorted(map(tuple, index.references.collect()))
+    index.insert(docs.where("doc_id < 10"))
+    assert sorted(map(tuple, index.references.collect())) == refs
+
+
 def test_cuckoo_filter_forgets():
     rng = np.random.default_rng(0)
     keys = rng.integers(-(1 << 62), 1 << 62, 5000)
@@ -214,18 +368,87 @@ def test_cuckoo_filter_forgets():
     assert not line_dedup.CuckooFilter(np.zeros((16, 4), np.uint16)).add(keys[:200])
 
 
+NEAR = re.compile(secrets.NEAR_SECRET)
+
+
+def brute_candidates(text):
+    """(place, candidate) of a text, by loops over its words."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    out = []
+    for i, w in enumerate(words):
+        if len(w) < 8 or not re.search("[0-9]", w) or not re.search(secrets.RUN, w):
+            continue
+        head = re.match(r"[^:=]*[:=]", w)
+        behind = i > 0 and NEAR.search(" ".join([*words[max(0, i - 2) : i], head[0] if head else ""]))
+        if behind or NEAR.search(w) or re.search(r"[A-Za-z0-9+/_\-]{16}", w):
+            out += [(i, c) for c in re.findall(secrets.RUN, w) if re.search("[0-9]", c) and re.search("[A-Za-z]", c)]
+    return out
+
+
+def brute_known(candidates, docs):
+    """The letters of each candidate in words that stand alone in five documents or more, or in the fixed list."""
+    count = {}
+    for t in docs:
+        for w in {w.rstrip('.,;:!?)"\'').lstrip("(\"'") for w in re.split(r"[\x20\x09-\x0D]+", t.lower())}:
+            if re.fullmatch("[a-z]{4,}", w):
+                count[w] = count.get(w, 0) + 1
+    pieces = {c: re.findall("[a-z]{4,}", c.lower()) for c in candidates}
+    return {c: sum(len(w) for w in ws if w in secrets.WORDS or count.get(w, 0) >= 5) for c, ws in pieces.items()}
+
+
+PLANTED = [
+    ("the deploy job reads password = Zx9!kQ7vLp2mRt8w from the vault", None),
+    ("AWS_SECRET_ACCESS_KEY=wJ7rXUtnFEMIK9MDENGbPxRfiCYq2LhT8sVd", True),
+    ("api_key: 'sk-live-9fQ2xLm8Rt4Vb7Zk1Np6'", True),
+    ("export AUTH_TOKEN=ghx_A8dk29sLmQp47RtZx01VbNc93KfJh56We", True),
+    ("client_secret = \"3f9a8c1d7e5b2a6f4c0d9e8b7a6f5c4d3e2b1a09\"", True),
+    ("fixed in commit 3f9a8c1d7e5b2a6f4c0d9e8b7a6f5c4d3e2b1a09 yesterday", False),
+    ("sha256 checksum 9b74c9897bac770ffc029102a200c5de1f2e3d4c5b6a79880123456789abcdef matches", False),
+    ("ticket uuid 550e8400-e29b-41d4-a716-446655440000 was closed", False),
+    ("api_key = your_token_here_12345 is only an example", False),
+    ("see /docs/v2/internationalisation2024 for more", False),
+]
+
+
 def test_secrets_accuracy(spark, texts):
     found = secrets.labelled_findings(spark, 6000).withColumn("test", F.pmod(F.xxhash64("candidate"), F.lit(5)) == 0)
-    forest = secrets.train(found.where("not test"))
-    rows = forest.transform(secrets._vectors(found.where("test"), "is_secret")).select("is_secret", "prediction").collect()
-    assert np.mean([r.is_secret == r.prediction for r in rows]) > 0.95
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    keys = {(r.doc_id, k) for r in docs.select("doc_id", "text").collect() for k in re.findall(r'token = "([0-9a-fA-F]{40})"', r.text or "")}
-    hits = secrets.scan(docs, forest, "source")
+    words = secrets.known_words([found, secrets.candidates(docs, "source")], docs)
+    forest = secrets.train(found.where("not test"), words)
+    rows = forest.transform(secrets._vectors(found.where("test"), words, "is_secret")).select("is_secret", "prediction").collect()
+    right = np.mean([r.is_secret == r.prediction for r in rows])
+    assert right > 0.95 and right > max(np.mean([r.is_secret for r in rows]), np.mean([1 - r.is_secret for r in rows])) + 0.2
+    own = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    hits = secrets.judge(secrets.candidates(docs, "source"), forest, words)
+    assert sorted((r.doc_id, r.at, r.candidate) for r in hits.collect()) == sorted((i, at, c) for i, t in own.items() for at, c in brute_candidates(t))
+    keys = {(i, k) for i, t in own.items() for k in re.findall(r'token = "([0-9a-fA-F]{40})"', t)}
     marked = {(r.doc_id, r.candidate) for r in hits.where("is_secret").collect()}
     assert keys and keys == marked
     clean = {r.doc_id: r.text for r in secrets.redact(docs, hits).collect()}
     assert not any(k in clean[i] for i, k in keys) and len(clean) == docs.count()
+    planted = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(PLANTED)], "doc_id long, text string")
+    verdict = {}
+    for r in secrets.scan(planted, found).collect():
+        verdict[r.doc_id] = verdict.get(r.doc_id, False) or r.is_secret
+    for i, (t, want) in enumerate(PLANTED):
+        assert want is None or verdict.get(i, False) == want, t
+
+
+def test_secrets_dictionary(spark, texts):
+    words = ["common%s" % c for c in "abcdefgh"]
+    docs = [f"{w} stands alone, (and {w}) here. x{w}1" for w in words[:4] for _ in range(5)] + [f"{w} is rare" for w in words[4:] for _ in range(4)] + ["COMMONE!"]
+    found = spark.createDataFrame([(f"{w.upper()}_9{w}",) for w in words] + [("token_1abcdef",)], "candidate string")
+    d = spark.createDataFrame([(t,) for t in docs] + [(None,)], "text string")
+    got = {r.candidate: r.known for r in secrets._covered(found, secrets.known_words([found], d)).collect()}
+    assert got == brute_known(got, docs) and got["COMMONA_9commona"] == 14 and got["COMMONE_9commone"] == 14 and got["COMMONF_9commonf"] == 0
+
+
+def test_redact_without_ids(spark):
+    rows = [(None, 'token = "%s"' % ("ab12" * 10), "x"), (None, "nothing here", "y"), (1, None, "z"), (None, 'token = "%s"' % ("cd34" * 10), "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    found = docs.select("doc_id", F.xxhash64("text").alias("t"), F.regexp_extract("text", '"(\\w+)"', 1).alias("candidate")).where("candidate <> ''").withColumn("is_secret", F.lit(True))
+    out = {r.more: r.text for r in secrets.redact(docs, found).collect()}
+    assert out == {"x": 'token = "[SECRET]"', "y": "nothing here", "z": None, "w": 'token = "[SECRET]"'}
 
 
 def counts(text):
@@ -250,6 +473,86 @@ def test_quality_counts_and_guarantee(spark, texts):
     assert len(lost) <= 0.05 * len(good)
 
 
+def plain_thresholds(rows, limit=0.05, risk=0.05):
+    """(stratum, rule): (cutoff, n_good, n_false, n_bad) by loops. ``rows``: (stratum, good, half, ratios by rule)."""
+    strata, out = {r[0] for r in rows}, {}
+    for s in strata:
+        own = [r for r in rows if r[0] == s]
+        first = [r for r in own if r[2] == 0]
+        goods = sum(r[1] == 1 for r in first)
+        tests = []
+        for rule, grid in quality_rules.GRID.items():
+            for cutoff in grid:
+                over = [r for r in first if r[3][rule] > cutoff]
+                tests.append((rule, cutoff, sum(r[1] == 1 for r in over), sum(r[1] == 0 for r in over)))
+        best = None
+        for level in quality_rules.LEVELS:
+            union = {}
+            for rule, cutoff, false, bad in tests:
+                if bad and false <= max(level, 0) * goods:
+                    key = (bad, 0 if level < 0 else -false, cutoff if level < 0 else -cutoff)
+                    if rule not in union or key > union[rule][0]:
+                        union[rule] = (key, cutoff)
+            if level == -2 and union:
+                top = max(union, key=lambda r: (union[r][0][0], r))
+                union = {top: union[top]}
+            fails = lambda r: any(r[3][rule] > c for rule, (_, c) in union.items())
+            n = sum(r[1] == 1 and r[2] == 1 for r in own)
+            k = sum(r[1] == 1 and r[2] == 1 and fails(r) for r in own)
+            bad = sum(r[1] == 0 and fails(r) for r in own)
+            if not union or not n or k >= n * limit:
+                continue
+            if sum(math.comb(n, i) * limit**i * (1 - limit) ** (n - i) for i in range(k + 1)) <= risk / len(strata) and (best is None or (bad, -level) > best[0]):
+                best = ((bad, -level), {rule: (c, n, k, bad) for rule, (_, c) in union.items()})
+        out |= {(s, rule): x for rule, x in (best[1] if best else {}).items()}
+    return out
+
+
+def holdout(counted, labels):
+    own = labels.groupBy("doc_id").agg(F.max("quality").alias("good"))
+    d = counted.where("not base_failed").join(own, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(2)))
+    return [(r.lang, r.good, r.half, {g: r[g] for g in quality_rules.GRID}) for r in d.collect()]
+
+
+def limits_of(table):
+    return {(r.stratum, r.rule): (r.cutoff, r.n_good, r.n_false, r.n_bad) for r in table.collect()}
+
+
+def test_quality_thresholds_on_made_labels(spark):
+    """Where thresholds act, some with false rejections, some strata without: as loops have it."""
+    u = lambda salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1000)) / 1000
+    d = spark.range(6000).withColumn("good", (u(1) > 0.25).cast("int"))
+    bad, noise = F.col("good") == 0, F.when(u(5) < 0.01, 0.5).otherwise(0.2)
+    d = d.select(
+        F.col("id").alias("doc_id"), F.element_at(F.array(*map(F.lit, ["en", "de", "fr", "xx"])), F.when(F.col("id") < 3000, 1).when(F.col("id") < 4800, 2).when(F.col("id") < 5900, 3).otherwise(4)).alias("lang"), F.lit(False).alias("base_failed"), "good",
+        (F.when(bad & (u(2) < 0.6), 0.3).otherwise(0.05) * u(3) * noise * 5).alias("symbol_share"), F.when(bad & (u(4) < 0.3), u(6)).otherwise(u(6) * 0.12).alias("dup_line_share"),
+        (u(7) * 0.3).alias("repeat_share"), (5 + 3 * u(8) + F.when(bad & (u(9) < 0.2), 20).otherwise(0)).alias("long_words"), (-5 - u(10)).alias("short_words"),
+    )
+    labels = d.select("doc_id", F.col("good").alias("quality"))
+    counted = d.drop("good")
+    table = quality_rules.thresholds(counted, labels)
+    want = plain_thresholds(holdout(counted, labels))
+    assert limits_of(table) == want and {s for s, _ in want} >= {"en", "de"} and "xx" not in {s for s, _ in want} and any(x[2] > 0 for x in want.values())
+    kept = {r.doc_id: r.kept for r in quality_rules.judged(counted, table).collect()}
+    for r in d.collect():
+        assert kept[r.doc_id] == (not any(r[rule] > want[r.lang, rule][0] for rule in quality_rules.GRID if (r.lang, rule) in want))
+
+
+def test_quality_verdict_on_the_table(spark):
+    """At sf0.1 every rule's verdict, and the query's, against loops over the same counts."""
+    sf = "/root/testdata/sf0.1"
+    counted = quality_rules.with_counts(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")).drop("text")
+    counted = spark.createDataFrame(counted.toPandas(), counted.schema)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    want = plain_thresholds(holdout(counted, labels))
+    assert want and limits_of(quality_rules.thresholds(counted, labels)) == want
+    out = {r.doc_id: r.kept for r in QUERIES["op9_quality_rules"](spark, sf).collect()}
+    rows = counted.collect()
+    for r in rows:
+        assert out[r.doc_id] == (not r.base_failed and not any(r[rule] > want[r.lang, rule][0] for rule in quality_rules.GRID if (r.lang, rule) in want))
+    assert sum(not out[r.doc_id] and not r.base_failed for r in rows) > 100
+
+
 def test_binomial_tail(spark):
     cases = [(0, 50, 0.01), (3, 400, 0.02), (7, 900, 0.01), (30, 3000, 0.011), (5, 5, 0.5), (0, 0, 0.01)]
     d = spark.createDataFrame([(k, n) for k, n, _ in cases], "k long, n long")
@@ -272,12 +575,73 @@ def test_classifier_held_out(spark):
     held = [i for i in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert held and all(out[i].held_out for i in held)
     share = max(np.mean([labels[i] == c for i in held]) for c in (0, 1))
-    assert np.mean([out[i].predicted == labels[i] for i in held]) > max(0.85, share - 0.01)
+    assert np.mean([out[i].predicted == labels[i] for i in held]) > max(0.85, share)
     rank = [(out[i].score, labels[i]) for i in held]
     pairs = [(a > b) + 0.5 * (a == b) for a, x in rank for b, y in rank if x == 1 and y == 0]
     assert np.mean(pairs) > 0.9
 
 
+def plain_features(text, buckets):
+    odd, mix, full = int(subwords.ODD), int(subwords.MIX), (1 << 64) - 1
+    scatter = lambda h: ((((h ^ h >> 29) * mix) & full) >> 32) % buckets
+    out = []
+    for word in re.split(rb"[\x20\x09-\x0D]+", bytes(b + 32 if 65 <= b <= 90 else b for b in text)):
+        if not word:
+            continue
+        out.append(scatter(sum((b + 1) * pow(odd, i + 1, 1 << 64) for i, b in enumerate(word)) & full))
+        for n in subwords.GRAMS:
+            for at in range(len(word) - n + 1):
+                h = 0
+                for b in word[at : at + n]:
+                    h = (h * odd + b + 1) & full
+                out.append(scatter((h + n) & full))
+    return out
+
+
+def test_classifier_against_plain_loops(texts):
+    rows = [(t[:300].encode(), i % 2) for i, t in list(texts.items())[:24]] + [(b"", 1), (b" \n", 0)]
+    buckets, size, epochs, rate = 256, 4, 3, 0.5
+    model = subwords.train([t for t, _ in rows], [y for _, y in rows], buckets, size, epochs, rate, seed=5)
+    rng = np.random.default_rng(5)
+    vectors = (rng.uniform(-1, 1, (buckets, size)) / size).tolist()
+    n = [sum(y == c for _, y in rows) for c in (0, 1)]
+    out, bias = [[0.0] * size for _ in range(2)], [math.log((n[c] + 1) / (len(rows) + 2)) for c in (0, 1)]
+    bags = [plain_features(t, buckets) for t, _ in rows]
+    done = 0
+    for _ in range(epochs):
+        for i in rng.permutation(len(rows)):
+            now = rate * (1 - done / (epochs * len(rows)))
+            done += 1
+            bag, y = bags[i], rows[i][1]
+            if not bag:
+                continue
+            mean = [sum(vectors[f][k] for f in bag) / len(bag) for k in range(size)]
+            z = [sum(o * m for o, m in zip(out[c], mean)) + bias[c] for c in (0, 1)]
+            e = [math.exp(x - max(z)) for x in z]
+            p = [x / sum(e) - (c == y) for c, x in enumerate(e)]
+            step = [p[0] * out[0][k] + p[1] * out[1][k] for k in range(size)]
+            for c in (0, 1):
+                out[c] = [o - now * p[c] * m for o, m in zip(out[c], mean)]
+                bias[c] -= now * 0.1 * p[c]
+            for f in set(bag):
+                share = min(100 * bag.count(f) / len(bag), 1.0)
+                vectors[f] = [v - now * share * s for v, s in zip(vectors[f], step)]
+    weight = [sum((out[1][k] - out[0][k]) * v[k] for k in range(size)) for v in vectors]
+    assert np.allclose(model.weight, weight, atol=1e-10) and model.bias == pytest.approx(bias[1] - bias[0])
+    for text in (rows[0][0], b"unseen words", b""):
+        bag = plain_features(text, buckets)
+        z = model.bias + (sum(weight[f] for f in bag) / len(bag) if bag else 0)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(subwords, "train", lambda texts, labels, **how: seen.append(len(texts)))
+    docs = spark.createDataFrame([(1, f"copy {i % 7}") for i in range(500)] + [(2, "x")], "doc_id long, text string")
+    subwords.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, label int"), sample=50)
+    assert seen == [50]
+
+
 def test_features_split_words():
     b = 1 << 16
     assert set(subwords.features(b"Hello", b)) == set(subwords.features(b"hello", b))
@@ -320,10 +684,35 @@ def test_pipeline(spark, library):
     assert {r.doc_id for r in pieces} == set(own)
     for i in list(own)[:40]:
         assert ids_of(sorted((p for p in pieces if p.doc_id == i), key=lambda p: p.start)) == library(own[i]) + [1]
-    rows = [kept.withColumn("doc_id", F.col("doc_id") + 1000).limit(3), spark.createDataFrame([(None, None, None, None, None)], kept.schema)]
-    odd = kept.limit(3).union(rows[0]).union(rows[1])
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls, empty and long texts, repeated ids and texts, ties, clashing columns: what each stage keeps of them."""
+    import corpus_pipeline as pipe
+
+    words = lambda seed, n: " ".join(f"w{(seed * 7919 + k * k) % 99991}" for k in range(n))
+    line = "a line that many documents share and that is long enough to count"
+    secret = 'token = "%s"' % hashlib.sha1(b"s").hexdigest()
+    rows = [(3, words(1, 80)), (7, words(1, 80)), (7, words(2, 90)), (None, words(1, 80)), (None, f"{words(3, 80)} {secret}"), (8, None), (9, ""), (10, words(4, 120_000)), (11, " \n\t")]
+    rows += [(20 + i, f"{words(20 + i, 70)}\n{line}") for i in range(6)] + [(20, f"{words(20, 70)}\n{line}")]
+    docs = spark.createDataFrame([(i, t, "en" if i else None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("node", "t", "kept", "fp", "ids", "at", "known", "bucket", "comp", "n_words", "_w", "drop_hi"):
+        docs = docs.withColumn(c, F.lit(None).cast("string"))
+    stages = dict(pipe.STAGES)
+    run = lambda name: [(r.doc_id, r.text) for r in stages[name](spark, docs, SMALL).collect()]
+    ordered = lambda x: sorted(x, key=str)
+    # No labels of these documents: only the base rule rejects, which texts under 50 words fail.
+    assert ordered(run("quality_rules")) == ordered([r for r in rows if r[1] and len(r[1].split()) >= 50])
+    cut = [(i, (t or "").replace("\n" + line, "") if i not in (25, None) else t or "") for i, t in rows]
+    assert ordered(run("line_dedup")) == ordered(cut)
+    # 7's other text stays, and so do the rows without an id; texts without words are copies of each other.
+    gone = [(7, words(1, 80)), (9, ""), (11, " \n\t")]
+    assert ordered(run("simhash_near_dedup")) == ordered([r for r in rows if r not in gone])
+    assert ordered(run("secret_scan")) == ordered([(i, t.replace(hashlib.sha1(b"s").hexdigest(), "[SECRET]") if t else t) for i, t in rows])
+    packed = stages["packing"](spark, docs, SMALL).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id for r in packed} == {i for i, _ in rows} and {r.n for r in packed if r.doc_id in (8, 9)} == {1}
     for name, stage in pipe.STAGES:
-        assert stage(spark, odd, SMALL).count() >= 0 and stage(spark, odd.where("false"), SMALL).count() == 0
+        assert stage(spark, docs.where("false"), SMALL).count() == 0
 
 
 def test_pipeline_near_duplicates_by_jaccard(spark):
