@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.functions.scores import WHITE, WS
+
 
 def numbered(rows: DataFrame, keys: list[str], *order: Column, name: str = "n") -> DataFrame:
     """A running number from 1 inside each key; the order must be total."""
@@ -65,7 +67,8 @@ def sentences(segments: DataFrame, keys: list[str], text: str, start: str, end:
     A part under ``least`` characters joins the one before it, the first one the next. A segment's time is dealt by the
     parts' characters, to two places; ``estimated`` marks segments that were cut.
     """
-    pieces = F.filter(F.transform(F.split(F.trim(F.col(text)), r"(?<=[.!?])\s+"), F.trim), lambda p: p != "")
+    bare = lambda c: F.btrim(c, F.lit(WHITE))
+    pieces = F.filter(F.transform(F.split(bare(F.col(text)), rf"(?<=[.!?])[{WS}]+"), bare), lambda p: p != "")
     start_array = F.array().cast("array<string>")
 
     def join(a, p):
@@ -76,7 +79,7 @@ def sentences(segments: DataFrame, keys: list[str], text: str, start: str, end:
     d = segments.withColumn("_p", F.aggregate(pieces, start_array, join))
     first = (F.size("_p") > 1) & (F.length(F.get("_p", F.lit(0))) < least)
     d = d.withColumn("_p", F.when(first, F.concat(F.array(F.concat_ws(" ", F.get("_p", F.lit(0)), F.get("_p", F.lit(1)))), F.slice("_p", F.lit(3), F.size("_p")))).otherwise(F.col("_p")))
-    d = d.withColumn("_p", F.when(F.size("_p") < 2, F.array(F.trim(F.col(text)))).otherwise(F.col("_p")))
+    d = d.withColumn("_p", F.when(F.size("_p") < 2, F.array(bare(F.col(text)))).otherwise(F.col("_p")))
     total = F.aggregate("_p", F.lit(0), lambda a, p: a + F.length(p))
     d = d.withColumns({"_total": total, "estimated": F.size("_p") > 1}).select("*", F.posexplode("_p").alias("part", "_t"))
     w = Window.partitionBy(*keys).orderBy("part")

@@ -81,6 +81,18 @@ def _(t):
     return W.merge_gaps(d, "session", "kind", "at", "until", 3_600_000_000)
 
 
+@query(
+    "w15_sentence_parts",
+    """with p as (select meeting_id, segment_index, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as whole, list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') as parts from {segments} where text is not null),
+j as (select *, case when len(parts) > 1 then list_reduce(parts, lambda a, x: case when length(x) < 6 then a || ' ' || x else a || chr(2) || x end) end as joined from p),
+f as (select *, case when joined is null or not contains(joined, chr(2)) then [whole] when length(split_part(joined, chr(2), 1)) < 6 then string_split(split_part(joined, chr(2), 1) || ' ' || substring(joined, length(split_part(joined, chr(2), 1)) + 2), chr(2)) else string_split(joined, chr(2)) end as out from j)
+select meeting_id, segment_index, (unnest(range(len(o)))) as part, unnest(o) as text, len(o) > 1 as estimated from (select meeting_id, segment_index, case when len(out) < 2 then [whole] else out end as o from f)""",
+)
+def _(t):
+    d = _segments(t).where("text is not null")
+    return W.sentences(d, ["meeting_id", "segment_index"], "text", "start", "end").select("meeting_id", "segment_index", F.col("part").cast("long").alias("part"), "text", "estimated")
+
+
 @query("w15_sentences")
 def _(t):
     d = _segments(t).select("meeting_id", "segment_index", "text", (F.col("start") / 1000).alias("start"), (F.col("end") / 1000).alias("end"))
