@@ -237,10 +237,10 @@ def paired_bootstrap(rows: DataFrame, key: str, a: tuple[str, str], b: tuple[str
 
 
 def speaker_trials(rows: DataFrame, session: str, speaker: str, item: str, partners: int = 2) -> DataFrame:
-    """label, a, b: each item meets the ``partners`` next ones of its session in an order by hash; label 1 for one speaker."""
+    """label, a, b: each item meets the ``partners`` next ones of its session in the order of their MD5; label 1 for one speaker."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(session).orderBy(F.xxhash64(item), item)
+    w = Window.partitionBy(session).orderBy(F.md5(F.col(item).cast("string")), item)
     cols = [F.struct(F.lead(item, k).over(w).alias("b"), F.lead(speaker, k).over(w).alias("s")) for k in range(1, partners + 1)]
     d = rows.select(session, F.col(item).alias("a"), F.col(speaker).alias("_s"), F.array(*cols).alias("next"))
     d = d.select(session, "a", "_s", F.explode("next").alias("x"))

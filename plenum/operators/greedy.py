@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +38,66 @@ def junk_line(text: str) -> bool:
     )
 
 
+def letter_counts(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each line holds each of the characters that both sides have."""
+    shared = {c: k for k, c in enumerate(sorted(set("".join(a)) & set("".join(b))))}
+    out = np.zeros((len(a), len(shared)), np.int32), np.zeros((len(b), len(shared)), np.int32)
+    for table, lines in zip(out, (a, b)):
+        for row, line in zip(table, lines):
+            for c, n in Counter(line).items():
+                if c in shared:
+                    row[shared[c]] = n
+    return out
+
+
+def common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by the bits of an integer."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        hit = row & masks.get(c, 0)
+        row = (row + hit | row - hit) & full
+    return len(a) - row.bit_count()
+
+
+def most_similar(line: str, others: list[str], counts: np.ndarray, their: np.ndarray, free: dict[int, str]) -> tuple[float, int]:
+    """The highest ratio of matching blocks with a line of ``free``, and the first line that has it.
+
+    Matching blocks are no longer than the characters that both lines hold, nor than their longest common subsequence. Lines are
+    taken by the first bound, and compared in full only while their bounds reach the best ratio.
+    """
+    if not free:
+        return 0.0, -1
+    at = np.fromiter(free, np.int64, len(free))
+    size = np.array([len(line) + len(others[i]) for i in at])
+    with np.errstate(invalid="ignore"):
+        bound = np.where(size > 0, 2 * np.minimum(their[at], counts).sum(1) / size, 1.0)
+    best, place = -1.0, -1
+    for k in np.lexsort((at, -bound)):
+        if bound[k] < best:
+            break
+        i = int(at[k])
+        if size[k] and 2 * common(line, others[i]) / int(size[k]) < best:
+            continue
+        ratio = SequenceMatcher(None, line, others[i]).ratio()
+        if ratio > best or ratio == best and i < place:
+            best, place = ratio, i
+    return best, place
+
+
 def vote_lines(a: list[str], b: list[str]) -> list[tuple[str, str, float, str | None, str | None]]:
     """(verdict, chosen text, confidence, line of a, line of b): each line of ``a`` takes the most similar unused line of ``b``; what is left of ``b`` follows.
 
     Lines that agree give the longer one, partly alike ones the longer one without marks of ``b``, ``a`` if they are as long.
     """
     free, out = dict(enumerate(b)), []
-    for line in a:
-        scored = [(SequenceMatcher(None, line, other).ratio(), -i) for i, other in free.items()]
-        score, at = max(scored, default=(0.0, 0))
-        other = free.pop(-at) if scored and score >= PART else None
+    counts = letter_counts(a, b)
+    for k, line in enumerate(a):
+        score, at = most_similar(line, b, counts[0][k], counts[1], free)
+        other = free.pop(at) if score >= PART else None
         if other is None:
             out.append(("single", line, ALONE_CONFIDENCE, line, None))
         elif score >= SAME:
@@ -118,20 +170,39 @@ def echoed(text: str, context: str, least: int = 20, share: float = 0.5) -> bool
     return n >= least and n >= share * len(text)
 
 
+def run_errors(line: str, pieces: list[str]) -> list[int]:
+    """The edit distances of ``line`` to nothing, the first piece, the first two together, and so on: one column of the table goes on from piece to piece."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(line):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, last, cost = (1 << len(line)) - 1, len(line) - 1, len(line)
+    up, down, out = full, 0, [len(line)]
+    for piece in pieces:
+        for c in piece if line else "":
+            eq = masks.get(c, 0)
+            zero = (((eq & up) + up) ^ up) | eq | down
+            plus, minus = down | (full & ~(zero | up)), up & zero
+            cost += (plus >> last & 1) - (minus >> last & 1)
+            plus, minus = (plus << 1 | 1) & full, (minus << 1) & full
+            up, down = minus | (full & ~(zero | plus)), plus & zero
+        cost += 0 if line else len(piece)
+        out.append(cost)
+    return out
+
+
 def line_runs(lines: list[str], pieces: list[str], most: int = 4) -> list[tuple[int, int]]:
     """For each line the run [from, to) of pieces that it takes, up to ``most``, in order, with the least character errors over letters and digits.
 
     Pieces behind the cheapest end stay out: noise may follow the last line. Of equal ways the longer run of the later line counts.
     """
     plain = lambda t: re.sub(r"[^가-힣a-zA-Z0-9]", "", t)
-    n, best, ways = len(pieces), {0: 0}, []
+    bare, n, best, ways = list(map(plain, pieces)), len(pieces), {0: 0}, []
     for line in map(plain, lines):
+        # Of each start: the errors of the runs that begin there, one column of distances after the other.
         reached: dict[int, tuple[int, int]] = {}
-        for end in range(n + 1):
-            starts = [j for j in range(max(0, end - most), end + 1) if j in best]
-            found = [(best[j] + edit_distance(line, plain(" ".join(pieces[j:end]))), j) for j in starts]
-            if found:
-                reached[end] = min(found)
+        for start, cost in best.items():
+            for end, errors in enumerate(run_errors(line, bare[start : start + most]), start):
+                reached[end] = min(reached.get(end, (cost + errors, start)), (cost + errors, start))
         ways.append(reached)
         best = {end: cost for end, (cost, _) in reached.items()}
     at, out = min(best, key=lambda j: (best[j], j)), []

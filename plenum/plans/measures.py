@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plenum.functions import scores
-from plenum.operators import greedy, measures
+from plenum.operators import greedy, measures, multitalker
 
 from .registry import query
 
@@ -86,8 +86,8 @@ def _(t):
 
 
 def _readings(t):
-    """Two readings of each meeting: a turn's first 60 characters, and the same with other signs; every fifth line is missing in the second."""
-    d = _turns(t).select("meeting_id", F.col("segment_index").alias("pos"), F.coalesce(F.substring("text", 1, 60), F.lit("")).alias("text"))
+    """Two readings of each meeting: its turns, and the same with other signs; every fifth line is missing in the second."""
+    d = _turns(t).select("meeting_id", F.col("segment_index").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
     other = d.where("pos % 5 <> 4").withColumn("text", F.when(F.col("pos") % 2 == 0, F.translate("text", "e", "c")).otherwise(F.reverse("text")))
     return d.withColumn("side", F.lit(0)).unionByName(other.withColumn("side", F.lit(1)))
 
@@ -104,16 +104,60 @@ def _(t):
 
 @query("e8_script_alignment")
 def _(t):
-    lines = _turns(t).select("meeting_id", F.col("segment_index").alias("pos"), F.substring("text", 1, 40).alias("text"))
-    heard = lines.select("meeting_id", F.explode(F.array(F.struct((F.col("pos") * 2).alias("pos"), F.substring("text", 1, 20).alias("text")), F.struct((F.col("pos") * 2 + 1).alias("pos"), F.translate(F.substring("text", 21, 20), "aeo", "oae").alias("text")))).alias("x"))
+    lines = _turns(t).select("meeting_id", F.col("segment_index").alias("pos"), "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    heard = lines.withColumn("h", half).select(
+        "meeting_id",
+        F.explode(F.array(F.struct((F.col("pos") * 2).alias("pos"), F.expr("substring(text, 1, h)").alias("text")), F.struct((F.col("pos") * 2 + 1).alias("pos"), F.translate(F.expr("substring(text, h + 1)"), "aeo", "oae").alias("text")))).alias("x"),
+    )
     return greedy.script_alignment(lines, heard.select("meeting_id", "x.*"), "meeting_id")
 
 
-@query("t15_echo", "select meeting_id, segment_index, length(text) >= 20 as echo from {segments} where text is not null")
+SPOKEN = "select conv_id as meeting_id, role as speaker, turn as pos, regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g') as text from conversations"
+HEARD = "select meeting_id, case when (pos * 3 + meeting_id) % 7 = 0 then 'guest' else upper(speaker) end as speaker, pos, replace(replace(text, ' the ', ' a '), 'ing', 'in') as text from spoken where pos % 11 <> 10"
+
+
+def _spoken(t):
+    d = _turns(t).select("meeting_id", "speaker", F.col("segment_index").alias("pos"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]", "").alias("text"))
+    other = F.when((F.col("pos") * 3 + F.col("meeting_id")) % 7 == 0, "guest").otherwise(F.upper("speaker"))
+    heard = d.where("pos % 11 <> 10").select("meeting_id", other.alias("speaker"), "pos", F.expr("replace(replace(text, ' the ', ' a '), 'ing', 'in')").alias("text"))
+    return d, heard
+
+
+@query("e10_speaker_words")
+def _(t):
+    return multitalker.speaker_errors(*_spoken(t), "meeting_id")
+
+
+@query(
+    "e10_speaker_chars",
+    f"""with spoken as ({SPOKEN}), heard as ({HEARD}),
+r as (select meeting_id, speaker, string_agg(regexp_replace(lower(text), '[^a-z0-9_]', '', 'g'), '' order by pos) as x from spoken group by all),
+h as (select meeting_id, speaker, string_agg(regexp_replace(lower(text), '[^a-z0-9_]', '', 'g'), '' order by pos) as x from heard group by all),
+rn as (select *, row_number() over (partition by meeting_id order by speaker) as i from r where x <> ''), hn as (select *, row_number() over (partition by meeting_id order by speaker) as i from h where x <> ''),
+m as (select meeting_id from rn union select meeting_id from hn), n as (select * from range(1, 5) t(i)),
+cost as (select m.meeting_id, a.i as i, b.i as j, levenshtein(coalesce(rn.x, ''), coalesce(hn.x, '')) as c from m cross join n a cross join n b
+ left join rn on rn.meeting_id = m.meeting_id and rn.i = a.i left join hn on hn.meeting_id = m.meeting_id and hn.i = b.i),
+ways as (select a.i as p1, b.i as p2, c.i as p3, d.i as p4 from n a, n b, n c, n d where len(list_distinct([a.i, b.i, c.i, d.i])) = 4),
+least_of as (select c1.meeting_id, min(c1.c + c2.c + c3.c + c4.c) as cp_errors from ways join cost c1 on c1.i = 1 and c1.j = p1 join cost c2 on c2.meeting_id = c1.meeting_id and c2.i = 2 and c2.j = p2
+ join cost c3 on c3.meeting_id = c1.meeting_id and c3.i = 3 and c3.j = p3 join cost c4 on c4.meeting_id = c1.meeting_id and c4.i = 4 and c4.j = p4 group by 1)
+select l.meeting_id, coalesce((select sum(length(x)) from rn where rn.meeting_id = l.meeting_id), 0)::bigint as units, cp_errors from least_of l""",
+)
+def _(t):
+    return multitalker.speaker_errors(*_spoken(t), "meeting_id", chars=True).select("meeting_id", "units", "cp_errors")
+
+
+@query(
+    "t15_echo",
+    """with p as (select meeting_id, segment_index, text, length(text) as n, case segment_index % 4 when 0 then length(text) // 3 when 1 then length(text) // 2 when 2 then least(length(text), 19) else (length(text) * 3) // 4 end as k from {segments} where text is not null)
+select meeting_id, segment_index, k >= 20 and 2 * k >= n as echo from p""",
+)
 def _(t):
-    d = _turns(t).where("text is not null")
-    # A context that holds the whole text is echoed by it, whatever stands around.
-    return d.select("meeting_id", "segment_index", greedy.echo(F.col("text"), F.concat(F.lit("before "), "text", F.lit(" after"))).alias("echo"))
+    k = F.expr("case segment_index % 4 when 0 then length(text) div 3 when 1 then length(text) div 2 when 2 then least(length(text), 19) else length(text) * 3 div 4 end")
+    d = _turns(t).where("text is not null").withColumn("k", k.cast("int"))
+    # The context has the text's last k characters, and around them signs that no text has.
+    shared = F.concat(F.lit("\u2603\u2603"), F.expr("right(text, k)"), F.lit("\u2603\u2603"))
+    return d.select("meeting_id", "segment_index", greedy.echo(F.col("text"), shared).alias("echo"))
 
 
 @query("io7_page_tables", "select file_id, '| ' || filename || ' | x |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || size || ' |  |' as markdown from {files} where file_id % 3 > 0 and size * 10 >= 100 and size * 9 <= 450")

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from plenum.functions import scalars
 from plenum.operators import search as S
 from plenum.operators import updates as U
+from plenum.operators.lexical import LexicalIndex
 from plenum.operators.relational import first_per
+from plenum.shared import kept
 
 from .registry import query
 
@@ -33,6 +35,16 @@ def _vectors(t):
     return t("chunks").join(t("vectors").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v")), "chunk_id").select(F.col("chunk_id").alias("id"), F.col("collection").alias("lang"), "v")
 
 
+def _index(t):
+    """The keyword index of the documents; built by the first query that needs it, then read by the others as long as the table's files stay the same."""
+    docs = t("chunks").select(F.col("chunk_id").alias("id"), F.col("collection").alias("scope"), "text")
+    return LexicalIndex(t.spark, kept("keyword-index", docs, lambda path: LexicalIndex(t.spark, path).insert(docs)))
+
+
+def _texts(t):
+    return t("questions").select(F.col("question_id").alias("query_id"), "text")
+
+
 @query(
     "search_hybrid",
     f"""with {PAIRS}, {BM25}, near as (select * from (select *, row_number() over (partition by query_id, lang order by dense desc, id) as r from pairs) where r <= 5),
@@ -43,10 +55,8 @@ select query_id, lang, row_number() over (partition by query_id, lang order by s
 )
 def _(t):
     # A document without a vector can't be a candidate, but its words count.
-    q = _queries(t)
-    d = t("chunks").select(F.col("chunk_id").alias("id"), F.col("collection").alias("lang"), "text")
-    near = S.nearest(q.select("query_id", "q"), _vectors(t), 5, "lang")
-    return S.fused(near, S.bm25(t("questions").select(F.col("question_id").alias("query_id"), "text"), d, "lang"), "lang", 5)
+    near = S.nearest(_queries(t).select("query_id", "q"), _vectors(t), 5, "lang")
+    return S.fused(near, _index(t).scores(_texts(t)).withColumnRenamed("scope", "lang"), "lang", 5)
 
 
 @query("s1_dense_top", f"with {PAIRS} select query_id, id, round(dense, 9) as dense, rank::int as rank from (select *, row_number() over (partition by query_id order by dense desc, id) as rank from pairs) where rank <= 10")
@@ -57,10 +67,7 @@ def _(t):
 
 @query("s2_bm25", f"with {BM25} select query_id, lang, id, round(keyword, 9) as keyword from (select *, row_number() over (partition by query_id, lang order by round(keyword, 9) desc, id) as r from bm) where r <= 10")
 def _(t):
-    q = t("questions").select(F.col("question_id").alias("query_id"), "text")
-    d = t("chunks").select(F.col("chunk_id").alias("id"), F.col("collection").alias("lang"), "text")
-    words = S.bm25(q, d, "lang").withColumn("keyword", F.round("keyword", 9))
-    return S.top(words, ["query_id", "lang"], "keyword", "id", 10).select("query_id", "lang", "id", "keyword")
+    return _index(t).top(_texts(t), 10, digits=9).select("query_id", F.col("scope").alias("lang"), "id", "keyword")
 
 
 @query("s3_normalised", f"with {BM25} select query_id, lang, count(*) as n, round(sum(keyword / most), 6) as total from (select *, max(keyword) over (partition by query_id, lang) as most from bm) group by all")

@@ -358,7 +358,15 @@ def _(t):
     return t("chunks").where(scores.ocr_quality(F.col("text")) >= 0.35).select("chunk_id")
 
 
-@query("q3_text_quality")
+@query(
+    "q3_text_quality",
+    f"""with {PIECES.replace("trim(line, ' ')", 'line')}, s as (select key, style, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from pieces),
+m as (select key, style, s, case when s = '' then 0 else (length(s) - length(regexp_replace(s, '[가-힣ᄀ-ᇿ]', '', 'g'))) / length(s)::double * 0.15 + least(length(s) / 50.0::double, 1) * 0.25
+ + (1 - (length(s) - length(regexp_replace(s, '[□▯�\\x00]', '', 'g'))) / length(s)::double) * 0.30
+ + (1 - least((length(s) - length(regexp_replace(s, '[^\\p{{L}}\\p{{N}}\\s\\p{{P}}.,!?:;()\\[\\]{{}}%+\\-=@#/\\\\"''…—·]', '', 'g'))) / length(s)::double * 5, 1)) * 0.15
+ + (1 - least((length(s) - length(regexp_replace(s, '\\s', '', 'g'))) / length(s)::double * 2, 1)) * 0.10 end as q from s)
+select key, round(least(avg(q) * 0.95 + case when bool_or(style in ('title', 'heading')) then 1.0 else 0.5 end * 0.05::double, 1), 3) as score from m group by key""",
+)
 def _(t):
     p = _pieces(t)
     g = p.groupBy("key").agg(F.avg(scores.block_quality(F.col("text"))).alias("mean"), F.bool_or(F.col("style").isin("title", "heading")).alias("titled"))
@@ -509,6 +517,10 @@ def _(t):
     return E.unseen(t("chunks"), t("marks"), "chunk_id", 100).select("chunk_id")
 
 
-@query("e11_trials")
+@query(
+    "e11_trials",
+    """with w as (select session_id, event_id, kind, row_number() over (partition by session_id order by md5(event_id::varchar), event_id) as n from {activity})
+select a.session_id, a.event_id as a, b.event_id as b, (a.kind = b.kind)::int as label from w a join w b on a.session_id = b.session_id and b.n in (a.n + 1, a.n + 2)""",
+)
 def _(t):
     return E.speaker_trials(t("activity"), "session_id", "kind", "event_id")

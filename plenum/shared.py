@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_kept: dict[tuple, str] = {}
 
 
 @lru_cache(maxsize=1)
@@ -61,3 +62,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def kept(name: str, source: DataFrame, build: Callable[[str], None]) -> str:
+    """The path of what ``build`` has put there from ``source``; built anew when a file of ``source`` has changed or the path has gone."""
+    spark = source.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    exists = lambda p: path_of(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(path_of(p))
+
+    def state(file: str) -> tuple[str, int, int]:
+        s = path_of(file).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path_of(file))
+        return file, s.getLen(), s.getModificationTime()
+
+    key = (name, spark.sparkContext.applicationId, *sorted(map(state, source.inputFiles())))
+    if key not in _kept or not exists(_kept[key]):
+        path = shared_folder(spark, name)
+        build(path)
+        _kept[key] = path
+    return _kept[key]
