@@ -54,25 +54,42 @@ def closed_set(rows: DataFrame, profiles: DataFrame, key: str, least: float = 0.
 class OpenSet:
     """Moving profiles of one session: a voice joins the nearest profile at ``least`` or more, which then moves towards it; else it opens a new one.
 
-    With ``cap`` profiles no more are opened: the voice gets the nearest one's name, which doesn't move.
+    Profiles are the rows of a matrix, so a voice meets all of them in one product. With ``cap`` profiles no more are opened: the voice gets the nearest one's name, which doesn't
+    move; or, if ``forget``, the profile that was heard least recently goes, and its number isn't given again.
     """
 
-    def __init__(self, profiles: list[np.ndarray] | None = None, least: float = 0.5, keep: float = 0.9, cap: int | None = 8, prefix: str = "S"):
-        self.profiles, self.least, self.keep, self.cap, self.prefix = profiles or [], least, keep, cap, prefix
+    def __init__(self, profiles: list[np.ndarray] | None = None, least: float = 0.5, keep: float = 0.9, cap: int | None = 8, prefix: str = "S", forget: bool = False):
+        self.least, self.keep, self.cap, self.prefix, self.forget = least, keep, cap, prefix, forget
+        self.matrix = np.array(profiles, float) if profiles else np.zeros((0, 0))
+        self.numbers, self.heard = list(range(1, len(self.matrix) + 1)), list(range(len(self.matrix)))
+        self.next, self.time = len(self.matrix) + 1, len(self.matrix)
+
+    @property
+    def profiles(self) -> list[np.ndarray]:
+        return list(self.matrix)
 
     def name(self, v: np.ndarray) -> str | None:
         v = np.asarray(v, float)
         norm = np.linalg.norm(v)
         if not norm:
             return None
-        scores = [float(p @ v / (np.linalg.norm(p) * norm)) for p in self.profiles]
-        best = int(np.argmax(scores)) if scores else -1
-        if best >= 0 and scores[best] >= self.least:
-            self.profiles[best] = self.keep * self.profiles[best] + (1 - self.keep) * v
-        elif self.cap is None or len(self.profiles) < self.cap:
-            self.profiles.append(v)
-            best = len(self.profiles) - 1
-        return f"{self.prefix}{best + 1}"
+        n = len(self.matrix)
+        scores = self.matrix @ v / (np.linalg.norm(self.matrix, axis=1) * norm) if n else np.zeros(0)
+        best = int(scores.argmax()) if n else -1
+        self.time += 1
+        if n and scores[best] >= self.least:
+            self.matrix[best] = self.keep * self.matrix[best] + (1 - self.keep) * v
+        elif self.cap is None or n < self.cap:
+            self.matrix = np.vstack([self.matrix, v]) if n else v[None, :].copy()
+            best = n
+            self.numbers.append(self.next)
+            self.heard.append(0)
+            self.next += 1
+        elif self.forget:
+            best = int(np.argmin(self.heard))
+            self.matrix[best], self.numbers[best], self.next = v, self.next, self.next + 1
+        self.heard[best] = self.time
+        return f"{self.prefix}{self.numbers[best]}"
 
 
 def open_set(rows: DataFrame, session: str, order: str, **how) -> DataFrame:
@@ -87,9 +104,16 @@ def open_set(rows: DataFrame, session: str, order: str, **how) -> DataFrame:
     return rows.select(session, order, "v").groupBy(session).applyInPandas(run, f"{session} {kind[session]}, {order} {kind[order]}, name string")
 
 
-def unassigned(rows: DataFrame, session: str, order: str, least: float = 0.75) -> DataFrame:
-    """Names for the voices that no profile matched: a pool of its own, with a higher bar and no cap, as one person under two names does less harm than two under one."""
-    return open_set(rows, session, order, least=least, cap=None, prefix="SPEAKER_미상")
+#: What names a voice that no profile matched.
+UNASSIGNED = {"least": 0.75, "prefix": "SPEAKER_미상", "forget": True}
+
+
+def unassigned(rows: DataFrame, session: str, order: str, cap: int | None = None) -> DataFrame:
+    """Names for the voices that no profile matched: a pool of its own, with a higher bar, as one person under two names does less harm than two under one.
+
+    ``cap``: profiles that are held at a time; beyond it the one heard least recently is forgotten. Without it all are kept.
+    """
+    return open_set(rows, session, order, cap=cap, **UNASSIGNED)
 
 
 def agglomerate(rows: DataFrame, group: str, item: str, floor: float = 0.55, most: int = 8) -> DataFrame:

@@ -11,21 +11,21 @@ from plenum.streaming import rules
 from .registry import Tables, query
 
 
-def _run(t: Tables, entity: str, make) -> DataFrame:
-    """The rows of ``make`` over a stream of an entity."""
-    spark = t.spark
+def _source(t: Tables, entity: str, live: bool = False) -> DataFrame:
+    """A stream of an entity, in a session of its own, whose settings touch no other query."""
+    spark = t.spark.newSession()
+    # A rule with a time to live would ask for batches for ever; a window is closed by one.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(live).lower())
     table, columns = t.columns(entity)
-    source = spark.readStream.schema(t.raw(table).schema).parquet(f"{t.sf_dir}/{table}.parquet*").selectExpr(*columns)
-    out, state = shared_folder(spark, "live"), shared_folder(spark, "live-state")
-    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
-    # A rule with a time to live would ask for batches for ever.
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    try:
-        rows = make(source)
-        rules.append(rows, out, state).awaitTermination()
-    finally:
-        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", before)
-    return spark.read.schema(rows.schema).parquet(out)
+    return spark.readStream.schema(t.raw(table).schema).parquet(f"{t.sf_dir}/{table}.parquet*").selectExpr(*columns)
+
+
+def _run(t: Tables, entity: str, make, live: bool = False) -> DataFrame:
+    """The rows of ``make`` over a stream of an entity."""
+    out, state = shared_folder(t.spark, "live"), shared_folder(t.spark, "live-state")
+    rows = make(_source(t, entity, live))
+    rules.append(rows, out, state).awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(out)
 
 
 def _frames(s: DataFrame) -> DataFrame:
@@ -83,3 +83,62 @@ select meeting_id, segment_index, array_to_string(w[1:k], ' ') as agreed from n"
 )
 def _(t):
     return _run(t, "segments", lambda s: rules.agreed_words(_drafts(s), "meeting_id", "segment_index", "text")).select("meeting_id", "segment_index", "agreed")
+
+
+MOVES = {"signup": ("scheduled", "recording"), "view": ("recording", "processing"), "click": ("processing", "completed"), "error": ("processing", "recording"), "purchase": ("completed", "scheduled")}
+
+
+@query(
+    "d12_live_transitions",
+    f"""with recursive r as (select session_id, event_id, case kind {' '.join(f"when '{k}' then '{a}'" for k, (a, _) in MOVES.items())} end as expected, case kind {' '.join(f"when '{k}' then '{b}'" for k, (_, b) in MOVES.items())} end as target,
+ row_number() over (partition by session_id order by event_id) as i from {{activity}}),
+f as (select session_id, 0::bigint as i, null::bigint as event_id, 'scheduled' as status, 0::bigint as version, false as ok from (select distinct session_id from r)
+ union all select r.session_id, r.i, r.event_id, case when r.expected = f.status then r.target else f.status end, f.version + (r.expected = f.status)::int, r.expected = f.status from f join r on r.session_id = f.session_id and r.i = f.i + 1)
+select session_id, event_id, case when ok then 'ok' else 'conflict' end as verdict, status, version from f where i > 0""",
+)
+def _(t):
+    def pick(k: int):
+        out = F.when(F.lit(False), "")
+        for kind, move in MOVES.items():
+            out = out.when(F.col("kind") == kind, move[k])
+        return out
+
+    return _run(t, "activity", lambda s: rules.transitions(s.withColumns({"was": pick(0), "new": pick(1)}), "session_id", "event_id", "was", "new", "scheduled"))
+
+
+@query(
+    "x7_finished",
+    """with e as (select session_id, ts, ts - lag(ts) over (partition by session_id order by ts) > interval 6 hour as far from {activity}),
+g as (select session_id, ts, sum((coalesce(far, true))::int) over (partition by session_id order by ts rows unbounded preceding) as island from e),
+s as (select session_id, min(ts) as first, max(ts) + interval 6 hour as done, count(*) as n from g group by session_id, island)
+select session_id, epoch_us(first) as start_us, epoch_us(done) as end_us, n from s where done <= (select max(ts) from {activity}) - interval 1 minute""",
+)
+def _(t):
+    out = _run(t, "activity", lambda s: rules.sessions(s.withColumn("ts", F.col("ts").cast("timestamp")), "session_id", "ts", "6 hours"), live=True)
+    return out.select("session_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("p3_unassigned_live")
+def _(t):
+    return _run(t, "vectors", lambda s: rules.unassigned(s.select(F.col("label").alias("session"), F.col("vec_id").alias("seq"), F.col("embedding").alias("v")), "session", "seq"))
+
+
+@query(
+    "x8_reminders",
+    """with ticks as (select distinct date_trunc('year', scheduled_at) as now from {meetings}),
+due as (select meeting_id from {meetings} where exists (select 1 from ticks where scheduled_at > now and scheduled_at <= now + interval 400 day))
+select distinct a.meeting_id, a.user_id from {attendees} a join due using (meeting_id)""",
+)
+def _(t):
+    # A poll at each year's beginning, with windows that overlap.
+    meetings, attendees = t("meetings").select("meeting_id", F.col("scheduled_at").cast("timestamp").alias("scheduled_at")), t("attendees").select("meeting_id", "user_id")
+    ticks, sent = shared_folder(t.spark, "ticks"), shared_folder(t.spark, "sent")
+    years = meetings.select(F.date_trunc("year", "scheduled_at").alias("now")).distinct()
+    years.write.option("maxRecordsPerFile", 1).parquet(ticks)
+    clock = t.spark.newSession().readStream.schema(years.schema).option("maxFilesPerTrigger", 1).parquet(ticks)
+
+    def due(now):
+        return meetings.where((F.col("scheduled_at") > F.lit(now)) & (F.col("scheduled_at") <= F.lit(now) + F.expr("interval 400 days"))).join(attendees, "meeting_id").select("meeting_id", "user_id")
+
+    rules.reminders(clock, "now", due, sent, ["meeting_id", "user_id"], shared_folder(t.spark, "poll-state")).awaitTermination()
+    return t.spark.read.schema("meeting_id long, user_id long").parquet(sent).select("meeting_id", "user_id")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from plenum.operators.speakers import OpenSet
+from plenum.operators.speakers import UNASSIGNED, OpenSet
 
 
 def once(events: DataFrame, keys: list[str], at: str, wait: str = "1 hour") -> DataFrame:
@@ -155,6 +155,46 @@ def open_set(voices: DataFrame, key: str, seq: str, cap: int = 8) -> DataFrame:
     return by_key(voices.select(key, seq, "v"), [key], [seq], ([], 0), step, "profiles array<double>, n int", f"{key} {kind[key]}, {seq} {kind[seq]}, name string")
 
 
+def unassigned(voices: DataFrame, key: str, seq: str, cap: int = 256) -> DataFrame:
+    """key, seq, name: the pool of voices without a profile, up to ``cap`` of them a session; the batch twin is ``operators.speakers.unassigned``."""
+    import numpy as np
+
+    kind = dict(voices.dtypes)
+
+    def step(state, row):
+        flat, numbers, heard, after, time = state
+        s = OpenSet(cap=cap, **UNASSIGNED)
+        if len(numbers):
+            s.matrix = np.array(flat, float).reshape(len(numbers), -1)
+        s.numbers, s.heard, s.next, s.time = list(numbers), list(heard), after, time
+        name = s.name(row.v)
+        return (s.matrix.ravel().tolist(), s.numbers, s.heard, s.next, s.time), (getattr(row, seq), name)
+
+    state = "profiles array<double>, numbers array<long>, heard array<long>, next long, time long"
+    return by_key(voices.select(key, seq, "v"), [key], [seq], ([], [], [], 1, 0), step, state, f"{key} {kind[key]}, {seq} {kind[seq]}, name string")
+
+
+def transitions(requests: DataFrame, key: str, seq: str, expected: str, to: str, start: str, allowed: dict[str, set[str]] | None = None) -> DataFrame:
+    """key, seq, verdict, status, version: a request moves its key from the ``expected`` status to another, if the key is there.
+
+    ``verdict``: ok, conflict (another status, or a move that ``allowed`` doesn't hold), late (a request with this or a later ``seq`` has been
+    answered before, so one that is sent twice moves nothing). ``status`` and ``version`` are those after the request. A key begins at ``start``, version 0.
+    """
+    kind = dict(requests.dtypes)
+
+    def step(state, row):
+        status, version, last = state
+        at, was, new = int(getattr(row, seq)), getattr(row, expected), getattr(row, to)
+        if last is not None and at <= last:
+            return state, (at, "late", status, version)
+        ok = was == status and new is not None and (allowed is None or new in allowed.get(status, ()))
+        status, version = (new, version + 1) if ok else (status, version)
+        return (status, version, at), (at, "ok" if ok else "conflict", status, version)
+
+    d = requests.select(key, F.col(seq).cast("long").alias(seq), expected, to)
+    return by_key(d, [key], [seq], (start, 0, None), step, "status string, version long, last long", f"{key} {kind[key]}, {seq} long, verdict string, status string, version long")
+
+
 def sessions(events: DataFrame, key: str, at: str, grace: str = "25 seconds", late: str = "1 minute") -> DataFrame:
     """key, start, end, n: a session ends when nothing came for ``grace``."""
     d = events.withWatermark(at, late).groupBy(F.session_window(at, grace).alias("w"), key).agg(F.count("*").alias("n"))
@@ -184,3 +224,28 @@ def append(rows: DataFrame, path: str, checkpoint: str, partition: list[str] | N
 def every(rows: DataFrame, seconds: int, handle, checkpoint: str):
     """Calls ``handle(batch, number)`` every ``seconds``; a batch may come again after a failure, with its number. Returns the running query."""
     return rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
+
+
+def reminders(clock: DataFrame, at: str, due, sent: str, keys: list[str], checkpoint: str, seconds: int | None = None):
+    """Polls with every batch of ``clock`` and writes what is due and hasn't been sent to ``sent``, a folder for each batch. Returns the running query.
+
+    ``due(now)`` gives the rows that are due at the latest ``at`` of the batch. What other batches have sent is left out, and a batch's own
+    folder is replaced, so one that comes again after a failure sends what it sent before, and nothing twice. With ``seconds`` there is a poll so often, else one for each batch there is, and then an end.
+    """
+
+    def poll(batch: DataFrame, number: int) -> None:
+        now = batch.agg(F.max(at)).first()[0]
+        if now is None:
+            return
+        spark = batch.sparkSession
+        rows = due(now).dropDuplicates(keys)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(sent)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        before = [s.getPath().toString() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        others = [p for p in before if not p.endswith(f"/batch={number}")]
+        if others:
+            rows = rows.join(spark.read.schema(rows.schema).parquet(*others).select(*keys), keys, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{sent}/batch={number}")
+
+    w = clock.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint)
+    return (w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)).start()

@@ -119,3 +119,97 @@ def test_sinks(spark, tmp_path):
 def test_words(stream):
     rows = [(1, 0, "we will meet"), (1, 1, "we will meat today"), (1, 2, "we will meat today at noon")]
     assert stream(rows, "k int, seq int, t string", lambda d: rules.agreed_words(d, "k", "seq", "t")) == [(1, 0, ""), (1, 1, "we will"), (1, 2, "we will meat today")]
+
+
+def test_transitions(stream):
+    moves = [("new", "open"), ("open", "done"), ("new", "open"), ("done", "new"), ("open", "gone"), ("open", None)]
+    rows = [(k, i, *moves[(i * 7 + k) % len(moves)]) for i in range(1, 16) for k in (1, 2)]
+    # What comes again, or later than what has been answered, moves nothing.
+    rows += [(1, 15, "open", "done"), (1, 3, "new", "open"), (2, 16, "new", "open")]
+    allowed = {"new": {"open"}, "open": {"done"}, "done": {"new"}}
+
+    def loop(part):
+        state = {}
+        for batch in part:
+            for key, seq, was, to in sorted(batch, key=lambda r: (r[0], r[1])):
+                status, version, last = state.get(key, ("new", 0, -1))
+                if seq <= last:
+                    yield key, seq, "late", status, version
+                    continue
+                ok = was == status and to in allowed.get(status, ())
+                status, version = (to, version + 1) if ok else (status, version)
+                state[key] = (status, version, seq)
+                yield key, seq, "ok" if ok else "conflict", status, version
+
+    half = len(rows) // 2
+    want = sorted(loop([rows[:half], rows[half:]]))
+    got = stream(rows, "k int, seq int, was string, new string", lambda s: rules.transitions(s, "k", "seq", "was", "new", "new", allowed))
+    assert got == want and {"ok", "conflict", "late"} == {r[2] for r in got}
+
+
+def test_finish_grace_and_late_rows(spark, stream):
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    # The third batch holds a row that is later than the watermark, which the second has moved, and one that closes all before it.
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:20"), (2, "2024-01-01 00:10:00"), (2, "2024-01-01 00:10:20"), (1, "2024-01-01 00:00:50"), (3, "2024-01-01 01:00:00")]
+    got = stream(rows, "k int, ts string", lambda s: rules.sessions(timed(s), "k", "ts", "25 seconds", "1 minute"), parts=3)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    assert [(k, n, (e - s).total_seconds()) for k, s, e, n in got] == [(1, 2, 45), (2, 2, 45)]
+
+
+def test_unassigned_pool(spark, stream):
+    import random
+
+    from plenum.operators.speakers import unassigned
+
+    rng = random.Random(1)
+    rows = [(k, i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(60) for k in (1, 2)] + [(1, 60, [0.0, 0.0, 0.0])]
+    schema = "k int, seq int, v array<double>"
+    for cap in (4, 256):
+        # The plain rule: a list of profiles, and the one that was heard least recently goes.
+        want = []
+        for key in (1, 2):
+            held, number = [], 0
+            for k, seq, v in rows:
+                if k != key:
+                    continue
+                norm = sum(x * x for x in v) ** 0.5
+                if not norm:
+                    want.append((k, seq, None))
+                    continue
+                cos = [sum(a * b for a, b in zip(p["v"], v)) / (sum(a * a for a in p["v"]) ** 0.5 * norm) for p in held]
+                best = max(range(len(held)), key=lambda i: cos[i]) if held else -1
+                if held and cos[best] >= 0.75:
+                    p = held[best]
+                    p["v"] = [0.9 * a + 0.1 * b for a, b in zip(p["v"], v)]
+                else:
+                    number += 1
+                    if len(held) == cap:
+                        held.remove(min(held, key=lambda p: p["at"]))
+                    p = {"v": v, "n": number}
+                    held.append(p)
+                p["at"] = seq
+                want.append((k, seq, f"SPEAKER_미상{p['n']}"))
+        batch = unassigned(spark.createDataFrame(rows, schema), "k", "seq", cap=cap)
+        assert sorted(map(tuple, batch.collect())) == sorted(want)
+    got = stream(rows, schema, lambda s: rules.unassigned(s, "k", "seq"))
+    assert got == sorted(want)
+
+
+def test_reminders_are_sent_once(spark, tmp_path):
+    meetings = spark.createDataFrame([(i, f"2024-01-01 00:{i:02d}:00") for i in range(50)], "m int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for k, minute in enumerate((0, 10, 20)):
+        one = spark.createDataFrame([(f"2024-01-01 00:{minute:02d}:00",)], "ts string").select(F.col("ts").cast("timestamp").alias("now"))
+        one.coalesce(1).write.mode("append").parquet(str(tmp_path / "clock"))
+    sent = f"file://{tmp_path}/sent"
+
+    def due(now):
+        return meetings.where((F.col("ts") > F.lit(now)) & (F.col("ts") <= F.lit(now) + F.expr("interval 15 minutes"))).select("m")
+
+    def poll(state):
+        clock = spark.readStream.schema("now timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "clock"))
+        rules.reminders(clock, "now", due, sent, ["m"], str(tmp_path / state)).awaitTermination()
+        return sorted(r.m for r in spark.read.parquet(sent).collect())
+
+    assert poll("state") == list(range(1, 36))
+    # A new query with no memory of its batches polls all again: each batch replaces its own folder.
+    assert poll("other-state") == list(range(1, 36))
