@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import shared_folder, table, written
 
 #: Postings and documents of a shard; postings of a term in the tiers before the last; tokens that are counted at once; bytes of a slice of a text.
-POSTINGS, DOCS, TIERS, TOKENS, SLICE = 4_000_000, 1 << 16, (64, 1024), 1 << 20, 4 << 20
+POSTINGS, DOCS, TIERS, TOKENS, SLICE = 1_200_000, 1 << 16, (64, 512), 1 << 19, 4 << 20
 #: Terms of items that are searched at once.
 BLOCK_TERMS = 500_000
 _TO = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
