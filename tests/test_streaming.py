@@ -149,11 +149,11 @@ def test_transitions(stream):
 
 def test_finish_grace_and_late_rows(spark, stream):
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
-    # The third batch holds a row that is later than the watermark, which the second has moved, and one that closes all before it.
-    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:20"), (2, "2024-01-01 00:10:00"), (2, "2024-01-01 00:10:20"), (1, "2024-01-01 00:00:50"), (3, "2024-01-01 01:00:00")]
-    got = stream(rows, "k int, ts string", lambda s: rules.sessions(timed(s), "k", "ts", "25 seconds", "1 minute"), parts=3)
+    # The last batch holds a row that is later than the watermark, which holds from the batch after the next on, and one that closes all before it.
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:20"), (2, "2024-01-01 00:10:00"), (2, "2024-01-01 00:10:20"), (4, "2024-01-01 00:10:30"), (4, "2024-01-01 00:10:30"), (1, "2024-01-01 00:00:50"), (3, "2024-01-01 01:00:00")]
+    got = stream(rows, "k int, ts string", lambda s: rules.sessions(timed(s), "k", "ts", "25 seconds", "1 minute"), parts=4)
     spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
-    assert [(k, n, (e - s).total_seconds()) for k, s, e, n in got] == [(1, 2, 45), (2, 2, 45)]
+    assert [(k, n, (e - s).total_seconds()) for k, s, e, n in got] == [(1, 2, 45), (2, 2, 45), (4, 2, 25)]
 
 
 def test_unassigned_pool(spark, stream):
