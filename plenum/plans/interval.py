@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plenum.operators import intervals as I
+from plenum.operators import scans
 from plenum.operators import windows as W
 
 from .registry import query
@@ -81,6 +82,47 @@ def _(t):
     return W.merge_gaps(d, "session", "kind", "at", "until", 3_600_000_000)
 
 
+#: All events as one session, which is scanned in parts.
+ONE = EVENTS.replace("select ", "select 0 as all_of, ", 1)
+
+
+def _one(t):
+    return _events(t).withColumn("all_of", F.lit(0))
+
+
+@query(
+    "w7_majority_dealt",
+    f"""select event_id, case when prev = next then prev else kind end as kind from (select *, lag(kind) over w as prev, lead(kind) over w as next from {ONE} window w as (order by at, event_id))""",
+)
+def _(t):
+    return scans.smoothed(_one(t), "all_of", "kind", ["at", "event_id"], most=500).select("event_id", "kind")
+
+
+@query(
+    "w8_gap_merge_dealt",
+    f"""with n as (select *, at + case when event_id % 7 = 0 then 86400000000 else 1000000 end as until from {ONE}),
+i as (select *, kind is distinct from lag(kind) over (order by at, until, event_id) as brk from n),
+j as (select *, sum(brk::int) over (order by at, until, event_id rows unbounded preceding) as island from i),
+t as (select *, max(until) over (partition by island order by at, until, event_id rows between unbounded preceding and 1 preceding) as top from j),
+r as (select *, sum((coalesce(at - top > 3600000000, true))::int) over (partition by island order by at, until, event_id rows unbounded preceding) as run from t)
+select any_value(kind) as kind, min(at) as "at", max(until) as until, count(*) as parts from r group by island, run""",
+)
+def _(t):
+    d = _one(t).withColumn("until", F.col("at") + F.when(F.col("event_id") % 7 == 0, 86_400_000_000).otherwise(1_000_000))
+    return scans.merge_gaps(d, "all_of", "kind", "at", "until", 3_600_000_000, "event_id", most=500).drop("all_of")
+
+
+@query(
+    "w9_label_runs_dealt",
+    f"""with c as (select *, kind is distinct from lag(kind) over (order by at, event_id) as brk from {ONE}),
+r as (select *, sum(brk::int) over (order by at, event_id rows unbounded preceding) as run from c),
+g as (select run, any_value(kind) as kind, min(at) as s, max(at) as e from r group by run)
+select run::bigint as run, kind, coalesce((lag(e) over w + s) / 2.0, s) as at, coalesce((e + lead(s) over w) / 2.0, e) as until from g window w as (order by run)""",
+)
+def _(t):
+    return scans.label_runs(_one(t).withColumn("until", F.col("at")), "all_of", "kind", "at", "until", "event_id", most=500).drop("all_of")
+
+
 @query(
     "w15_sentence_parts",
     """with p as (select meeting_id, segment_index, trim(text, ' ' || chr(10) || chr(9) || chr(13)) as whole, list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(10) || chr(9) || chr(13)), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))), lambda x: x <> '') as parts from {segments} where text is not null),
