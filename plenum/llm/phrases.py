@@ -6,10 +6,11 @@ empty position after each piece, in shards of bounded length that hold one langu
 words, so it is extended by one shift by a position, an AND with the bitmaps of all words that share a chunk, and
 popcounts; the empty position keeps it within the piece.
 
-Supports are sums of popcounts over shards. First the words' are summed, then those of pairs of frequent words. With
-the frequent pairs that a shard holds, it extends phrases depth-first up to the longest length, as long as each pair
-of neighbouring words is frequent, and their popcounts are summed. What a shard needs to know of the sums comes back to it by joins on
-the words or pairs that it holds, so nothing that grows with the corpus is sent to every task.
+Supports are sums of popcounts over shards: first those of words, then those of pairs of frequent words, then those of
+longer phrases, which a shard extends depth-first as long as each pair of neighbouring words is frequent. What shards
+are told of the sums before is a Bloom filter of fixed size. It lets every frequent word or pair pass, and what it passes
+by mistake has too small a sum in the end, so the result is exact however full the filter is. Bitmaps stay where they are written; only
+counts are shuffled.
 
 A piece that is longer than a shard goes on in the next one, which begins with the last words of the one before;
 phrases that end there are not counted twice. Null and empty texts have no words; a null language is ``und``. Repeated rows and ids count
@@ -23,16 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table, written
 
 #: Positions of a shard: all chunk numbers fit 16 bits, and a shift stays inside. Positions that a task keeps over all languages; bytes of a slice of a text.
-POSITIONS, HELD, SLICE = (1 << 20) - 16, 1 << 21, 4 << 20
-#: Entries of bitmaps that are extended at once.
-BLOCK = 1 << 18
+POSITIONS, HELD, SLICE = (1 << 19) - 16, 1 << 20, 1 << 20
+#: Entries of bitmaps that are extended at once, and the filters' bits: 8 MB, which pass one in a hundred of other words at seven million frequent ones.
+BLOCK, FILTER_BITS = 1 << 16, 1 << 26
 #: No byte of UTF-8; stands for the end of a piece.
 END = b"\xff"
 _TO = bytearray(range(256))
@@ -42,7 +44,7 @@ for _c in b".,;:!?\n\x0b\x0c\r":
 _TO[9] = 32
 _TO = bytes(_TO)
 
-_SHARD = "shard long, lang string, lid int, word string, cnt long, skip int, offs binary, chunks binary, bits binary"
+_SHARD = "lang string, words array<string>, counts array<long>, skip int, offs binary, chunks binary, bits binary"
 
 
 def tokens_of(text: bytes) -> Iterator[list[bytes]]:
@@ -75,24 +77,20 @@ def bitmaps(tokens: list[bytes], skip: int) -> tuple[list, np.ndarray, np.ndarra
 
 
 def shard_rows(batches: Iterator[pa.RecordBatch], positions: int = POSITIONS, longest: int = 5) -> Iterator[pa.RecordBatch]:
-    """From (lang, text) a row for each word of a shard, and one with the shard's bitmaps, whose lid is -1."""
-    made = TaskContext.get().partitionId() << 24
+    """From (lang, text) a row for each shard: its words, their occurrences and their bitmaps."""
     held: dict[str, list[bytes]] = {}
     skips: dict[str, int] = {}
     total = 0
 
     def shard(lang: str, tokens: list[bytes], skip: int) -> pa.RecordBatch:
-        nonlocal made
         words, counts, offs, chunks, bits = bitmaps(tokens, skip)
-        keep = [k for k, w in enumerate(words.to_pylist()) if w != END]
-        n, void = len(keep), [None] * len(keep)
-        blob = lambda a: pa.array([*void, a.tobytes()], pa.binary())
-        columns = [
-            pa.array(np.full(n + 1, made)), pa.array([lang] * (n + 1)), pa.array([*keep, -1], pa.int32()), pa.concat_arrays([words.take(pa.array(keep, pa.int32())).cast(pa.string()), pa.nulls(1, pa.string())]),
-            pa.array(np.append(counts[keep], 0)), pa.array(np.full(n + 1, skip, np.int32)), blob(offs), blob(chunks), blob(bits),
-        ]
-        made += 1
-        return pa.record_batch(columns, [c.split()[0] for c in _SHARD.split(", ")])
+        end = words.index(END).as_py()  # its bitmap is empty
+        words = words if end < 0 else pa.concat_arrays([words[:end], pa.array([b""], pa.binary()), words[end + 1 :]])
+        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
+        return pa.record_batch(
+            [pa.array([lang]), one(words, pa.string()), one(pa.array(counts), pa.int64()), pa.array([skip], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (offs, chunks, bits))],
+            [c.split()[0] for c in _SHARD.split(", ")],
+        )
 
     def flush(lang: str, all_of_it: bool) -> Iterator[pa.RecordBatch]:
         nonlocal total
@@ -109,7 +107,7 @@ def shard_rows(batches: Iterator[pa.RecordBatch], positions: int = POSITIONS, lo
             held[lang], skips[lang] = tokens, skip
             total += len(tokens)
 
-    for b in batches:
+    for b in (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128)):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
             for tokens in tokens_of(text or b""):
                 held.setdefault(lang, []).extend(tokens)
@@ -123,28 +121,74 @@ def shard_rows(batches: Iterator[pa.RecordBatch], positions: int = POSITIONS, lo
         yield from flush(lang, True)
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+
+
+def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    h = (first * np.uint64(0x9E3779B97F4A7C15)) ^ ((second << np.uint64(31) | second >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+class Filter:
+    """Four bits for each hash among a fixed number of bits."""
+
+    def __init__(self, bits: int = FILTER_BITS):
+        self.words = np.zeros(max(1, bits // 64), np.uint64)
+
+    def _places(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = h >> np.uint64(32) | np.uint64(1)
+        for k in range(4):
+            at = (h + np.uint64(k) * step) % np.uint64(len(self.words) * 64)
+            yield (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+
+    def add(self, h: np.ndarray) -> None:
+        for word, bit in self._places(h):
+            np.bitwise_or.at(self.words, word, bit)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        out = np.ones(len(h), bool)
+        for word, bit in self._places(h):
+            out &= self.words[word] & bit != 0
+        return out
+
+
+def filter_of(phrases: DataFrame, bits: int) -> Filter:
+    """The filter of ``phrases`` (phrase) of one word or of two; tasks make parts, which are joined by their 64-bit words."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filter(bits)
+        for b in batches:
+            both = [p.partition(b" ")[::2] for p in b.column(0).cast(pa.binary()).to_pylist()]
+            first, second = word_hashes([x for x, _ in both]), word_hashes([y for _, y in both])
+            own.add(np.where([bool(y) for _, y in both], pair_hashes(first, second), first) if both else first)
+        at = np.flatnonzero(own.words)
+        yield pa.record_batch([pa.array(at), pa.array(own.words[at].view(np.int64))], ["at", "bits"])
+
+    out = Filter(bits)
+    # Rows by the filter's size at most.
+    rows = phrases.select("phrase").mapInArrow(part, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out.words[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 class Shard:
-    """The bitmaps of a shard's frequent words, by word and by chunk."""
-
-    def __init__(self, parts: list[pa.RecordBatch]):
-        t = pa.Table.from_batches(parts).combine_chunks()
-        kind = t["kind"].to_numpy()
-        own = t.filter(pa.array(kind == 0)).to_pylist()[0]
-        offs, chunks, bits = (np.frombuffer(own[c], d) for c, d in (("offs", np.uint32), ("chunks", np.uint16), ("bits", np.uint16)))
-        a, b = t["a"].to_numpy(), t["b"].to_numpy()
-        self.id, self.skip = own["shard"], own["skip"]
-        order = np.argsort(b[kind == 1])
-        lids, self.words = a[kind == 1][order].astype(np.int64), b[kind == 1][order]
-        self.m = len(self.words)
-        n = (offs[lids + 1] - offs[lids]).astype(np.int64)
-        at = np.arange(n.sum()) + np.repeat(offs[lids] - (np.cumsum(n) - n), n)
-        self.w, self.c, self.b = np.repeat(np.arange(self.m), n), chunks[at].astype(np.int64), bits[at]
+    """The bitmaps of a shard's words that may be frequent, by word and by chunk."""
+
+    def __init__(self, b: pa.RecordBatch, row: int, frequent: Filter):
+        own = {c: b.column(c)[row] for c in ("lang", "skip", "offs", "chunks", "bits")}
+        self.lang, self.skip = own["lang"].as_py(), own["skip"].as_py()
+        offs, chunks, bits = (np.frombuffer(own[c].as_buffer(), d) for c, d in (("offs", np.uint32), ("chunks", np.uint16), ("bits", np.uint16)))
+        words = b.column("words")[row].values
+        hashes = word_hashes(words.cast(pa.binary()).to_pylist())
+        lids = np.flatnonzero(frequent.has(hashes))
+        self.words, self.hashes, self.m = words.take(pa.array(lids)), hashes[lids], len(lids)
+        n = (offs[lids + 1] - offs[lids]).astype(np.int32)
+        at = np.arange(n.sum(), dtype=np.int32) + np.repeat(offs[lids].astype(np.int32) - (np.cumsum(n, dtype=np.int32) - n), n)
+        self.w, self.c, self.b = np.repeat(np.arange(self.m), n), chunks[at].astype(np.int32), bits[at]
         order = np.argsort(chunks[at], kind="stable")
         self.by_w, self.by_b = self.w[order], self.b[order]
-        self.start = np.searchsorted(self.c[order], np.arange((1 << 16) + 1))
-        #: Frequent pairs of neighbours, as first * m + second.
-        place = lambda x: np.searchsorted(self.words, x)
-        self.pairs = np.sort(place(a[kind == 2]) * self.m + place(b[kind == 2]))
+        self.start = np.searchsorted(self.c[order], np.arange((1 << 16) + 1)).astype(np.int32)
 
     def extended(self, pid: np.ndarray, c: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
         """Bitmaps (phrase, chunk, bits) shifted by one and joined by AND with those of all words: (phrase, word, chunk, bits)."""
@@ -153,8 +197,8 @@ class Shard:
         pid, c, b = np.concatenate([pid[i], pid[j]]), np.concatenate([c[i], c[j] + 1]), np.concatenate([own[i], over[j]])
         low = self.start[c]
         n = self.start[c + 1] - low
-        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        each = np.repeat(np.arange(len(c)), n)
+        at = np.repeat(low - (np.cumsum(n, dtype=np.int32) - n), n) + np.arange(n.sum(), dtype=np.int32)
+        each = np.repeat(np.arange(len(c), dtype=np.int32), n)
         both = b[each] & self.by_b[at]
         hit = np.flatnonzero(both)
         each = each[hit]
@@ -166,61 +210,48 @@ class Shard:
         keys, at = np.unique(key, return_inverse=True)
         return keys, at, np.bincount(at, counted, len(keys)).astype(np.int64)
 
-    def is_pair(self, key: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return self.pairs[at] == key
-
     def blocks(self) -> Iterator[tuple[np.ndarray, ...]]:
         for k in range(0, len(self.w), BLOCK):
             yield self.w[k : k + BLOCK], self.c[k : k + BLOCK], self.b[k : k + BLOCK]
 
+    def told(self, path: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        """lang, phrase, cnt of the phrases that the places in ``path`` spell."""
+        some = n > 0
+        phrase = pc.binary_join_element_wise(*(self.words.take(pa.array(p[some])) for p in path), " ")
+        return pa.record_batch([pa.array([self.lang] * len(phrase), pa.string()), phrase, pa.array(n[some])], ["lang", "phrase", "cnt"])
+
     def count_pairs(self) -> Iterator[pa.RecordBatch]:
         for block in self.blocks():
             first, second, c, b = self.extended(*block)
             keys, _, n = self.supports(first * self.m + second, c, b)
-            keys, n = keys[n > 0], n[n > 0]
-            yield pa.record_batch([pa.array(np.full(len(n), self.id)), pa.array(self.words[keys // self.m]), pa.array(self.words[keys % self.m]), pa.array(n)], ["shard", "w1", "w2", "cnt"])
+            yield self.told([keys // self.m, keys % self.m], n)
 
-    def count_longer(self, longest: int) -> Iterator[pa.RecordBatch]:
+    def count_longer(self, longest: int, pairs: Filter) -> Iterator[pa.RecordBatch]:
         """Depth-first from each block of first words."""
-        for block in self.blocks() if len(self.pairs) else ():
+        for block in self.blocks():
             first, second, c, b = self.extended(*block)
-            ok = self.is_pair(first * self.m + second)
-            key, pid = np.unique(first[ok] * self.m + second[ok], return_inverse=True)
-            path, c, b = [key // self.m, key % self.m], c[ok], b[ok]
+            key, pid = np.unique(first * self.m + second, return_inverse=True)
+            path = [key // self.m, key % self.m]
+            ok = pairs.has(pair_hashes(self.hashes[path[0]], self.hashes[path[1]]))[pid]
+            pid, c, b = pid[ok], c[ok], b[ok]
             while len(path) < longest and len(c):
                 pid, word, c, b = self.extended(pid, c, b)
-                ok = self.is_pair(path[-1][pid] * self.m + word)
+                ok = pairs.has(pair_hashes(self.hashes[path[-1][pid]], self.hashes[word]))
                 c, b = c[ok], b[ok]
                 key, pid, n = self.supports(pid[ok] * self.m + word[ok], c, b)
                 path = [*(p[key // self.m] for p in path), key % self.m]
-                some = n > 0
-                void = np.full(int(some.sum()), -1)
-                yield pa.record_batch([pa.array(self.words[path[k][some]] if k < len(path) else void) for k in range(longest)] + [pa.array(n[some])], [*(f"w{k + 1}" for k in range(longest)), "cnt"])
+                yield self.told(path, n)
 
 
-def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
-    """Shards from rows sorted by (shard, kind); a shard without frequent words is left out."""
-    now, parts, words = None, [], False
+def shards_of(batches: Iterator[pa.RecordBatch], frequent: Filter) -> Iterator[Shard]:
+    for b in batches:
+        for row in range(b.num_rows):
+            shard = Shard(b, row, frequent)
+            if shard.m:
+                yield shard
 
-    def ready() -> Iterator[Shard]:
-        if parts and words:
-            yield Shard(parts)
 
-    for b in batches:
-        ids, kind = b.column("shard").to_numpy(), b.column("kind").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-        for lo, hi in zip(cuts, cuts[1:]):
-            if lo < hi:
-                if ids[lo] != now:
-                    yield from ready()
-                    now, parts, words = ids[lo], [], False
-                parts.append(b.slice(lo, hi - lo))
-                words |= bool((kind[lo:hi] == 1).any())
-    yield from ready()
-
-
-def collocations(docs: DataFrame, least: int = 100, most: int | None = 2000, longest: int = 5, share: int = 100, positions: int = POSITIONS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, most: int | None = 2000, longest: int = 5, share: int = 100, positions: int = POSITIONS, filter_bits: int = FILTER_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the phrases of 2 to ``longest`` words in ``docs`` (lang, text) that come ``least`` times or more.
 
     A phrase inside a longer one that has ``share`` per cent of its support or more goes; ``most`` of each language stay.
@@ -229,48 +260,36 @@ def collocations(docs: DataFrame, least: int = 100, most: int | None = 2000, lon
         raise ValueError("longest must be 2 to 16, and positions within a shard's")
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text"))
     made = written(texts.mapInArrow(lambda x: shard_rows(x, positions, longest), _SHARD), "bitmaps")
-    words = made.where("lid >= 0")
-    totals = words.groupBy("lang").agg(F.sum("cnt").alias("n"))
-    frequent = written(words.groupBy("lang", "word").agg(F.sum("cnt").alias("f")).where(F.col("f") >= least).withColumn("gid", F.monotonically_increasing_id()), "words")
-    own = "cast({} as int) as skip, cast({} as binary) as offs, cast({} as binary) as chunks, cast({} as binary) as bits"
-    bare = own.format(*["null"] * 4).split(", ")
-    maps = made.where("lid = -1").selectExpr("shard", "0 as kind", "-1L as a", "-1L as b", "skip", "offs", "chunks", "bits")
-    local = written(words.join(frequent, ["lang", "word"]).selectExpr("shard", "1 as kind", "cast(lid as long) as a", "gid as b"), "local").selectExpr("*", *bare)
-
-    def dealt(*parts: DataFrame) -> DataFrame:
-        out = maps
-        for p in parts:
-            out = out.unionByName(p)
-        return out.repartition("shard").sortWithinPartitions("shard", "kind")
-
-    pairs = dealt(local).mapInArrow(lambda x: (y for s in shards_of(x) for y in s.count_pairs()), "shard long, w1 long, w2 long, cnt long")
-    pairs = written(pairs, "pairs")
-    two = written(pairs.groupBy("w1", "w2").agg(F.sum("cnt").alias("f")).where(F.col("f") >= least), "frequent-pairs")
-    known = pairs.join(two, ["w1", "w2"], "left_semi").selectExpr("shard", "2 as kind", "w1 as a", "w2 as b", *bare)
-    names = [f"w{k + 1}" for k in range(longest)]
-    phrases = two.selectExpr("array(w1, w2) as ws", "f as a")
+
+    def often(counts: DataFrame, name: str) -> DataFrame:
+        return written(counts.groupBy("lang", "phrase").agg(F.sum("cnt").alias("f")).where(F.col("f") >= least), name)
+
+    words = made.select("lang", F.explode(F.arrays_zip(F.col("words").alias("phrase"), F.col("counts").alias("cnt"))).alias("w")).select("lang", "w.*").where("cnt > 0")
+    totals = made.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
+    one = often(words, "words")
+    frequent = filter_of(one, filter_bits)
+    counts = "lang string, phrase string, cnt long"
+    two = often(made.mapInArrow(lambda x: (y for s in shards_of(x, frequent) for y in s.count_pairs()), counts), "pairs")
+    phrases = two
     if longest > 2:
-        longer = dealt(local, known).mapInArrow(lambda x: (y for s in shards_of(x) for y in s.count_longer(longest)), ", ".join(f"{w} long" for w in [*names, "cnt"]))
-        longer = longer.groupBy(*names).agg(F.sum("cnt").alias("a")).where(F.col("a") >= least)
-        phrases = phrases.unionByName(longer.select(F.filter(F.array(*names), lambda x: x >= 0).alias("ws"), "a"))
-    phrases = written(phrases.withColumn("id", F.monotonically_increasing_id()), "phrases")
-    return ranked(phrases, frequent, totals, most, share)
+        pairs = filter_of(two, filter_bits)
+        phrases = phrases.unionByName(often(made.mapInArrow(lambda x: (y for s in shards_of(x, frequent) for y in s.count_longer(longest, pairs)), counts), "longer"))
+    return ranked(phrases, one, totals, most, share)
 
 
 def ranked(phrases: DataFrame, words: DataFrame, totals: DataFrame, most: int | None, share: int) -> DataFrame:
-    """``phrases`` (id, ws: ids of words, a) scored by their worst cut, without those inside longer ones, ranked within each language of ``words`` (gid, lang, word, f)."""
-    parts = phrases.select("ws", F.col("a").alias("f")).unionByName(words.select(F.array("gid").alias("ws"), "f"))
-    spelt = phrases.select("id", F.posexplode("ws").alias("at", "gid")).join(words.select("gid", "lang", "word"), "gid")
-    spelt = spelt.groupBy("id").agg(F.first("lang").alias("lang"), F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"])).alias("phrase"))
-    inside = F.explode(F.expr("flatten(transform(sequence(2, size(ws) - 1), n -> transform(sequence(1, size(ws) - n + 1), i -> slice(ws, i, n))))"))
-    covered = phrases.where(F.size("ws") > 2).select(inside.alias("ws"), "a").groupBy("ws").agg(F.max("a").alias("longer"))
-    kept = phrases.join(covered, "ws", "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a"))).drop("longer")
-    cuts = kept.join(spelt, "id").join(totals, "lang").select("*", F.explode(F.expr("sequence(1, size(ws) - 1)")).alias("k"))
-    cuts = cuts.withColumn("head", F.slice("ws", F.lit(1), F.col("k"))).withColumn("tail", F.expr("slice(ws, k + 1, size(ws) - k)"))
-    cuts = cuts.join(parts.select(F.col("ws").alias("head"), F.col("f").alias("l")), "head").join(parts.select(F.col("ws").alias("tail"), F.col("f").alias("r")), "tail")
+    """``phrases`` (lang, phrase, f) scored by their worst cut, without those inside longer ones, ranked within each language; ``words`` (lang, phrase, f) and ``totals`` (lang, n) of it."""
+    parts = phrases.unionByName(words)
+    d = phrases.select("lang", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("ws"))
+    inside = F.explode(F.expr("flatten(transform(sequence(2, size(ws) - 1), n -> transform(sequence(1, size(ws) - n + 1), i -> array_join(slice(ws, i, n), ' '))))"))
+    covered = d.where(F.size("ws") > 2).select("lang", inside.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
+    kept = d.join(covered, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a"))).drop("longer")
+    cuts = kept.join(totals, "lang").select("*", F.explode(F.expr("sequence(1, size(ws) - 1)")).alias("k"))
+    cuts = cuts.withColumn("head", F.expr("array_join(slice(ws, 1, k), ' ')")).withColumn("tail", F.expr("array_join(slice(ws, k + 1, size(ws) - k), ' ')"))
+    cuts = cuts.join(parts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"]).join(parts.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
     wide = lambda c: f"cast({c} as decimal(19, 0))"
     score = F.expr(f"({wide('a')} * {wide('n')} * 1000) div ({wide('l')} * {wide('r')})")
-    worst = cuts.groupBy("id", "lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
+    worst = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
     out = worst.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")))
     out = out if most is None else out.where(F.col("rank") <= most)
