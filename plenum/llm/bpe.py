@@ -192,7 +192,11 @@ def _long(parts: DataFrame, ranks_path: str, pattern: str, chunk: int, overlap:
     encoded = whole.mapInArrow(pieces, "row long, doc_id long, at int, n int, ids binary, part string")
     # One text's ids lie in one row in the end; a text with an unsure stitch keeps its chunks and is joined again.
     rows = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "ids"))).alias("p"), F.max(F.col("part").isNotNull()).alias("unsure"))
-    sure = rows.where("not unsure").select("doc_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([b"".join(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+
+    sure = rows.where("not unsure").select("doc_id", F.transform("p", lambda x: x["ids"]).alias("ids")).mapInArrow(joined, "doc_id long, ids binary")
     again = parts.join(rows.where("unsure").select("row"), "row", "left_semi")
     again = again.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "n", "part"))).alias("p")).select("doc_id", F.transform("p", lambda x: x["part"]).alias("parts"))
 

@@ -6,7 +6,7 @@ index and the Bloom filter on doc_id let a reader skip whole row groups. The num
 document is its place in its file plus the sums of the files before, a table with a row for each file.
 
 Null or empty text is a document of the end id alone. Null ids come first. Rows with an equal doc_id
-follow each other, ordered by text. Other columns are not read. An empty table gives no rows.
+follow each other, ordered by a hash of the text. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,8 +62,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, files
 
     (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .repartitionByRange(files, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        # Rows with one id, null ones too, are dealt by their texts, and equal rows by where they were read.
+        .withColumns({"h": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "h", "row")
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "row")
+        .select("doc_id", "text")
         .mapInArrow(run, SCHEMA)
         .write.options(
             **{
