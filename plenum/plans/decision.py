@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plenum.operators import decisions as D
 from plenum.operators import relational as R
 from plenum.operators import updates as U
+from plenum.shared import shared_folder
 
 from .registry import query
 
@@ -167,3 +168,29 @@ def _(t):
 @query("rules_live_unique", "select email from {users} where not deleted group by email having count(*) > 1")
 def _(t):
     return t("users").where(R.all_of(~F.col("deleted"))).groupBy("email").agg(F.count("*").alias("n")).where("n > 1").select("email")
+
+
+@query(
+    "m15_versions",
+    """with v0 as (select meeting_id, status, duration_ms from {meetings}),
+v1 as (select meeting_id, case when status = 'recording' then 'processing' else status end as status, duration_ms from v0),
+v2 as (select * from v1 where meeting_id not in (select meeting_id from {meetings} where category = '1-URGENT' and status = 'scheduled')),
+v3 as (select meeting_id, case when meeting_id % 5 = 0 then 'archived' else status end as status, case when meeting_id % 5 = 0 then 0 else duration_ms end as duration_ms from v2 union all select -1, 'archived', 0),
+every as (select 0 as version, * from v0 union all select 1, * from v1 union all select 2, * from v2 union all select 3, * from v3)
+select version, status, count(*) as n, sum(duration_ms)::bigint as total_ms from every group by version, status""",
+)
+def _(t):
+    from plenum.operators.snapshots import VersionedTable
+
+    meetings = t("meetings").select("meeting_id", "status", "duration_ms", "category")
+    table = VersionedTable(t.spark, shared_folder(t.spark, "meetings"), ["meeting_id"], buckets=16)
+    table.create(meetings.drop("category"))
+    table.update("status = 'recording'", {"status": F.lit("processing")})
+    table.delete(meetings.where("category = '1-URGENT' and status = 'scheduled'").select("meeting_id"))
+    archived = table.read().where("meeting_id % 5 = 0").select("meeting_id", F.lit("archived").alias("status"), F.lit(0).cast("long").alias("duration_ms"))
+    table.upsert(archived.unionByName(t.spark.createDataFrame([(-1, "archived", 0)], archived.schema)))
+    every = None
+    for version in range(table.version() + 1):
+        one = table.read(version).groupBy("status").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms")).select(F.lit(version).alias("version"), "status", "n", "total_ms")
+        every = one if every is None else every.unionByName(one)
+    return every
