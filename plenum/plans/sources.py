@@ -31,8 +31,8 @@ def _(t):
     path = shared_folder(t.spark, "scripts")
     i = F.col("segment_index")
     line = F.concat(F.when(i % 3 == 0, "[overlap]  ").otherwise("  "), "speaker", F.lit(" : meeting "), F.col("meeting_id").cast("string"), F.lit(": "), i.cast("string"), F.when(i % 2 == 0, "\n# a comment\n\nno speaker here").otherwise(""))
-    # A script for each speaker, as a reader takes a file for a script.
-    t("segments").repartition("speaker").select(F.col("speaker").alias("script"), line.alias("value")).write.partitionBy("script").text(path)
+    # Sixteen scripts, each of many meetings; a reader takes a file for a script.
+    t("segments").select((F.col("meeting_id") % 16).alias("script"), line.alias("value")).repartition("script").write.partitionBy("script").text(path)
     return readers.read_script(t.spark, path).select("speaker", "text", "overlapped")
 
 

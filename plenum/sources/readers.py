@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plenum.functions import tables as T
@@ -21,13 +21,20 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("label int, zip1 string, member1 string, zip2 string, member2 string").csv(path, sep="\t")
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, pos, line of text files, large ones in several tasks: a line's number from 0 is that in its split and the lines of its file's splits before."""
+    d = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("row"))
+    splits = d.groupBy("path", "at").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return d.join(splits.select("path", "at", "first", before.alias("before")), ["path", "at"]).select("path", (F.col("before") + F.col("row") - F.col("first")).alias("pos"), "line")
+
+
 def read_script(spark: SparkSession, path: str, overlap: str = "[overlap]") -> DataFrame:
     """path, pos, speaker, text, overlapped of script files: ``name: text`` lines; # starts a comment. One file is one script."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     line = F.trim("line")
     marked = line.startswith(overlap)
     body = F.when(marked, F.trim(F.substr(line, F.lit(len(overlap) + 1)))).otherwise(line)
-    rows = files.where((line != "") & ~line.startswith("#")).select("path", "pos", body.alias("body"), marked.alias("overlapped"))
+    rows = read_lines(spark, path).where((line != "") & ~line.startswith("#")).select("path", "pos", body.alias("body"), marked.alias("overlapped"))
     return rows.where(F.contains("body", F.lit(":"))).select("path", "pos", F.trim(F.substring_index("body", ":", 1)).alias("speaker"), F.trim(F.substr("body", F.instr("body", ":") + 1)).alias("text"), "overlapped")
 
 
