@@ -6,11 +6,11 @@ empty position after each piece, in shards of bounded length that hold one langu
 words, so it is extended by one shift by a position, an AND with the bitmaps of all words that share a chunk, and
 popcounts; the empty position keeps it within the piece.
 
-Supports are sums of popcounts over shards: first those of words, then those of pairs of frequent words, then those of
-longer phrases, which a shard extends depth-first as long as each pair of neighbouring words is frequent. What shards
-are told of the sums before is a Bloom filter of fixed size. It lets every frequent word or pair pass, and what it passes
-by mistake has too small a sum in the end, so the result is exact however full the filter is. Bitmaps stay where they are written; only
-counts are shuffled.
+Supports are sums of popcounts over shards. What a later pass is told of the sums of an earlier one is a Bloom filter of fixed
+size: of the words, then of the pairs of frequent words, then of the triples of frequent pairs, which have ``least`` occurrences or more. For pairs
+and triples tasks hand on hashes and popcounts only; equal hashes add up, so the filters let every frequent phrase pass. In the last pass shards extend phrases
+depth-first, as long as all their triples pass, and what passed by mistake has too small an exact sum in the end. So the result
+is exact however full the filters are. Bitmaps stay where they are written; only counts are shuffled.
 
 A piece that is longer than a shard goes on in the next one, which begins with the last words of the one before;
 phrases that end there are not counted twice. Null and empty texts have no words; a null language is ``und``. Repeated rows and ids count
@@ -20,7 +20,7 @@ and then by the phrase's bytes, so ranks are unique. An empty table gives no row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,10 @@ from .common import table, written
 
 #: Positions of a shard: all chunk numbers fit 16 bits, and a shift stays inside. Positions that a task keeps over all languages; bytes of a slice of a text.
 POSITIONS, HELD, SLICE = (1 << 19) - 16, 1 << 20, 1 << 20
-#: Entries of bitmaps that are extended at once, and the filters' bits: 8 MB, which pass one in a hundred of other words at seven million frequent ones.
-BLOCK, FILTER_BITS = 1 << 16, 1 << 26
+#: Entries of bitmaps that are extended at once, and the filters' bits: 4 MB, which pass one in a hundred of other words at three million frequent ones.
+BLOCK, FILTER_BITS = 1 << 16, 1 << 25
+#: Hashes that a task holds before it hands them on.
+HASHES = 1 << 19
 #: No byte of UTF-8; stands for the end of a piece.
 END = b"\xff"
 _TO = bytearray(range(256))
@@ -131,12 +133,13 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """Four bits for each hash among a fixed number of bits."""
+    """Four bits for each hash among a fixed number of bits. ``low``: how many of a hash's last bits don't count."""
 
     def __init__(self, bits: int = FILTER_BITS):
-        self.words = np.zeros(max(1, bits // 64), np.uint64)
+        self.words, self.low = np.zeros(max(1, bits // 64), np.uint64), 0
 
     def _places(self, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
         step = h >> np.uint64(32) | np.uint64(1)
         for k in range(4):
             at = (h + np.uint64(k) * step) % np.uint64(len(self.words) * 64)
@@ -148,30 +151,142 @@ class Filter:
 
     def has(self, h: np.ndarray) -> np.ndarray:
         out = np.ones(len(h), bool)
-        for word, bit in self._places(h):
+        for word, bit in self._places(h >> np.uint64(self.low)):
             out &= self.words[word] & bit != 0
         return out
 
 
-def filter_of(phrases: DataFrame, bits: int) -> Filter:
-    """The filter of ``phrases`` (phrase) of one word or of two; tasks make parts, which are joined by their 64-bit words."""
+def united(parts: DataFrame, bits: int) -> Filter:
+    """The filter of ``parts`` (at, bits), 64-bit words of the filters that tasks have made."""
+    out = Filter(bits)
+    # Rows by the filter's size at most.
+    rows = parts.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out.words[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def _filled(own: Filter) -> pa.RecordBatch:
+    at = np.flatnonzero(own.words)
+    return pa.record_batch([pa.array(at), pa.array(own.words[at].view(np.int64))], ["at", "bits"])
+
+
+def filter_of(words: DataFrame, bits: int) -> Filter:
+    """The filter of ``words`` (phrase)."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filter(bits)
         for b in batches:
-            both = [p.partition(b" ")[::2] for p in b.column(0).cast(pa.binary()).to_pylist()]
-            first, second = word_hashes([x for x, _ in both]), word_hashes([y for _, y in both])
-            own.add(np.where([bool(y) for _, y in both], pair_hashes(first, second), first) if both else first)
-        at = np.flatnonzero(own.words)
-        yield pa.record_batch([pa.array(at), pa.array(own.words[at].view(np.int64))], ["at", "bits"])
+            own.add(word_hashes(b.column(0).cast(pa.binary()).to_pylist()))
+        yield _filled(own)
 
-    out = Filter(bits)
-    # Rows by the filter's size at most.
-    rows = phrases.select("phrase").mapInArrow(part, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out.words[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
+    return united(words.select("phrase").mapInArrow(part, "at long, bits long"), bits)
+
+
+def frequent_hashes(made: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], least: int, bits: int, ranges: int) -> Filter:
+    """The filter of the hashes whose popcounts, summed over all shards, reach ``least``.
+
+    ``counts`` gives (hashes, popcounts) of a task's shards. They are dealt by ranges of the hash; in a range a hash is known by its next 32 bits,
+    so others may add to its sum.
+    """
+    low = 64 - int(ranges).bit_length() + 1  # ranges is a power of two
+
+    def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        h, n = (np.concatenate(c) for c in zip(*held))
+        h, at = np.unique(h >> np.uint64(low - 32), return_inverse=True)
+        n = np.bincount(at, n, len(h)).astype(np.uint32)
+        cuts = [0, *(np.flatnonzero(np.diff(h >> np.uint64(32))) + 1).tolist(), len(h)]
+        key = h.astype(np.uint32)
+        rows = [(int(h[i] >> np.uint64(32)), np.diff(key[i:j], prepend=np.uint32(0)).tobytes(), n[i:j].tobytes()) for i, j in zip(cuts, cuts[1:]) if i < j]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["range", "keys", "counts"]) if rows else pa.record_batch([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())], ["range", "keys", "counts"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for h, n in counts(batches):
+            held.append((h, n))
+            size += len(h)
+            if size >= HASHES:
+                yield from dealt(held)
+                held, size = [], 0
+                pa.default_memory_pool().release_unused()
+        if held:
+            yield from dealt(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, now, key, total = Filter(bits), None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+        def close() -> None:
+            often = key[total >= least].astype(np.uint64)
+            if len(often):
+                own.add(np.uint64(now) << np.uint64(32) | often)
+
+        for b in batches:
+            for r, keys, n in zip(*(b.column(c).to_pylist() for c in ("range", "keys", "counts"))):
+                if r != now:
+                    close()
+                    now, key, total = r, np.zeros(0, np.uint32), np.zeros(0, np.int64)
+                both = np.concatenate([key, np.cumsum(np.frombuffer(keys, np.uint32), dtype=np.uint32)])
+                key, at = np.unique(both, return_inverse=True)
+                total = np.bincount(at, np.concatenate([total, np.frombuffer(n, np.uint32)]), len(key)).astype(np.int64)
+        close()
+        yield _filled(own)
+
+    rows = made.mapInArrow(emit, "`range` int, keys binary, counts binary").repartition("range").sortWithinPartitions("range")
+    out = united(rows.mapInArrow(add, "at long, bits long"), bits)
+    out.low = low - 32
     return out
 
 
+def summed(made: DataFrame, told: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], least: int, ranges: int) -> DataFrame:
+    """lang, phrase, f: the exact sums, from ``least`` on, of ``told`` (lang, phrase, cnt). A task adds up what its shards tell and hands it on in blocks, one for each range of a hash."""
+
+    def add(parts: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(parts).group_by(["lang", "phrase"]).aggregate([("cnt", "sum")]).rename_columns(["lang", "phrase", "cnt"])
+
+    def dealt(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        t = add(parts)
+        at = (word_hashes(t["phrase"].combine_chunks().cast(pa.binary()).to_pylist()) % np.uint64(ranges)).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        t, at = t.take(pa.array(order)).combine_chunks(), at[order]
+        first = np.flatnonzero(np.append(True, np.diff(at) != 0)) if len(at) else np.zeros(0, np.int64)
+        ends = pa.array(np.append(first, len(at)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, t[c].chunk(0) if t[c].num_chunks else pa.array([], t.schema.field(c).type)) for c in ("lang", "phrase", "cnt")]
+        yield pa.record_batch([pa.array(at[first]), *lists], ["range", "langs", "phrases", "counts"])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in told(batches):
+            held.append(pa.Table.from_batches([b]))
+            size += b.num_rows
+            if size >= HASHES // 2:
+                held = [add(held)]
+                if held[0].num_rows >= HASHES // 4:
+                    yield from dealt(held)
+                    held = []
+                    pa.default_memory_pool().release_unused()
+                size = sum(t.num_rows for t in held)
+        if held:
+            yield from dealt(held)
+
+    def close(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        if parts:
+            t = add(parts)
+            yield from t.filter(pc.greater_equal(t["cnt"], least)).rename_columns(["lang", "phrase", "f"]).combine_chunks().to_batches()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+        for b in batches:
+            for k, r in enumerate(b.column("range").to_pylist()):
+                if r != now:
+                    yield from close(parts)
+                    now, parts = r, []
+                parts.append(pa.table([b.column(c)[k].values for c in ("langs", "phrases", "counts")], ["lang", "phrase", "cnt"]))
+                parts = [add(parts)] if len(parts) >= 16 else parts
+        yield from close(parts)
+
+    rows = made.mapInArrow(emit, "`range` int, langs array<string>, phrases array<string>, counts array<long>").repartition("range").sortWithinPartitions("range")
+    return rows.mapInArrow(gather, "lang string, phrase string, f long")
+
+
 class Shard:
     """The bitmaps of a shard's words that may be frequent, by word and by chunk."""
 
@@ -220,27 +335,36 @@ class Shard:
         phrase = pc.binary_join_element_wise(*(self.words.take(pa.array(p[some])) for p in path), " ")
         return pa.record_batch([pa.array([self.lang] * len(phrase), pa.string()), phrase, pa.array(n[some])], ["lang", "phrase", "cnt"])
 
-    def count_pairs(self) -> Iterator[pa.RecordBatch]:
-        for block in self.blocks():
-            first, second, c, b = self.extended(*block)
-            keys, _, n = self.supports(first * self.m + second, c, b)
-            yield self.told([keys // self.m, keys % self.m], n)
+    def hashes_of(self, path: list[np.ndarray]) -> np.ndarray:
+        out = self.hashes[path[0]]
+        for p in path[1:]:
+            out = pair_hashes(out, self.hashes[p])
+        return out
+
+    def walk(self, longest: int, filters: dict[int, Filter]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """The paths of phrases and their popcounts, depth-first from each block of first words.
 
-    def count_longer(self, longest: int, pairs: Filter) -> Iterator[pa.RecordBatch]:
-        """Depth-first from each block of first words."""
+        A phrase is followed, and told, if the filter of its length lets it pass; one that is longer than all filters if the longest one lets its last words pass.
+        """
         for block in self.blocks():
-            first, second, c, b = self.extended(*block)
-            key, pid = np.unique(first * self.m + second, return_inverse=True)
-            path = [key // self.m, key % self.m]
-            ok = pairs.has(pair_hashes(self.hashes[path[0]], self.hashes[path[1]]))[pid]
-            pid, c, b = pid[ok], c[ok], b[ok]
+            (pid, c, b), path = block, [np.arange(self.m)]
             while len(path) < longest and len(c):
                 pid, word, c, b = self.extended(pid, c, b)
-                ok = pairs.has(pair_hashes(self.hashes[path[-1][pid]], self.hashes[word]))
-                c, b = c[ok], b[ok]
-                key, pid, n = self.supports(pid[ok] * self.m + word[ok], c, b)
+                key, pid, n = self.supports(pid * self.m + word, c, b)
                 path = [*(p[key // self.m] for p in path), key % self.m]
-                yield self.told(path, n)
+                known = max((k for k in filters if k <= len(path)), default=0)
+                if known:
+                    ok = filters[known].has(self.hashes_of(path[-known:]))
+                    place, keep = np.cumsum(ok) - 1, ok[pid]
+                    path, n = [p[ok] for p in path], n[ok]
+                    pid, c, b = place[pid[keep]], c[keep], b[keep]
+                yield path, n
+
+    def supports_of(self, length: int, filters: dict[int, Filter]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Hashes and popcounts of the phrases of a length."""
+        for path, n in self.walk(length, filters):
+            if len(path) == length:
+                yield self.hashes_of([p[n > 0] for p in path]), n[n > 0]
 
 
 def shards_of(batches: Iterator[pa.RecordBatch], frequent: Filter) -> Iterator[Shard]:
@@ -268,12 +392,15 @@ def collocations(docs: DataFrame, least: int = 100, most: int | None = 2000, lon
     totals = made.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     one = often(words, "words")
     frequent = filter_of(one, filter_bits)
-    counts = "lang string, phrase string, cnt long"
-    two = often(made.mapInArrow(lambda x: (y for s in shards_of(x, frequent) for y in s.count_pairs()), counts), "pairs")
-    phrases = two
-    if longest > 2:
-        pairs = filter_of(two, filter_bits)
-        phrases = phrases.unionByName(often(made.mapInArrow(lambda x: (y for s in shards_of(x, frequent) for y in s.count_longer(longest, pairs)), counts), "longer"))
+    # Ranges of about a million positions each.
+    size = made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    ranges = 1 << min(20, max(6, (size >> 21).bit_length()))
+    filters: dict[int, Filter] = {}
+    for length in range(2, min(3, longest) + 1):
+        known = dict(filters)
+        filters[length] = frequent_hashes(made, lambda x, k=length, known=known: (y for s in shards_of(x, frequent) for y in s.supports_of(k, known)), least, filter_bits, ranges)
+    spelt = lambda x: (s.told(path, n) for s in shards_of(x, frequent) for path, n in s.walk(longest, filters))
+    phrases = written(summed(made, spelt, least, ranges), "phrases")
     return ranked(phrases, one, totals, most, share)
 
 
