@@ -113,18 +113,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def train(texts: list[bytes], labels: list[int], buckets: int = 1 << 16, *how, **more) -> Model:
-    return train_bags([bag(t, buckets) for t in texts], labels, buckets, *how, **more)
-
-
-def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], buckets: int = 1 << 16, size: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 0) -> Model:
-    """Stochastic gradient descent over documents' ``bag``s, one at a time, the rate falling to zero."""
+def train(docs: list, labels: list[int], buckets: int = 1 << 16, size: int = 16, epochs: int = 8, rate: float = 0.5, seed: int = 0) -> Model:
+    """Stochastic gradient descent over ``docs``, texts or their ``bag``s, one at a time, the rate falling to zero."""
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.int64)
     if not len(y):
         return Model(np.zeros(buckets), 0.0)
     vectors = rng.uniform(-1, 1, (buckets, size)) / size
     out, bias = np.zeros((2, size)), np.log((np.bincount(y, minlength=2) + 1) / (len(y) + 2))
+    bags = [d if isinstance(d, tuple) else bag(d, buckets) for d in docs]
     steps, done = epochs * len(y), 0
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
@@ -168,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, buckets: int = 1
     # Repeated ids may give more rows, so the bound holds for these; each task keeps its first rows only.
     first = counted.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample).toArrow().sort_by([("doc_id", "ascending"), ("h", "ascending")])
     bags = [(at.values.to_numpy().astype(np.int64), n.values.to_numpy().astype(np.int64)) for at, n in zip(first["at"], first["n"])]
-    return train_bags(bags, first["label"].to_pylist(), buckets, **how)
+    return train(bags, first["label"].to_pylist(), buckets=buckets, **how)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
