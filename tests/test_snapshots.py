@@ -118,8 +118,8 @@ def test_index_equals_plain_scores(spark, tmp_path, queries):
     index.insert(d.where("id % 3 > 0").unionByName(d.where("id = 1").withColumn("id", F.lit(None).cast("long"))))
     want = plain(spark, queries, rows)
     assert scores(index.scores(queries)) == want
-    for k, first in ((3, 1), (10, 4)):
-        got = {(r.query_id, r.scope, r["rank"]): (r.id, round(r.keyword, 9)) for r in index.top(queries, k, first, digits=9).collect()}
+    for k, first, bounded in ((3, 1, True), (10, 4, None), (5, 1, False)):
+        got = {(r.query_id, r.scope, r["rank"]): (r.id, round(r.keyword, 9)) for r in index.top(queries, k, first, 9, bounded).collect()}
         best = {}
         for (q, s, i), w in sorted(want.items(), key=lambda x: (-x[1], x[0][2])):
             n = 1 + sum(1 for key in best if key[:2] == (q, s))
