@@ -60,7 +60,8 @@ def clipped_runs(segments: DataFrame, slots: DataFrame, keys: list[str], group:
 def split_at_runs(segments: DataFrame, slots: DataFrame, keys: list[str], least: int = 1000) -> DataFrame:
     """Cuts segments in the middle between neighbouring runs of different names that last ``least`` or longer."""
     runs = clipped_runs(segments, slots, keys).where((F.col("b") - F.col("a") >= least) & F.col("name").isNotNull())
-    w = Window.partitionBy(*keys).orderBy("a", "b")
+    # Runs clipped to the same times are taken in the order of their slots.
+    w = Window.partitionBy(*keys).orderBy("a", "b", "run")
     cut = runs.withColumns({"_n": F.lead("name").over(w), "_a": F.lead("a").over(w)}).where(F.col("_n") != F.col("name"))
     cuts = cut.groupBy(*keys).agg(F.array_sort(F.collect_list(((F.col("b") + F.col("_a")) / 2).cast("double"))).alias("cuts"))
     d = segments.join(cuts, keys, "left").withColumn("edges", F.concat(F.array(F.col("start").cast("double")), F.coalesce("cuts", F.array().cast("array<double>")), F.array(F.col("end").cast("double"))))
