@@ -19,14 +19,17 @@ def deal(rows: DataFrame, keys: list[str], order: str, most: int = 1_000_000, pa
     Rows without a value of ``order`` come first, in part 0.
     """
     value = F.col(order).cast("double")
-    step = 1.0 / parts
+    share = 1.0 / parts
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
     long = rows.join(sizes.select(*keys), keys, "left_semi")
-    cuts = long.groupBy(*keys).agg(F.percentile_approx(value, [i * step for i in range(1, parts)], 4 * parts).alias("_q"), F.count("*").alias("_n"))
+    cuts = long.groupBy(*keys).agg(F.percentile_approx(value, [i * share for i in range(1, parts)], 4 * parts).alias("_q"), F.count("*").alias("_n"))
     # Of all quantiles as many as the group has parts.
     each = F.greatest(F.lit(1), F.floor(parts / F.ceil(F.col("_n") / most))).cast("int")
     cuts = cuts.select(*keys, F.array_distinct(F.filter("_q", lambda x, i: (i + 1) % F.greatest(F.lit(1), each) == 0)).alias("_cuts"))
-    found = F.coalesce(F.aggregate("_cuts", F.lit(0), lambda a, c: a + F.when(c <= value, 1).otherwise(0)), F.lit(0))
+    # How many cuts are no larger than the value, by halves: a row's work follows the logarithm of the parts.
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(parts.bit_length()))))
+    step = lambda a, k: a + F.when((a + k <= F.size("_cuts")) & (F.get("_cuts", a + k - 1) <= value), k).otherwise(0)
+    found = F.coalesce(F.aggregate(halves, F.lit(0), step), F.lit(0))
     return rows.join(cuts, keys, "left").withColumn(PART, found).drop("_cuts")
 
 
