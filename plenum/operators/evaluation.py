@@ -203,19 +203,21 @@ def z_scores(rows: DataFrame, key: str, score: str) -> DataFrame:
 def resampled(rows: DataFrame, key: str, sums: list[str], draws: int = 10_000) -> DataFrame:
     """draw and the ``sums`` of integer columns in each of ``draws`` resamples.
 
-    Each row counts a Poisson number of times in a draw, by a generator of its key: the result depends neither on the
-    partitioning nor on the order. Tasks add their rows up; a row for each draw leaves them.
+    Each row counts a Poisson number of times in a draw. Rows with equal sums are drawn at once: together they count a Poisson
+    number of times whose mean is how many they are, so the work follows the different values. The generator is that of the values and the
+    least key: the result depends neither on the partitioning nor on the order. Tasks add their rows up; a row for each draw leaves them.
     """
 
     def run(batches):
         total = np.zeros((len(sums), draws), np.int64)
         for batch in batches:
-            for seed, *values in zip(batch["_k"], *(batch[s] for s in sums)):
-                times = np.random.default_rng(seed & (1 << 64) - 1).poisson(1.0, draws)
+            for seed, rows, *values in zip(batch["_k"], batch["_n"], *(batch[s] for s in sums)):
+                times = np.random.default_rng(seed & (1 << 64) - 1).poisson(float(rows), draws)
                 total += times * np.array(values, np.int64)[:, None]
         yield pd.DataFrame({"draw": np.arange(draws), **dict(zip(sums, total))})
 
     d = rows.select(F.xxhash64(key).alias("_k"), *(F.coalesce(F.col(s).cast("long"), F.lit(0)).alias(s) for s in sums))
+    d = d.groupBy(*sums).agg(F.count("*").alias("_n"), F.min("_k").alias("_k")).withColumn("_k", F.xxhash64("_k", *sums))
     part = d.mapInPandas(run, ", ".join(["draw long", *(f"{s} long" for s in sums)]))
     return part.groupBy("draw").agg(*(F.sum(s).alias(s) for s in sums))
 
