@@ -56,7 +56,7 @@ def _(t):
     path = shared_folder(t.spark, "transcript")
     s = t("segments")
     for half in (1, 0):  # later segments come first
-        readers.append_rows(s.where(F.col("segment_index") % 2 == half), path, "meeting_id")
+        readers.append_rows(s.where(F.col("segment_index") % 2 == half).withColumn("part", readers.part_of(F.col("meeting_id"))).repartition("part"), path, "part")
     return readers.transcript(t.spark, path, 7).select("segment_index", "start_ms", "text")
 
 

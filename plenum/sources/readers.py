@@ -74,9 +74,17 @@ def collection(spark: SparkSession, path: str, name: str, dimensions: int) -> Da
     return spark.read.schema(schema).parquet(where)
 
 
+def part_of(key: Column, parts: int = 64) -> Column:
+    """The folder, of a fixed number, that holds the rows of a key; a folder for each key would be as many files as keys and tasks."""
+    return F.pmod(F.xxhash64(key.cast("long")), F.lit(parts)).cast("int")
+
+
 def transcript(spark: SparkSession, path: str, meeting: int) -> DataFrame:
     """One meeting's appended segments in the order of their start; ``streaming.rules.append`` writes them."""
-    return spark.read.parquet(path).where(F.col("meeting_id") == meeting).orderBy("start_ms", "segment_index")
+    rows = spark.read.parquet(path)
+    if "part" in rows.columns:  # only the meeting's folder is read
+        rows = rows.where(F.col("part") == part_of(F.lit(meeting)))
+    return rows.where(F.col("meeting_id") == meeting).orderBy("start_ms", "segment_index")
 
 
 def write_chunks(chunks: DataFrame, path: str, collection: str = "collection") -> None:
