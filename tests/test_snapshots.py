@@ -186,3 +186,31 @@ def test_long_texts_and_string_ids(spark, tmp_path, monkeypatch):
     index.insert(spark.createDataFrame([("one", 1, text), ("two", 1, "x needle")], "id string, scope int, text string"))
     p = {(r.token, r.id): (r.tf, r.len) for r in index.postings(index._read("postings")).collect()}
     assert p["x", "one"] == (400, 701) and p["needle", "two"] == (1, 2) and p["y" , "one"][0] == 299
+
+
+def test_scores_are_added_up_by_document(spark, tmp_path, queries, monkeypatch):
+    """No table of all pairs of queries and documents is made: tasks add up, and hand on the best, the wanted ones and the sums."""
+    rows = corpus(300) + [(1000 + i, "a", "alpha alpha beta") for i in range(80)]
+    index = LexicalIndex(spark, f"file://{tmp_path}/i")
+    index.insert(spark.createDataFrame(rows, "id long, scope string, text string"))
+    monkeypatch.setattr("plenum.operators.lexical.SUMS", 64)
+    monkeypatch.setattr("plenum.operators.lexical.ASKED", 4)
+    want = plain(spark, queries, rows)
+    assert scores(index.scores(queries)) == want
+    sums = {}
+    for (q, s, _), w in want.items():
+        n, total, most = sums.get((q, s), (0, 0.0, 0.0))
+        sums[q, s] = n + 1, total + w, max(most, w)
+    near = lambda a, b: abs(a - b) < 1e-6
+    got = {(r.query_id, r.scope): r for r in index.totals(queries).collect()}
+    assert got.keys() == sums.keys() and all(got[k].n == n and near(got[k].total, t) and near(got[k].most, m) for k, (n, t, m) in sums.items())
+    asked = [(q, i) for n, (q, _, i) in enumerate(sorted(want)) if n % 3 == 0] + [(queries.first().query_id, 10**9)]
+    some, totals = index.among(queries, spark.createDataFrame(asked, "query_id long, id long"))
+    assert scores(some) == {k: w for k, w in want.items() if (k[0], k[2]) in set(asked)} and totals.count() == len(sums)
+    best = index.top(queries, 3, digits=9, bounded=False)
+    assert "HashAggregate" not in best._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    # A row that repeats an id is the same document.
+    twice = rows + rows[:40]
+    more = LexicalIndex(spark, f"file://{tmp_path}/twice")
+    more.insert(spark.createDataFrame(twice, "id long, scope string, text string"))
+    assert scores(more.scores(queries)) == plain(spark, queries, twice)
