@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.cleaning import normal_form
+from plenum.shared import spread
 
 from .evaluation import edit_distance
 
@@ -81,9 +82,11 @@ def regrouped(refs: list[list], heard: list[tuple[int, list]], sweeps: int = 10)
             home = of[k]
             best = (0, home, 0, 0)
             of[k] = -1
-            left = edit_distance(refs[home], join(home))
+            left, n = edit_distance(refs[home], join(home)), len(heard[k][1])
             for s in range(streams):
-                if s != home:
+                # A segment takes no more errors away than its units, so most moves can't help.
+                least = left - cost[home] - n
+                if s != home and (least < 0 or least == 0 and s < home):
                     of[k] = s
                     there = edit_distance(refs[s], join(s))
                     best = min(best, (left + there - cost[home] - cost[s], s, left, there))
@@ -95,36 +98,41 @@ def regrouped(refs: list[list], heard: list[tuple[int, list]], sweeps: int = 10)
     return sum(cost)
 
 
-def speaker_errors(ref: DataFrame, hyp: DataFrame, session: str, chars: bool = False) -> DataFrame:
-    """session, units, cp_errors, di_errors, speaker_errors of each session of ``ref`` and ``hyp`` (session, speaker, pos, text).
+def speaker_errors(ref: DataFrame, hyp: DataFrame, session: str, chars: bool = False, second: bool = True) -> DataFrame:
+    """session, units, cp_errors and, if ``second``, di_errors, speaker_errors of each session of ``ref`` and ``hyp`` (session, speaker, pos, text).
 
     Units are the words of the texts' normal forms, or their letters without blanks if ``chars``. A missing speaker is one of his own, ``?``;
     segments of equal ``pos`` go by speaker and text. A session that was only heard counts its units as errors, one only written down too. Each pair of speakers of a session is a row of
-    its own, and the tasks hold one pair's words; the matching sees the distances alone. The second rate holds one session.
+    its own; texts travel as strings, and a task holds one pair's units at a time; the matching sees the distances alone. The second rate holds one session.
     """
     kind = dict(ref.dtypes)[session]
 
-    @F.pandas_udf("array<string>")
+    blank = "" if chars else " "
+    split = (lambda t: t) if chars else str.split
+
+    @F.pandas_udf("string")
     def units(texts: pd.Series) -> pd.Series:
-        plain = (normal_form(t or "") for t in texts)
-        return pd.Series([list(t.replace(" ", "")) if chars else t.split() for t in plain])
+        return pd.Series([normal_form(t or "").replace(" ", blank) for t in texts], dtype=object)
+
+    def number(c: str):
+        return F.length(c) if chars else F.size(F.split(c, " "))
 
     def segments(d: DataFrame) -> DataFrame:
         d = d.select(session, F.coalesce(F.col("speaker").cast("string"), F.lit("?")).alias("speaker"), "pos", F.coalesce("text", F.lit("")).alias("text"))
-        return d.withColumn("units", units("text")).where("size(units) > 0")
+        return d.withColumn("units", units("text")).where("units <> ''")
 
     def streams(d: DataFrame, name: str) -> DataFrame:
         g = d.groupBy(session, "speaker").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "units"))).alias("x"))
-        return g.select(session, F.col("speaker").alias(name), F.flatten(F.transform("x", lambda x: x["units"])).alias(f"{name}_units"))
+        return g.select(session, F.col("speaker").alias(name), F.array_join(F.transform("x", lambda x: x["units"]), blank).alias(f"{name}_units"))
 
     a, b = segments(ref), segments(hyp)
 
     @F.pandas_udf("long")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([edit_distance(list(p), list(q)) if p is not None and q is not None else None for p, q in zip(x, y)], dtype="Int64")
+        return pd.Series([edit_distance(split(p), split(q)) if p is not None and q is not None else None for p, q in zip(x, y)], dtype="Int64")
 
     pairs = streams(a, "r").join(streams(b, "h"), session, "full")
-    pairs = pairs.select(session, "r", "h", F.size("r_units").alias("nr"), F.size("h_units").alias("nh"), distance("r_units", "h_units").alias("cost"))
+    pairs = pairs.select(session, "r", "h", number("r_units").alias("nr"), number("h_units").alias("nh"), distance("r_units", "h_units").alias("cost"))
 
     def match(rows: pd.DataFrame) -> pd.DataFrame:
         given, heard = rows[rows["r"].notna()], rows[rows["h"].notna()]
@@ -134,20 +142,22 @@ def speaker_errors(ref: DataFrame, hyp: DataFrame, session: str, chars: bool = F
         place = {h: columns.index(j) for j, h in enumerate(hyps)}
         return pd.DataFrame({session: [rows[session].iloc[0]], "units": [sum(refs.values())], "cp_errors": [total], "refs": [list(refs)], "hyps": [list(place)], "places": [list(place.values())]})
 
-    matched = pairs.groupBy(session).applyInPandas(match, f"{session} {kind}, units long, cp_errors long, refs array<string>, hyps array<string>, places array<int>")
+    matched = spread(pairs, session).groupBy(session).applyInPandas(match, f"{session} {kind}, units long, cp_errors long, refs array<string>, hyps array<string>, places array<int>")
+    if not second:
+        return matched.select(session, "units", "cp_errors")
     both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
     both = both.select(session, "side", "speaker", "pos", "text", "units", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("cp"), *(F.lit(None).cast(f"array<{k}>").alias(c) for c, k in (("refs", "string"), ("hyps", "string"), ("places", "int"))))
-    head = matched.select(session, F.lit(2).alias("side"), *(F.lit(None).cast(k).alias(c) for c, k in (("speaker", "string"), ("pos", dict(ref.dtypes)["pos"]), ("text", "string"), ("units", "array<string>"))), F.col("units").alias("n"), F.col("cp_errors").alias("cp"), "refs", "hyps", "places")
+    head = matched.select(session, F.lit(2).alias("side"), *(F.lit(None).cast(k).alias(c) for c, k in (("speaker", "string"), ("pos", dict(ref.dtypes)["pos"]), ("text", "string"), ("units", "string"))), F.col("units").alias("n"), F.col("cp_errors").alias("cp"), "refs", "hyps", "places")
 
     def regroup(rows: pd.DataFrame) -> pd.DataFrame:
         own = rows[rows["side"] == 2].iloc[0]
         rows = rows.sort_values(["pos", "speaker", "text"])
         refs: dict[str, list] = {r: [] for r in own["refs"]}
         for r, x in rows.loc[rows["side"] == 0, ["speaker", "units"]].itertuples(index=False):
-            refs[r] += list(x)
+            refs[r] += split(x)
         place = dict(zip(own["hyps"], own["places"]))
-        heard = [(int(place[h]), list(x)) for h, x in rows.loc[rows["side"] == 1, ["speaker", "units"]].itertuples(index=False)]
+        heard = [(int(place[h]), list(split(x))) for h, x in rows.loc[rows["side"] == 1, ["speaker", "units"]].itertuples(index=False)]
         di = min(int(own["cp"]), regrouped(list(refs.values()), heard))
         return pd.DataFrame({session: [own[session]], "units": [own["n"]], "cp_errors": [own["cp"]], "di_errors": [di], "speaker_errors": [own["cp"] - di]})
 
-    return both.unionByName(head).groupBy(session).applyInPandas(regroup, f"{session} {kind}, units long, cp_errors long, di_errors long, speaker_errors long")
+    return spread(both.unionByName(head), session).groupBy(session).applyInPandas(regroup, f"{session} {kind}, units long, cp_errors long, di_errors long, speaker_errors long")

@@ -144,7 +144,7 @@ least_of as (select c1.meeting_id, min(c1.c + c2.c + c3.c + c4.c) as cp_errors f
 select l.meeting_id, coalesce((select sum(length(x)) from rn where rn.meeting_id = l.meeting_id), 0)::bigint as units, cp_errors from least_of l""",
 )
 def _(t):
-    return multitalker.speaker_errors(*_spoken(t), "meeting_id", chars=True).select("meeting_id", "units", "cp_errors")
+    return multitalker.speaker_errors(*_spoken(t), "meeting_id", chars=True, second=False)
 
 
 @query(

@@ -68,6 +68,41 @@ def test_speaker_errors(spark):
     assert multitalker.speaker_errors(empty, empty, "m").count() == 0
 
 
+def test_first_rate_alone(spark):
+    """No second rate, and no table of segments for it, where it isn't asked for."""
+    columns = "m int, speaker string, pos int, text string"
+    ref = spark.createDataFrame([(1, "a", 0, "Öl, ab c"), (1, "b", 1, "d e")], columns)
+    for chars in (False, True):
+        first = multitalker.speaker_errors(ref, ref, "m", chars=chars, second=False)
+        assert first.columns == ["m", "units", "cp_errors"] and first.first()[:] == (1, 7 if chars else 5, 0)
+
+
+def moved(refs, heard, sweeps=10):
+    """``regrouped`` with all moves tried."""
+    streams = max([len(refs), *(s + 1 for s, _ in heard)])
+    refs, of = refs + [[]] * (streams - len(refs)), [s for s, _ in heard]
+    total = lambda: [edit_distance(refs[s], [x for k, (_, u) in enumerate(heard) if of[k] == s for x in u]) for s in range(streams)]
+    for _ in range(sweeps):
+        before = of[:]
+        for k in range(len(heard)):
+            home, now, best = of[k], sum(total()), []
+            for s in range(streams):
+                of[k] = s
+                best.append((sum(total()) - now, s))
+            of[k] = min(best)[1]
+        if of == before:
+            break
+    return sum(total())
+
+
+def test_moves_that_cannot_help_are_not_tried():
+    rng = random.Random(8)
+    for _ in range(150):
+        refs = [[rng.choice("abcd") for _ in range(rng.randrange(8))] for _ in range(rng.randrange(1, 4))]
+        heard = [(rng.randrange(4), [rng.choice("abcd") for _ in range(rng.randrange(1, 4))]) for _ in range(rng.randrange(1, 6))]
+        assert multitalker.regrouped(refs, heard) == moved(refs, heard)
+
+
 def plain_votes(a, b):
     """Each line of ``a`` against every free line of ``b``."""
     free, out = dict(enumerate(b)), []
