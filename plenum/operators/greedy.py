@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions.scores import gate
+from plenum.shared import spread
 
 from .evaluation import edit_distance
 
@@ -122,7 +123,7 @@ def line_votes(rows: DataFrame, group: str) -> DataFrame:
 
     kind = dict(rows.dtypes)[group]
     lines = rows.select(group, "side", "pos", F.coalesce("text", F.lit("")).alias("text"))
-    return lines.groupBy(group).applyInPandas(run, f"{group} {kind}, at int, verdict string, text string, confidence double, first string, second string")
+    return spread(lines, group).groupBy(group).applyInPandas(run, f"{group} {kind}, at int, verdict string, text string, confidence double, first string, second string")
 
 
 def voted_pages(votes: DataFrame, group: str) -> DataFrame:
@@ -190,19 +191,61 @@ def run_errors(line: str, pieces: list[str]) -> list[int]:
     return out
 
 
+def sign_counts(texts: list[str], signs: int = 64) -> np.ndarray:
+    """How often each text holds the signs of each of ``signs`` classes."""
+    return np.array([np.bincount(np.frombuffer(t.encode("utf-32-le"), np.uint32) % signs, minlength=signs) for t in texts], np.int32).reshape(len(texts), signs)
+
+
+def fewest_errors(difference: np.ndarray) -> np.ndarray:
+    """Bounds from below of edit distances, from the differences of ``sign_counts``: each error adds one sign at most, and takes one away."""
+    more = np.maximum(difference, 0).sum(1)
+    return np.maximum(more, more - difference.sum(1))
+
+
 def line_runs(lines: list[str], pieces: list[str], most: int = 4) -> list[tuple[int, int]]:
     """For each line the run [from, to) of pieces that it takes, up to ``most``, in order, with the least character errors over letters and digits.
 
     Pieces behind the cheapest end stay out: noise may follow the last line. Of equal ways the longer run of the later line counts.
+    The way that is best by bounds from below is worked out first; then only runs are that a way with no more errors can take.
     """
     plain = lambda t: re.sub(r"[^가-힣a-zA-Z0-9]", "", t)
-    bare, n, best, ways = list(map(plain, pieces)), len(pieces), {0: 0}, []
-    for line in map(plain, lines):
+    own, bare, n = list(map(plain, lines)), list(map(plain, pieces)), len(pieces)
+    held, upto = sign_counts(own), np.vstack([np.zeros((1, 64), np.int32), sign_counts(bare).cumsum(0, np.int32)])
+    runs = [upto[k:] - upto[: n + 1 - k] for k in range(min(most, n) + 1)]
+    known: list[tuple[int, list[int]]] = []  # of each line the start of its run on the first way, and the errors of its runs from there
+
+    def rests() -> np.ndarray:
+        """Of each line and start: a bound from below of all errors from there on."""
+        rest = np.zeros((len(own) + 1, n + 1), np.int32)
+        for i in reversed(range(len(own))):
+            rest[i] = np.iinfo(np.int32).max
+            for k, run in enumerate(runs):
+                low = fewest_errors(run - held[i])
+                if known and k < len(known[i][1]):
+                    low[known[i][0]] = known[i][1][k]
+                rest[i, : n + 1 - k] = np.minimum(rest[i, : n + 1 - k], low + rest[i + 1, k:])
+        return rest
+
+    def lows(i: int, start: int) -> list[int]:
+        low = fewest_errors(upto[start : start + most + 1] - upto[start] - held[i]).tolist()
+        return known[i][1] + low[len(known[i][1]) :] if i < len(known) and known[i][0] == start else low
+
+    rest, start, limit = rests(), 0, 0
+    for i, line in enumerate(own):
+        ends = [low + int(rest[i + 1, start + k]) for k, low in enumerate(lows(i, start))]
+        k = ends.index(min(ends))
+        known.append((start, run_errors(line, bare[start : start + k])))
+        start, limit = start + k, limit + known[i][1][k]
+    rest, best, ways = rests(), {0: 0}, []
+    for i, line in enumerate(own):
         # Of each start: the errors of the runs that begin there, one column of distances after the other.
         reached: dict[int, tuple[int, int]] = {}
         for start, cost in best.items():
-            for end, errors in enumerate(run_errors(line, bare[start : start + most]), start):
-                reached[end] = min(reached.get(end, (cost + errors, start)), (cost + errors, start))
+            ends = [k for k, low in enumerate(lows(i, start)) if cost + low + int(rest[i + 1, start + k]) <= limit]
+            errors = run_errors(line, bare[start : start + ends[-1]]) if ends else []
+            for k in ends:
+                new = (cost + errors[k], start)
+                reached[start + k] = min(reached.get(start + k, new), new)
         ways.append(reached)
         best = {end: cost for end, (cost, _) in reached.items()}
     at, out = min(best, key=lambda j: (best[j], j)), []
@@ -225,7 +268,7 @@ def script_alignment(lines: DataFrame, pieces: DataFrame, group: str) -> DataFra
         return pd.DataFrame(out, columns=[group, "line", "piece"])
 
     kind = dict(lines.dtypes)
-    own = lambda d: d.select(group, "pos", F.coalesce("text", F.lit("")).alias("text")).groupBy(group)
+    own = lambda d: spread(d.select(group, "pos", F.coalesce("text", F.lit("")).alias("text")), group).groupBy(group)
     return own(lines).cogroup(own(pieces)).applyInPandas(run, f"{group} {kind[group]}, line {kind['pos']}, piece {dict(pieces.dtypes)['pos']}")
 
 

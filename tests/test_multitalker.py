@@ -151,3 +151,41 @@ def test_run_errors():
         line = "".join(rng.choice("abc") for _ in range(rng.randrange(9)))
         pieces = ["".join(rng.choice("abc") for _ in range(rng.randrange(5))) for _ in range(4)]
         assert greedy.run_errors(line, pieces) == [edit_distance(line, "".join(pieces[:k])) for k in range(5)]
+
+
+def all_runs(lines, pieces, most=4):
+    """``line_runs`` with all runs of all lines."""
+    plain = lambda t: "".join(c for c in t if c.isascii() and c.isalnum() or "가" <= c <= "힣")
+    bare, best, ways = list(map(plain, pieces)), {0: 0}, []
+    for line in map(plain, lines):
+        reached = {}
+        for start, cost in best.items():
+            for end, errors in enumerate(greedy.run_errors(line, bare[start : start + most]), start):
+                reached[end] = min(reached.get(end, (cost + errors, start)), (cost + errors, start))
+        ways.append(reached)
+        best = {end: cost for end, (cost, _) in reached.items()}
+    at, out = min(best, key=lambda j: (best[j], j)), []
+    for reached in reversed(ways):
+        out.append((reached[at][1], at))
+        at = reached[at][1]
+    return out[::-1]
+
+
+def test_line_runs_equal_all_runs():
+    rng = random.Random(9)
+    for _ in range(300):
+        words = ["ab", "ba", "회의", "q", "", "!", "결정 x", "aaa"]
+        lines = ["".join(rng.choice(words) for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 7))]
+        pieces = ["".join(rng.choice(words) for _ in range(rng.randrange(4))) for _ in range(rng.randrange(12))]
+        assert greedy.line_runs(lines, pieces) == all_runs(lines, pieces)
+
+
+def test_a_long_script_takes_few_distances(monkeypatch):
+    rng, calls = random.Random(10), []
+    lines = ["".join(rng.choice("aeiounthrs") for _ in range(rng.randrange(20, 300))) for _ in range(120)]
+    pieces = [p for x in lines for p in (x[: len(x) // 2], x[len(x) // 2 :].translate(str.maketrans("aeo", "oae")))]
+    plain = greedy.run_errors
+    monkeypatch.setattr(greedy, "run_errors", lambda line, run: calls.append(len(run)) or plain(line, run))
+    assert greedy.line_runs(lines, pieces) == [(2 * i, 2 * i + 2) for i in range(120)]
+    # All starts of all lines are 22,000 runs.
+    assert sum(calls) < 5000
