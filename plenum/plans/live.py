@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.shared import shared_folder
+from plenum.shared import shared_folder, written
 from plenum.streaming import rules
 
 from .registry import Tables, query
@@ -137,8 +137,11 @@ def _(t):
     years.write.option("maxRecordsPerFile", 1).parquet(ticks)
     clock = t.spark.newSession().readStream.schema(years.schema).option("maxFilesPerTrigger", 1).parquet(ticks)
 
+    # Meetings and attendees meet once, not at each poll.
+    planned = written(meetings.join(attendees, "meeting_id").select("meeting_id", "user_id", "scheduled_at").distinct(), "planned")
+
     def due(now):
-        return meetings.where((F.col("scheduled_at") > F.lit(now)) & (F.col("scheduled_at") <= F.lit(now) + F.expr("interval 400 days"))).join(attendees, "meeting_id").select("meeting_id", "user_id")
+        return planned.where((F.col("scheduled_at") > F.lit(now)) & (F.col("scheduled_at") <= F.lit(now) + F.expr("interval 400 days"))).select("meeting_id", "user_id")
 
     rules.reminders(clock, "now", due, sent, ["meeting_id", "user_id"], shared_folder(t.spark, "poll-state")).awaitTermination()
     return t.spark.read.schema("meeting_id long, user_id long").parquet(sent).select("meeting_id", "user_id")

@@ -213,3 +213,22 @@ def test_reminders_are_sent_once(spark, tmp_path):
     assert poll("state") == list(range(1, 36))
     # A new query with no memory of its batches polls all again: each batch replaces its own folder.
     assert poll("other-state") == list(range(1, 36))
+
+
+def test_reminders_join_their_tables_once(spark, monkeypatch):
+    from plenum.catalog import QUERIES
+    import datetime
+
+    from plenum.plans import live
+    from tests.conftest import SMALL
+
+    plans = []
+    plain = live.rules.reminders
+
+    def polls(clock, at, due, *rest):
+        plans.append(due(datetime.datetime(1995, 1, 1))._jdf.queryExecution().optimizedPlan().toString())
+        return plain(clock, at, due, *rest)
+
+    monkeypatch.setattr(live.rules, "reminders", polls)
+    assert QUERIES["x8_reminders"](spark, SMALL).count() > 0
+    assert "Join" not in plans[0]
