@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions.scores import gate
@@ -64,41 +66,173 @@ def common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def most_similar(line: str, others: list[str], counts: np.ndarray, their: np.ndarray, free: dict[int, str]) -> tuple[float, int]:
-    """The highest ratio of matching blocks with a line of ``free``, and the first line that has it.
+class Line:
+    """A line to be compared; as second line it begins blocks only with characters that ``SequenceMatcher`` doesn't call popular.
 
-    Matching blocks are no longer than the characters that both lines hold, nor than their longest common subsequence. Lines are
-    taken by the first bound, and compared in full only while their bounds reach the best ratio.
+    ``rare``: None, or of a line of 200 characters or more the characters that make up at most a hundredth of it, and the places of pairs of them.
     """
-    if not free:
-        return 0.0, -1
-    at = np.fromiter(free, np.int64, len(free))
-    size = np.array([len(line) + len(others[i]) for i in at])
-    with np.errstate(invalid="ignore"):
-        bound = np.where(size > 0, 2 * np.minimum(their[at], counts).sum(1) / size, 1.0)
-    best, place = -1.0, -1
-    for k in np.lexsort((at, -bound)):
-        if bound[k] < best:
+
+    __slots__ = ("text", "rare", "found")
+
+    def __init__(self, text: str, second: bool = False):
+        self.text, self.rare, self.found = text, None, {}
+        if second and len(text) >= 200:
+            kept = {c for c, n in Counter(text).items() if n <= len(text) // 100 + 1}
+            pairs: dict[str, list[int]] = {}
+            for j in [j for j, c in enumerate(text) if c in kept]:
+                if text[j + 1 : j + 2] in kept:
+                    pairs.setdefault(text[j : j + 2], []).append(j)
+            self.rare = kept, pairs
+
+    def places(self, part: str) -> list[int]:
+        if part not in self.found:
+            out, i = [], self.text.find(part)
+            while i >= 0:
+                out.append(i)
+                i = self.text.find(part, i + 1)
+            self.found[part] = out
+        return self.found[part]
+
+
+def longest_block(a: str, b: str, al: int, ah: int, bl: int, bh: int) -> tuple[int, int, int]:
+    """Size and places of the longest common part of two slices; of equal ones the first in ``a``, then in ``b``."""
+    size, bi, bj = 0, al, bl
+    if bh - bl > ah - al:
+        for i in range(al, ah):
+            if i + size >= ah:
+                break
+            while i + size < ah and (j := b.find(a[i : i + size + 1], bl, bh)) >= 0:
+                size, bi, bj = size + 1, i, j
+        return size, bi, bj
+    for j in range(bl, bh):
+        if j + (size or 1) > bh:
+            break
+        i = a.find(b[j : j + (size or 1)], al, ah)
+        if i >= 0:
+            if not size or i < bi:
+                size, bi, bj = size or 1, i, j
+            while j + size < bh and (i := a.find(b[j : j + size + 1], al, ah)) >= 0:
+                size, bi, bj = size + 1, i, j
+    return size, bi, bj
+
+
+def rare_runs(x: Line, y: Line) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Where ``x`` has characters that are rare in ``y``, and (place in ``x``, place in ``y``, length) of all common runs of two or more of them."""
+    kept, pairs = y.rare
+    points = [i for i, c in enumerate(x.text) if c in kept]
+    seeds = {(i, j) for p, at in pairs.items() for i in x.places(p) for j in at}
+    runs = []
+    for i, j in seeds:
+        if (i - 1, j - 1) not in seeds:
+            k = 1
+            while (i + k, j + k) in seeds:
+                k += 1
+            runs.append((i, j, k + 1))
+    return points, runs
+
+
+def rare_block(a: str, b: str, al: int, ah: int, bl: int, bh: int, points: list[int], runs: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """As ``longest_block``, but the longest run of rare characters is taken, and then what is equal on both sides of it."""
+    size, bi, bj = 0, al, bl
+    for i, j, k in runs:
+        if i < ah and j < bh:
+            skip = max(al - i, bl - j, 0)
+            k = min(k, ah - i, bh - j) - skip
+            if k > 1 and (k > size or k == size and (i + skip, j + skip) < (bi, bj)):
+                size, bi, bj = k, i + skip, j + skip
+    if not size:
+        for at in range(bisect_left(points, al), bisect_left(points, ah)):
+            if (j := b.find(a[points[at]], bl, bh)) >= 0:
+                size, bi, bj = 1, points[at], j
+                break
+    while bi > al and bj > bl and a[bi - 1] == b[bj - 1]:
+        size, bi, bj = size + 1, bi - 1, bj - 1
+    while bi + size < ah and bj + size < bh and a[bi + size] == b[bj + size]:
+        size += 1
+    return size, bi, bj
+
+
+def matched(x: Line, y: Line, least: float = 0) -> int:
+    """The characters in the matching blocks of ``SequenceMatcher(None, x, y)``; where they are fewer than ``least``, any number below it.
+
+    Blocks are looked up by ``str.find`` or from the few rare runs, not by a walk over all pairs of characters.
+    """
+    a, b = x.text, y.text
+    points, runs = rare_runs(x, y) if y.rare else ([], [])
+    most = min(len(a), len(b))
+    todo = [(0, len(a), 0, len(b))]
+    while todo and most >= least:
+        al, ah, bl, bh = todo.pop()
+        size, i, j = rare_block(a, b, al, ah, bl, bh, points, runs) if y.rare else longest_block(a, b, al, ah, bl, bh)
+        most += size - min(ah - al, bh - bl)
+        for rest in ((al, i, bl, j), (i + size, ah, j + size, bh)) if size else ():
+            n = min(rest[1] - rest[0], rest[3] - rest[2])
+            if n > 0:
+                todo.append(rest)
+                most += n
+    return most
+
+
+def ratio_bounds(line: str, counts: np.ndarray, their: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ratios that a line can't pass with others of these letter counts and sizes: matching blocks are no longer than the characters that both hold."""
+    both = sizes + len(line)
+    return np.where(both > 0, 2 * np.minimum(their, counts).sum(1) / np.maximum(both, 1), 1.0)
+
+
+def ratio(x: Line, y: Line, least: float) -> float:
+    """``SequenceMatcher(None, x, y).ratio()``; where it is below ``least``, any number below it."""
+    n = len(x.text) + len(y.text)
+    return 2.0 * matched(x, y, least * n / 2 - 1e-6) / n if n else 1.0
+
+
+def most_similar(line: str, others: list[Line], bounds: np.ndarray, free: np.ndarray) -> tuple[float, int]:
+    """The highest ratio, of ``PART`` at least, with a line that is free, and the first line that has it; (0, -1) if none.
+
+    Lines are taken by their bounds, and compared only while these reach the best ratio.
+    """
+    x, best, place = Line(line), PART, -1
+    at = np.flatnonzero(free & (bounds >= PART))
+    for i in at[np.lexsort((at, -bounds[at]))].tolist():
+        if bounds[i] < best or bounds[i] == best and 0 <= place < i:
             break
-        i = int(at[k])
-        if size[k] and 2 * common(line, others[i]) / int(size[k]) < best:
-            continue
-        ratio = SequenceMatcher(None, line, others[i]).ratio()
-        if ratio > best or ratio == best and i < place:
-            best, place = ratio, i
-    return best, place
+        score = ratio(x, others[i], best)
+        if score > best or score == best and (place < 0 or i < place):
+            best, place = score, i
+    return (best, place) if place >= 0 else (0.0, -1)
+
+
+def pick_lines(a: list[str], b: list[str]) -> list[tuple[float, int]]:
+    """For each line of ``a`` in turn the most similar unused line of ``b``, by ratio and place; (0, -1) if none is partly alike."""
+    counts, their = letter_counts(a, b)
+    others, sizes, free = [Line(y, True) for y in b], np.array([len(y) for y in b], np.int64), np.ones(len(b), bool)
+    out = []
+    for line, own in zip(a, counts):
+        out.append(most_similar(line, others, ratio_bounds(line, own, their, sizes), free))
+        if out[-1][1] >= 0:
+            free[out[-1][1]] = False
+    return out
 
 
-def vote_lines(a: list[str], b: list[str]) -> list[tuple[str, str, float, str | None, str | None]]:
-    """(verdict, chosen text, confidence, line of a, line of b): each line of ``a`` takes the most similar unused line of ``b``; what is left of ``b`` follows.
+def similar_lines(a: list[str], b: list[str]) -> list[tuple[list[int], list[float]]]:
+    """For each line of ``a`` all lines of ``b`` that are partly alike at least, and their ratios."""
+    counts, their = letter_counts(a, b)
+    others, sizes = [Line(y, True) for y in b], np.array([len(y) for y in b], np.int64)
+    out = []
+    for line, own in zip(a, counts):
+        x, known = Line(line), {}
+        for i in np.flatnonzero(ratio_bounds(line, own, their, sizes) >= PART).tolist():
+            score = ratio(x, others[i], PART)
+            if score >= PART:
+                known[i] = score
+        out.append((list(known), list(known.values())))
+    return out
 
-    Lines that agree give the longer one, partly alike ones the longer one without marks of ``b``, ``a`` if they are as long.
-    """
-    free, out = dict(enumerate(b)), []
-    counts = letter_counts(a, b)
-    for k, line in enumerate(a):
-        score, at = most_similar(line, b, counts[0][k], counts[1], free)
-        other = free.pop(at) if score >= PART else None
+
+def votes_of(a: list[str], b: list[str], picks: list[tuple[float, int]]) -> list[tuple[str, str, float, str | None, str | None]]:
+    """``vote_lines`` once each line of ``a`` has its line of ``b``."""
+    out, used = [], {at for _, at in picks}
+    for line, (score, at) in zip(a, picks):
+        other = b[at] if at >= 0 else None
         if other is None:
             out.append(("single", line, ALONE_CONFIDENCE, line, None))
         elif score >= SAME:
@@ -106,24 +240,80 @@ def vote_lines(a: list[str], b: list[str]) -> list[tuple[str, str, float, str |
         else:
             clean = without_marks(other)
             out.append(("partial", clean if len(clean) >= len(line) else line, PART_CONFIDENCE, line, other))
-    return out + [("single", x, ALONE_CONFIDENCE, None, x) for x in free.values()]
+    return out + [("single", x, ALONE_CONFIDENCE, None, x) for i, x in enumerate(b) if i not in used]
 
 
-def line_votes(rows: DataFrame, group: str) -> DataFrame:
-    """group, at, verdict, text, confidence, first, second: the votes between the lines of two readings of one page.
+def vote_lines(a: list[str], b: list[str]) -> list[tuple[str, str, float, str | None, str | None]]:
+    """(verdict, chosen text, confidence, line of a, line of b): each line of ``a`` takes the most similar unused line of ``b``; what is left of ``b`` follows.
 
-    ``rows``: side (0 or 1), pos, text (null: empty). Junk lines go, unless no other is left. A page's lines meet in one group.
+    Lines that agree give the longer one, partly alike ones the longer one without marks of ``b``, ``a`` if they are as long.
     """
+    return votes_of(a, b, pick_lines(a, b))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["side", "pos", "text"])
-        votes = vote_lines(*(rows.loc[rows["side"] == i, "text"].tolist() for i in (0, 1)))
-        votes = [v for v in votes if not junk_line(v[1])] or votes
-        return pd.DataFrame([(rows[group].iloc[0], i, *v) for i, v in enumerate(votes)], columns=[group, "at", "verdict", "text", "confidence", "first", "second"])
 
+def line_votes(rows: DataFrame, group: str, room: int = 1 << 17, square: int = 64) -> DataFrame:
+    """group, at, verdict, text, confidence, first, second: the votes between the lines of two readings of one page.
+
+    ``rows``: side (0 or 1), pos, text (null: empty). Junk lines go, unless no other is left. A page's lines meet in one group. Of a page
+    with more than ``room`` pairs of lines the ratios are worked out before, in squares of ``square`` lines a side that are dealt to tasks.
+    """
     kind = dict(rows.dtypes)[group]
-    lines = rows.select(group, "side", "pos", F.coalesce("text", F.lit("")).alias("text"))
-    return spread(lines, group).groupBy(group).applyInPandas(run, f"{group} {kind}, at int, verdict string, text string, confidence double, first string, second string")
+    page = Window.partitionBy(group)
+    lines = rows.where("side in (0, 1)").select(group, "side", "pos", F.coalesce("text", F.lit("")).alias("text"))
+    lines = spread(lines, group)
+    for k in (0, 1):
+        lines = lines.withColumn(f"_n{k}", F.count(F.when(F.col("side") == k, 1)).over(page))
+    lines = lines.withColumn("_at", F.row_number().over(Window.partitionBy(group, "side").orderBy(F.asc_nulls_last("pos"), "text")) - 1)
+
+    def sides(rows: pa.Table) -> list[list[str]]:
+        order = sorted(zip(*(rows[c].to_pylist() for c in ("side", "_at", "text"))))
+        return [[text for s, _, text in order if s == k] for k in (0, 1)]
+
+    def table(key: pa.Table, names: list[str], types: list[pa.DataType], out: list[tuple]) -> pa.Table:
+        columns = list(zip(*out)) or [[] for _ in names]
+        kind = key.schema.field(group).type
+        return pa.table([pa.array([key[group][0].as_py()] * len(out), kind), *map(pa.array, columns, types)], [group, *names])
+
+    def voted(rows: pa.Table, a: list[str], b: list[str], picks: list[tuple[float, int]]) -> pa.Table:
+        votes = votes_of(a, b, picks)
+        votes = [v for v in votes if not junk_line(v[1])] or votes
+        names, types = ["at", "verdict", "text", "confidence", "first", "second"], [pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string()]
+        return table(rows, names, types, [(i, *v) for i, v in enumerate(votes)])
+
+    def whole(rows: pa.Table) -> pa.Table:
+        a, b = sides(rows)
+        return voted(rows, a, b, pick_lines(a, b))
+
+    def compared(rows: pa.Table) -> pa.Table:
+        starts = [rows["_row"][0].as_py() * square, rows["_column"][0].as_py() * square]
+        out = [(starts[0] + i, [starts[1] + j for j in at], scores) for i, (at, scores) in enumerate(similar_lines(*sides(rows))) if at]
+        return table(rows, ["i", "j", "ratio"], [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64())], out)
+
+    def dealt(rows: pa.Table, known: pa.Table) -> pa.Table:
+        a, b = sides(rows)
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for i, j, scores in zip(known["i"].to_pylist(), known["j"], known["ratio"]):
+            found.setdefault(i, []).append((j.values.to_numpy(), scores.values.to_numpy()))
+        free, picks = np.ones(len(b), bool), [(0.0, -1)] * len(a)
+        for i in sorted(found):
+            at, scores = (np.concatenate(x) for x in zip(*found[i]))
+            at, scores = at[free[at]], scores[free[at]]
+            if len(at):
+                score = scores.max()
+                picks[i] = float(score), int(at[scores == score].min())
+                free[picks[i][1]] = False
+        return voted(rows, a, b, picks)
+
+    schema = f"{group} {kind}, at int, verdict string, text string, confidence double, first string, second string"
+    small = lines.where(F.col("_n0") * F.col("_n1") <= room).groupBy(group).applyInArrow(whole, schema)
+    large = lines.where(F.col("_n0") * F.col("_n1") > room)
+    own, first = F.floor(F.col("_at") / square), F.col("side") == 0
+    all_others = F.sequence(F.lit(0).cast("long"), F.floor((F.when(first, F.col("_n1")).otherwise(F.col("_n0")) - 1) / square))
+    squares = large.withColumn("_other", F.explode(all_others)).select(
+        group, "side", "_at", "text", F.when(first, own).otherwise(F.col("_other")).alias("_row"), F.when(first, F.col("_other")).otherwise(own).alias("_column")
+    )
+    ratios = spread(squares, group, "_row", "_column").groupBy(group, "_row", "_column").applyInArrow(compared, f"{group} {kind}, i int, j array<int>, ratio array<double>")
+    return small.unionByName(large.groupBy(group).cogroup(ratios.groupBy(group)).applyInArrow(dealt, schema))
 
 
 def voted_pages(votes: DataFrame, group: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -132,6 +133,49 @@ def test_votes_of_a_long_page():
     assert len(votes) == 2000 and all(v[0] == "agree" and v[4].replace("#", "") == v[3] for v in votes)
 
 
+def test_ratio_is_that_of_sequence_matcher():
+    """Over lines below and above 200 characters, from which on popular characters begin no block."""
+    rng = random.Random(9)
+    for _ in range(1500):
+        signs = "abcdefghij klmnop회의결정ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[: rng.choice([1, 2, 5, 17, 60])]
+        x, y = ("".join(rng.choice(signs) for _ in range(rng.randrange(rng.choice([1, 5, 30, 300])))) for _ in range(2))
+        if rng.random() < 0.5:
+            y = "".join(c for c in x if rng.random() < 0.9) + x[: rng.randrange(200)]
+        want = SequenceMatcher(None, x, y).ratio()
+        assert greedy.ratio(greedy.Line(x), greedy.Line(y, True), 0) == greedy.ratio(greedy.Line(x), greedy.Line(y, True), want) == want
+        assert greedy.ratio(greedy.Line(x), greedy.Line(y, True), want + 0.01) < want + 0.01
+
+
+def test_votes_of_long_lines_take_a_fraction_of_all_comparisons():
+    rng = random.Random(10)
+    parts = "tha tion re en ou ly the an in er ble at es on ed ti. Th, ing".split(" ")
+    a = ["".join(rng.choice(parts) + rng.choice(["", "", " "]) for _ in range(rng.randrange(60, 260))) for _ in range(30)]
+    b = [x[::-1] if i % 2 else x.replace("e", "c") for i, x in enumerate(a)]
+    start = time.process_time()
+    want = plain_votes(a, b)
+    middle = time.process_time()
+    got = greedy.vote_lines(a, b)
+    assert [v[3:] for v in got] == want
+    assert time.process_time() - middle < (middle - start) / 3
+
+
+def test_votes_of_large_pages_are_dealt(spark):
+    """Pages with more pairs of lines than ``room`` are compared in squares, with the same votes."""
+    rng = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "회의", "결정", "e", ""]
+    rows = []
+    for page, n in ((1, 9), (2, 14), (None, 8), (3, 2), (4, 0)):
+        a = [" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(n)]
+        rows += [(page, 0, i if i else None, x) for i, x in enumerate(a)] + [(page, 1, i, x[::-1] if rng.random() < 0.4 else x) for i, x in enumerate(rng.sample(a, len(a)))]
+        rows += [(page, 1, 50, None), (page, 1, 51, "beta beta")]
+    votes = greedy.line_votes(spark.createDataFrame(rows, "page long, side int, pos int, text string"), "page", room=20, square=4).collect()
+    for page in (1, 2, None, 3, 4):
+        lines = [[x or "" for p, s, pos, x in sorted(rows, key=lambda r: (r[2] is None, r[2])) if (p, s) == (page, side)] for side in (0, 1)]
+        want = greedy.vote_lines(*lines)
+        want = [v for v in want if not greedy.junk_line(v[1])] or want
+        assert [v[2:] for v in sorted((v for v in votes if v.page == page), key=lambda v: v.at)] == want
+
+
 def test_common_is_the_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
