@@ -318,6 +318,7 @@ def line_votes(rows: DataFrame, group: str, room: int = 1 << 17, square: int = 6
 
 def voted_pages(votes: DataFrame, group: str) -> DataFrame:
     """group, text, confidence, reason: a page's chosen lines, their mean confidence, and ok or what speaks against the page."""
+    votes = spread(votes.select(group, "at", "text", "confidence"), group)
     g = votes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"), F.round(F.avg("confidence"), 3).alias("confidence"))
     g = g.select(group, F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"), "confidence")
     return g.withColumn("reason", gate("text", confidence=F.col("confidence"), **GATE))

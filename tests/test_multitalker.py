@@ -176,6 +176,14 @@ def test_votes_of_large_pages_are_dealt(spark):
         assert [v[2:] for v in sorted((v for v in votes if v.page == page), key=lambda v: v.at)] == want
 
 
+def test_voted_pages_are_dealt_to_a_fixed_number_of_tasks(spark):
+    """What speaks against a page takes time that its bytes don't tell, so few small partitions must not be joined."""
+    votes = spark.createDataFrame([(p, k, f"line {k} of {p}", 0.6 + k / 10) for p in range(20) for k in (1, 0)], "page int, at int, text string, confidence double")
+    pages = greedy.voted_pages(votes, "page")
+    assert pages.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r[:] for r in pages.collect()) == [(p, f"line 0 of {p}\nline 1 of {p}", 0.65, "ok") for p in range(20)]
+
+
 def test_common_is_the_longest_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
